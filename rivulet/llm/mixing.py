@@ -31,7 +31,7 @@ MOST = 2
 #: Schedules by rank, repeating: how a source's weight at the end of training compares with its start. 1: constant.
 TILTS = (1.0, 2.0, 0.5)
 #: Rows of one source meant for one hash bucket.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 250
 
 
 def words(text: Column) -> Column:
