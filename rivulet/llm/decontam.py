@@ -109,10 +109,16 @@ class Index:
             return
         wide = 2 * self.budget[item] + 1
         band = (pos - at + self.longest) // wide
-        key = np.concatenate([pair, pair]) * (2 * len(data) + 2 * self.longest + 4) + np.concatenate([band, band - 1]) + 1
-        key, where, n = np.unique(key, return_index=True, return_counts=True)
-        where %= len(pair)
-        lower = key % (2 * len(data) + 2 * self.longest + 4) - 1
+        # a q-gram of the item counts once in a band, however often the document repeats it
+        band = np.concatenate([band, band - 1])
+        order = np.lexsort((np.concatenate([at, at]), band, np.concatenate([pair, pair])))
+        where = order % len(pair)
+        own, band, gram = pair[where], band[order], at[where]
+        other = np.concatenate([[True], (own[1:] != own[:-1]) | (band[1:] != band[:-1])])
+        fresh = other | np.concatenate([[True], gram[1:] != gram[:-1]])
+        first = np.flatnonzero(other)
+        n = np.add.reduceat(fresh.astype(np.int64), first)
+        where, lower = where[first], band[first]
         for k in np.flatnonzero(n >= self.need[item[where]]).tolist():
             w = where[k]
             yield int(pair[w] // len(self.texts)), int(item[w]), int(lower[k] * wide[w] - self.longest), int(n[k])
@@ -128,21 +134,22 @@ def banded(item: bytes, data: np.ndarray, lo: int, hi: int, limit: int) -> tuple
     None beyond limit. Of equally good ends, the first.
     """
     width = hi - lo + 1
-    cols = np.arange(width)
-    far = np.int64(1 << 30)
-    start = lo + cols
-    cost = np.where((start >= 0) & (start <= len(data)), 0, far)
+    cols = np.arange(width, dtype=np.int32)
+    far = np.int32(1 << 28)
+    # entry i + c of these is about the byte at lo + i + c, on diagonal c: its value, and whether a path may take it or stand before it
+    at = np.arange(lo, lo + len(item) + width + 1)
+    taken = (at >= 0) & (at < len(data))
+    value = np.full(len(at), 256, np.int16)
+    value[taken] = data[at[taken]]
+    no_byte = np.where(taken, 0, far).astype(np.int32)
+    no_place = np.where((at >= 0) & (at <= len(data)), 0, far).astype(np.int32)
+    cost = no_place[:width].copy()
+    gone = np.full(width, far, np.int32)
     for i, c in enumerate(item):
-        j = lo + i + cols  # the byte that is matched on each diagonal
-        inside = (j >= 0) & (j < len(data))
-        same = np.zeros(width, bool)
-        same[inside] = data[j[inside]] == c
-        step = np.where(inside, cost + ~same, far)
-        gone = np.append(cost[1:], far) + 1  # the item's byte is left out
-        gone[(j < 0) | (j > len(data))] = far
-        cost = np.minimum(step, gone)
+        gone[:-1] = cost[1:] + 1  # the item's byte is left out
+        cost = np.minimum(np.minimum(cost + (value[i : i + width] != c) + no_byte[i : i + width], gone), far)
         cost = np.minimum.accumulate(cost - cols) + cols  # bytes of data are left out
-        cost[(j + 1 < 0) | (j + 1 > len(data))] = far
+        cost = np.minimum(cost + no_place[i + 1 : i + 1 + width], far)
         if cost.min() > limit:
             return None
     k = int(cost.argmin())
