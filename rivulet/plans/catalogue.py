@@ -1,4 +1,710 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, one per operator, with the same result in DuckDB's SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rivulet.functions.columns import Gate, cosine, flag, held_out, ratio
+from rivulet.operators import learning, measures, profiles, samples
+from rivulet.plans.adapters import EVENTS, SAMPLES, STAR, events, star, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.build_samples(events(spark, sf_dir).filter("event_type <> 'signup'"))
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# --- events and samples
+
+
+@query(f"WITH {SAMPLES} SELECT sample_id, session_id, request_id, user_id, item_id, position, impression_ts, clicked, ordered, label, last_feedback_ts, feedback_delay_ms, abandoned, rating FROM sm")
+def samples_build(spark, d):
+    return _samples(spark, d).select("sample_id", "session_id", "request_id", "user_id", "item_id", "position", "impression_ts", "clicked", "ordered", "label", "last_feedback_ts", "feedback_delay_ms", "abandoned", "rating")
+
+
+@query(f"WITH {SAMPLES} SELECT label, count(*) AS n FROM sm GROUP BY label")
+def samples_label_hist(spark, d):
+    return _samples(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {EVENTS}, g AS (SELECT CASE WHEN NOT coalesce(event_type <> 'signup', false) THEN 'not_behavioural' WHEN NOT coalesce(k >= 10, false) THEN 'small_key' ELSE 'kept' END AS reason FROM ev)
+    SELECT r.reason, count(g.reason) AS n FROM (VALUES ('kept'), ('not_behavioural'), ('small_key'), ('no_item')) r(reason) LEFT JOIN g USING (reason) GROUP BY r.reason"""
+)
+def gate_counts(spark, d):
+    return Gate(events(spark, d), [("not_behavioural", F.col("event_type") != "signup"), ("small_key", F.col("k") >= 10), ("no_item", F.col("item_id").isNotNull())]).counts()
+
+
+@query(f"WITH {EVENTS}, two AS (SELECT event_id, user_id FROM ev UNION ALL SELECT event_id, user_id FROM ev WHERE k < 50) SELECT DISTINCT event_id, user_id FROM two")
+def dedupe_events(spark, d):
+    ev = events(spark, d)
+    return ev.unionByName(ev.filter("k < 50")).dropDuplicates(["event_id"]).select("event_id", "user_id")
+
+
+@query(f"WITH {EVENTS} SELECT event_id, timestamp_ms FROM ev WHERE timestamp_ms >= (SELECT max(timestamp_ms) FROM ev) - 864000000")
+def dedupe_horizon(spark, d):
+    ev = events(spark, d).select("event_id", "timestamp_ms")
+    newest = ev.agg(F.max("timestamp_ms").alias("newest"))
+    return ev.crossJoin(F.broadcast(newest)).filter("timestamp_ms >= newest - 864000000").drop("newest")  # newest is one row
+
+
+_CLOSE = "min(timestamp_ms) FILTER (WHERE event_type = 'impression')"
+
+
+@query(
+    f"""WITH {EVENTS}, s AS (SELECT request_id, user_id, coalesce({_CLOSE}, min(timestamp_ms)) AS t FROM ev GROUP BY ALL)
+    SELECT ev.event_id, ev.request_id FROM ev JOIN s USING (request_id, user_id) WHERE (SELECT max(timestamp_ms) FROM ev) >= t + 259200000"""
+)
+def late_join_due(spark, d):
+    from rivulet.streaming.engine import LateFeedback
+
+    ev = events(spark, d)
+    # the clock stands at the newest event, so event time alone decides
+    newest = ev.agg(F.max("timestamp_ms")).first()[0]
+    due, _ = LateFeedback(None, "3 days").split(ev, None, newest)
+    return due.select("event_id", "request_id")
+
+
+@query(f"WITH {EVENTS} SELECT event_id FROM ev WHERE (request_id, user_id) NOT IN (SELECT (request_id, user_id) FROM ev WHERE event_type = 'impression')")
+def late_join_orphans(spark, d):
+    from rivulet.streaming.engine import LateFeedback
+
+    return LateFeedback.orphans(events(spark, d)).select("event_id")
+
+
+@query(f"WITH {SAMPLES} SELECT sample_id, rating FROM sm WHERE rating IS NOT NULL")
+def feedback_latest_nonnull(spark, d):
+    return _samples(spark, d).filter("rating IS NOT NULL").select("sample_id", "rating")
+
+
+@query(
+    f"""WITH {SAMPLES} SELECT concat_ws(':', request_id, user_id) AS slate_id, min(impression_ts) AS request_ts, max(clicked) AS slate_clicked, max(ordered) AS slate_ordered, sum(label) AS slate_reward,
+    CAST(count(*) AS INTEGER) AS slate_size, string_agg(item_id, ',' ORDER BY position, item_id) AS items FROM sm GROUP BY request_id, user_id"""
+)
+def slates_build(spark, d):
+    return samples.build_slates(_samples(spark, d)).select("slate_id", "request_ts", "slate_clicked", "slate_ordered", "slate_reward", "slate_size", F.expr("array_join(transform(items, i -> i.item_id), ',')").alias("items"))
+
+
+@query(f"WITH {SAMPLES} SELECT concat_ws(':', request_id, user_id) AS slate_id, item_id, CAST(row_number() OVER (PARTITION BY request_id, user_id ORDER BY position, item_id) - 1 AS INTEGER) AS place FROM sm")
+def slate_item_positions(spark, d):
+    return samples.build_slates(_samples(spark, d)).select("slate_id", F.posexplode("items").alias("place", "i")).select("slate_id", "i.item_id", "place")
+
+
+@query(f"WITH {SAMPLES} SELECT user_id, request_id, item_id, CASE WHEN clicked = 1 THEN item_id END AS clicked_item_id, impression_ts AS ts FROM sm")
+def recall_samples(spark, d):
+    return samples.recall_samples(_samples(spark, d))
+
+
+def _vectors(spark, d, name):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return rows.select(F.col("id").alias("user_id"), "vector") if name == "user_id" else rows.select(F.concat(F.lit("item_"), "id").alias("item_id"), "vector").filter("item_id <> 'item_3'")
+
+
+@query(
+    f"""WITH {SAMPLES} SELECT sample_id, coalesce(len(u.embedding), 0) AS user_dim, coalesce(len(i.embedding), 0) AS item_dim FROM sm
+    LEFT JOIN embeddings u ON CAST(u.vec_id AS VARCHAR) = sm.user_id LEFT JOIN embeddings i ON 'item_' || i.vec_id = sm.item_id AND i.vec_id <> 3"""
+)
+def ranking_samples(spark, d):
+    out = samples.ranking_samples(_samples(spark, d), _vectors(spark, d, "user_id"), _vectors(spark, d, "item_id"))
+    return out.select("sample_id", F.size("user_vector").cast("long").alias("user_dim"), F.size("item_vector").cast("long").alias("item_dim"))
+
+
+@query(f"WITH {SAMPLES} SELECT user_id || ':' || CASE WHEN trim(session_id) = '' THEN request_id ELSE session_id END AS query, item_id, label, position FROM sm")
+def relevance_samples(spark, d):
+    return samples.relevance_samples(_samples(spark, d))
+
+
+@query(
+    f"""WITH {SAMPLES}, s AS (SELECT concat_ws(':', request_id, user_id) AS slate_id, min(impression_ts) AS ts, max(clicked) AS c, max(ordered) AS o, sum(label) AS r, count(*) AS n FROM sm GROUP BY request_id, user_id),
+    m AS (SELECT slate_id, 'clicks' AS metric, CAST(c AS DOUBLE) AS value FROM s WHERE c <> 0 UNION ALL SELECT slate_id, 'orders', o FROM s WHERE o <> 0 UNION ALL SELECT slate_id, 'reward', r FROM s WHERE r <> 0
+      UNION ALL SELECT slate_id, 'items', n FROM s UNION ALL SELECT slate_id, 'large_slate', 1 FROM s WHERE n > 20
+      UNION ALL SELECT slate_id, 'feedback_delay_s', last_feedback_ts - ts FROM sm JOIN s ON slate_id = concat_ws(':', request_id, user_id) WHERE last_feedback_ts IS NOT NULL)
+    SELECT slate_id, metric, value FROM m"""
+)
+def metric_events(spark, d):
+    return samples.metric_events(samples.build_slates(_samples(spark, d)))
+
+
+@query(
+    f"""WITH {EVENTS}, a AS (SELECT user_id, max(k) AS age FROM ev WHERE event_type = 'signup' GROUP BY 1), b AS (SELECT user_id, count(*) AS ratings FROM ev WHERE event_type = 'order' AND k < 20 GROUP BY 1)
+    SELECT user_id, age, ratings FROM a FULL JOIN b USING (user_id)"""
+)
+def context_user_merge(spark, d):
+    ev = events(spark, d)
+    return samples.merge_context(ev.filter("event_type = 'signup'").groupBy("user_id").agg(F.max("k").alias("age")), ev.filter("event_type = 'order' AND k < 20").groupBy("user_id").agg(F.count("*").alias("ratings")))
+
+
+@query(
+    f"""WITH {EVENTS}, r AS (SELECT user_id, item_id, max(timestamp_ms) AS t FROM ev GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, item_id DESC) AS n FROM r)
+    SELECT user_id, string_agg(item_id, ',' ORDER BY n) AS recent FROM o WHERE n <= 5 GROUP BY 1"""
+)
+def context_recent_items(spark, d):
+    last = events(spark, d).groupBy("user_id", "item_id").agg(F.max("timestamp_ms").alias("t"))
+    rows = last.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t", "item_id")), asc=False).alias("r"))
+    return rows.select("user_id", F.expr("array_join(transform(slice(r, 1, 5), x -> x.item_id), ',')").alias("recent"))
+
+
+@query(f"WITH {EVENTS} SELECT item_id, count(*) AS clicks FROM ev WHERE event_type = 'click' GROUP BY 1")
+def item_click_counts(spark, d):
+    return events(spark, d).filter("event_type = 'click'").groupBy("item_id").agg(F.count("*").alias("clicks"))
+
+
+_RATINGS = f"""{EVENTS}, ra AS (SELECT user_id, item_id, CAST(max(CASE event_type WHEN 'order' THEN 5 ELSE 4 END) AS DOUBLE) AS rating, max(timestamp) AS timestamp FROM ev WHERE event_type IN ('order', 'click') GROUP BY 1, 2)"""
+
+
+def _ratings(spark, d):
+    rows = events(spark, d).filter("event_type IN ('order', 'click')")
+    return rows.groupBy(F.col("user_id").alias("userId"), F.col("item_id").alias("movieId")).agg(F.max(F.when(F.col("event_type") == "order", 5.0).otherwise(4.0)).alias("rating"), F.max("timestamp").alias("timestamp"))
+
+
+@query(f"WITH {_RATINGS} SELECT user_id, string_agg(item_id, ',' ORDER BY timestamp, item_id) AS items FROM ra WHERE rating >= 4.5 GROUP BY 1 HAVING count(*) >= 2")
+def item_sequences(spark, d):
+    return samples.item_sequences(_ratings(spark, d), least=4.5).select(F.col("userId").alias("user_id"), F.array_join("items", ",").alias("items"))
+
+
+@query(f"WITH {_RATINGS} SELECT user_id, item_id, rating FROM ra")
+def ratings_from_events(spark, d):
+    return _ratings(spark, d).select(F.col("userId").alias("user_id"), F.col("movieId").alias("item_id"), "rating")
+
+
+def _sequence_rows(spark, d):
+    return events(spark, d).select("user_id", F.lit("behavior").alias("kind"), "item_id", F.col("timestamp_ms").alias("ts"), F.col("event_type").alias("action"), F.lit(None).cast("double").alias("rating"))
+
+
+_CHUNKS = f"""{EVENTS}, ch AS (SELECT user_id, 'behavior' AS kind, strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y%m%d') AS bucket, string_agg(item_id, ',' ORDER BY timestamp_ms, item_id, event_type) AS item_id,
+  string_agg(CAST(timestamp_ms AS VARCHAR), ',' ORDER BY timestamp_ms) AS ts, string_agg(event_type, ',' ORDER BY timestamp_ms, item_id, event_type) AS action, repeat(',', count(*) - 1) AS rating, count(*) AS n FROM ev GROUP BY ALL)"""
+
+
+@query(f"WITH {_CHUNKS} SELECT user_id, kind, bucket, item_id, ts, action, rating, n FROM ch")
+def seq_chunks(spark, d):
+    return samples.to_chunks(_sequence_rows(spark, d))
+
+
+@query(f"WITH {EVENTS} SELECT user_id, item_id, CAST(timestamp_ms AS VARCHAR) AS ts, event_type AS action FROM ev")
+def seq_explode_roundtrip(spark, d):
+    return samples.explode_chunks(samples.to_chunks(_sequence_rows(spark, d))).select("user_id", "item_id", "ts", "action")
+
+
+@query(f"WITH {EVENTS}, b AS (SELECT user_id, strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y%m%d') AS bucket, count(*) AS n FROM ev GROUP BY ALL) SELECT user_id, bucket, least(2 * n, 3) AS n FROM b")
+def seq_merge_cap(spark, d):
+    chunks = samples.to_chunks(_sequence_rows(spark, d))
+    return samples.merge_chunks(chunks, chunks, 3).select("user_id", "bucket", "n")
+
+
+# --- profiles
+
+
+_REFERENCE = 1_706_745_600
+
+
+def _profile_samples(spark, d):
+    genre = F.array(F.concat(F.lit("genre_"), F.expr("cast(substring(item_id, 6) as int) % 3")))
+    return _samples(spark, d).withColumn("rating", F.lit(None).cast("double")).withColumn("genres", genre)
+
+
+_WEIGHT = f"(CASE WHEN ordered = 1 THEN 3.0 WHEN clicked = 1 THEN 1.0 ELSE -0.1 END * pow(0.5, ({_REFERENCE} - impression_ts) / 86400.0 / 30.0))"
+_CFG = profiles.ProfileConfig(reference=_REFERENCE)
+
+
+@query(
+    f"""WITH {SAMPLES} SELECT user_id, count(*) AS events, CAST(sum(clicked) AS DOUBLE) / count(*) AS click_rate, CAST(sum(ordered) AS DOUBLE) / count(*) AS order_rate,
+    CASE WHEN count(*) >= 100 THEN 'high' WHEN count(*) >= 20 THEN 'medium' ELSE 'low' END AS activity_level FROM sm WHERE impression_ts < {_REFERENCE} + 1 GROUP BY 1"""
+)
+def profile_activity(spark, d):
+    return profiles.activity(profiles.valid(_profile_samples(spark, d), _CFG)).drop("avg_rating")
+
+
+_PREFS = f"{SAMPLES}, pf AS (SELECT user_id, 'genre_' || (CAST(substr(item_id, 6) AS INTEGER) % 3) AS value, sum({_WEIGHT}) AS weight, count(*) AS n FROM sm WHERE impression_ts < {_REFERENCE} + 1 GROUP BY 1, 2)"
+
+
+@query(f"WITH {_PREFS} SELECT user_id, value, n, round(greatest(-1, least(1, weight / (n + 5.0))), 6) AS score FROM pf")
+def profile_preferences(spark, d):
+    return profiles.preferences(profiles.valid(_profile_samples(spark, d), _CFG), _CFG).select("user_id", "value", "n", _r("score").alias("score"))
+
+
+@query(f"WITH {_PREFS}, s AS (SELECT user_id, weight / sum(weight) OVER (PARTITION BY user_id) AS share FROM pf WHERE weight > 0) SELECT user_id, round(1 - sum(share * share), 6) + 0.0 AS diversity, round(max(share), 6) AS focus FROM s GROUP BY 1")
+def profile_shape(spark, d):
+    out = profiles.shape(profiles.preferences(profiles.valid(_profile_samples(spark, d), _CFG), _CFG))
+    return out.select("user_id", (_r("diversity") + F.lit(0.0)).alias("diversity"), _r("focus").alias("focus"))
+
+
+@query()
+def profile_personas(spark, d):
+    out = profiles.build_profiles(_profile_samples(spark, d), _CFG)
+    return out.select("user_id", F.array_join("personas", ",").alias("personas"), F.size("genres").alias("n_genres"))
+
+
+@query(f"WITH {_RATINGS} SELECT user_id, CAST(i - 1 AS INTEGER) AS i, round(avg(CAST(e.embedding[i] AS DOUBLE)), 6) AS x FROM ra JOIN embeddings e ON 'item_' || e.vec_id = ra.item_id AND e.vec_id <> 3, range(1, 9) r(i) GROUP BY ALL")
+def user_vectors_mean(spark, d):
+    rows = _ratings(spark, d).select(F.col("userId").alias("user_id"), F.col("movieId").alias("item_id"))
+    return measures.user_vectors(rows, _vectors(spark, d, "item_id")).select("user_id", F.posexplode(F.slice("vector", 1, 8)).alias("i", "x")).select("user_id", "i", _r("x").alias("x"))
+
+
+@query(
+    """WITH u AS (SELECT vec_id AS user_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 50), i AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id >= 50),
+    s AS (SELECT user_id, item_id, list_cosine_similarity(u.v, i.v) AS score FROM u, i), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s)
+    SELECT user_id, item_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
+)
+def topk_cosine(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    out = measures.top_k_cosine(rows.filter("vec_id < 50").withColumnRenamed("vec_id", "user_id"), rows.filter("vec_id >= 50").withColumnRenamed("vec_id", "item_id"), 10)
+    return out.select("user_id", "item_id", "rank", _r("score").alias("score"))
+
+
+# --- reports
+
+
+def _engaged(by: str, select: str = "") -> str:
+    return f"WITH {STAR} SELECT {select or by}, count(*) AS impressions, CAST(sum(clicked) AS BIGINT) AS clicks, CAST(sum(ordered) AS BIGINT) AS orders, CAST(sum(clicked) AS DOUBLE) / count(*) AS ctr FROM st GROUP BY {by}"
+
+
+@query(_engaged("date"))
+def ctr_daily(spark, d):
+    return measures.engagement(star(spark, d), ["date"])
+
+
+@query(f"WITH {EVENTS} SELECT hour, count(*) AS events, CAST(sum(CAST(event_type = 'click' AS INTEGER)) AS BIGINT) AS clicks FROM (SELECT CAST(timestamp // 3600 % 24 AS INTEGER) AS hour, event_type FROM ev) GROUP BY 1")
+def ctr_by_hour(spark, d):
+    hour = F.expr("cast((timestamp div 3600) % 24 as int)")
+    return events(spark, d).groupBy(hour.alias("hour")).agg(F.count("*").alias("events"), F.sum(flag(F.col("event_type") == "click")).alias("clicks"))
+
+
+@query(_engaged("1, 2", "CAST(dayofweek(date) + 1 AS INTEGER) AS dow, strftime(date, '%a') AS day"))
+def ctr_by_dow(spark, d):
+    return measures.engagement(star(spark, d).select("*", F.dayofweek("date").alias("dow"), F.date_format("date", "E").alias("day")), ["dow", "day"])
+
+
+_SESSION = f"{STAR}, se AS (SELECT session_id, count(DISTINCT request_id) AS requests, count(*) AS impressions, CAST(sum(clicked) AS BIGINT) AS clicks, CAST(sum(ordered) AS BIGINT) AS orders FROM st GROUP BY 1)"
+
+
+def _sessions(spark, d):
+    return star(spark, d).groupBy("session_id").agg(F.countDistinct("request_id").alias("requests"), F.count("*").alias("impressions"), F.sum("clicked").alias("clicks"), F.sum("ordered").alias("orders"))
+
+
+@query(f"WITH {_SESSION} SELECT *, round(CAST(clicks AS DOUBLE) / impressions, 4) AS ctr FROM se")
+def session_report(spark, d):
+    return _sessions(spark, d).withColumn("ctr", F.round(ratio(F.col("clicks"), F.col("impressions")), 4))
+
+
+@query(f"WITH {_SESSION} SELECT count(*) AS sessions, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS DOUBLE) / count(*) AS mean_impressions, CAST(sum(CAST(clicks > 0 AS INTEGER)) AS DOUBLE) / count(*) AS clicked_share FROM se")
+def session_summary(spark, d):
+    n = F.count("*")
+    return _sessions(spark, d).agg(n.alias("sessions"), F.sum("clicks").alias("clicks"), (F.sum("impressions").cast("double") / n).alias("mean_impressions"), (F.sum(flag(F.col("clicks") > 0)).cast("double") / n).alias("clicked_share"))
+
+
+@query(f"WITH {STAR} SELECT query_text, count(*) AS impressions, count(DISTINCT user_id) AS users, count(DISTINCT session_id) AS sessions, CAST(sum(clicked) AS DOUBLE) / count(*) AS ctr FROM st GROUP BY 1 ORDER BY impressions DESC, query_text LIMIT 20")
+def top_queries(spark, d):
+    out = star(spark, d).groupBy("query_text").agg(F.count("*").alias("impressions"), F.countDistinct("user_id").alias("users"), F.countDistinct("session_id").alias("sessions"), ratio(F.sum("clicked"), F.count("*")).alias("ctr"))
+    return out.orderBy(F.desc("impressions"), "query_text").limit(20)
+
+
+@query(f"WITH {STAR} SELECT CASE WHEN length(query_text) <= 10 THEN 'short' ELSE 'long' END AS length, count(DISTINCT query_text) AS queries, count(*) AS impressions FROM st GROUP BY 1")
+def query_length(spark, d):
+    return star(spark, d).groupBy(F.when(F.length("query_text") <= 10, "short").otherwise("long").alias("length")).agg(F.countDistinct("query_text").alias("queries"), F.count("*").alias("impressions"))
+
+
+_KEYWORDS = f"{STAR}, kw AS (SELECT keyword, segment, count(*) AS impressions, count(DISTINCT item_id) AS items, CAST(sum(clicked) AS BIGINT) AS clicks FROM (SELECT unnest(genres) AS keyword, segment, item_id, clicked FROM st) GROUP BY 1, 2)"
+
+
+def _keywords(spark, d):
+    rows = star(spark, d).select("segment", "item_id", "clicked", F.explode("genres").alias("keyword"))
+    return rows.groupBy("keyword", "segment").agg(F.count("*").alias("impressions"), F.countDistinct("item_id").alias("items"), F.sum("clicked").alias("clicks"))
+
+
+@query(f"WITH {_KEYWORDS} SELECT * FROM kw")
+def keyword_dist(spark, d):
+    return _keywords(spark, d)
+
+
+@query(f"WITH {_KEYWORDS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY segment ORDER BY impressions DESC, keyword) AS INTEGER) AS rank FROM kw) SELECT segment, keyword, impressions, rank FROM r WHERE rank <= 10")
+def keyword_rank(spark, d):
+    return measures.rank_within(_keywords(spark, d), ["segment"], [F.desc("impressions"), F.col("keyword")], 10).select("segment", "keyword", "impressions", "rank")
+
+
+def _category(expr: str) -> str:
+    return f"""WITH {STAR}, i AS (SELECT item_id, {expr} AS category, count(*) AS n, sum(clicked) AS c, sum(ordered) AS o FROM st GROUP BY 1, 2), g AS (SELECT category, count(*) AS items, CAST(sum(n) AS BIGINT) AS impressions, CAST(sum(c) AS BIGINT) AS clicks FROM i GROUP BY 1)
+    SELECT *, CAST(clicks AS DOUBLE) / impressions AS ctr, CAST(clicks AS DOUBLE) / items AS clicks_per_item, round((CAST(clicks AS DOUBLE) / impressions / ((SELECT CAST(sum(clicks) AS DOUBLE) / sum(impressions) FROM g)) - 1) * 100, 6) AS lift FROM g"""
+
+
+def _by_category(spark, d, column):
+    per = star(spark, d).groupBy("item_id", column.alias("category")).agg(F.count("*").alias("n"), F.sum("clicked").alias("c"))
+    out = per.groupBy("category").agg(F.count("*").alias("items"), F.sum("n").alias("impressions"), F.sum("c").alias("clicks"))
+    out = out.withColumn("ctr", ratio(F.col("clicks"), F.col("impressions"))).withColumn("clicks_per_item", ratio(F.col("clicks"), F.col("items")))
+    return measures.lift(out, "ctr", "clicks", "impressions").withColumn("lift", _r("lift"))
+
+
+@query(_category("genres[1]"))
+def category_l1(spark, d):
+    return _by_category(spark, d, F.col("genres")[0])
+
+
+@query(_category("brand"))
+def category_l2(spark, d):
+    return _by_category(spark, d, F.col("brand"))
+
+
+@query(_category("genres[1] || ' ' || (year // 10 * 10)"))
+def category_l3(spark, d):
+    return _by_category(spark, d, F.concat(F.col("genres")[0], F.lit(" "), F.expr("year div 10 * 10")))
+
+
+@query(_engaged("device"))
+def segment_device(spark, d):
+    return measures.engagement(star(spark, d), ["device"])
+
+
+@query(f"WITH {STAR}, u AS (SELECT user_id, geo, count(*) AS n, sum(clicked) AS c, sum(score) AS s FROM st GROUP BY 1, 2) SELECT geo, count(*) AS users, CAST(sum(c) AS DOUBLE) / sum(n) AS ctr, round(sum(s) / sum(n), 6) AS weighted FROM u GROUP BY 1")
+def segment_geo_weighted(spark, d):
+    per = star(spark, d).groupBy("user_id", "geo").agg(F.count("*").alias("n"), F.sum("clicked").alias("c"), F.sum("score").alias("s"))
+    return per.groupBy("geo").agg(F.count("*").alias("users"), ratio(F.sum("c"), F.sum("n")).alias("ctr"), _r(F.sum("s") / F.sum("n")).alias("weighted"))
+
+
+@query(f"WITH {STAR} SELECT CASE label WHEN 2 THEN 'ordered' WHEN 1 THEN 'clicked' ELSE 'shown' END AS state, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM st) AS share, min(label) AS score FROM st GROUP BY 1")
+def relevance_state(spark, d):
+    rows = star(spark, d).groupBy(F.when(F.col("label") == 2, "ordered").when(F.col("label") == 1, "clicked").otherwise("shown").alias("state")).agg(F.count("*").alias("n"), F.min("label").alias("score"))
+    return rows.withColumn("share", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()))
+
+
+@query(f"WITH {STAR} SELECT genre, count(*) AS n, sum(label) / count(*) AS score FROM (SELECT unnest(genres) AS genre, label FROM st) GROUP BY 1")
+def relevance_by_genre(spark, d):
+    return star(spark, d).select(F.explode("genres").alias("genre"), "label").groupBy("genre").agg(F.count("*").alias("n"), (F.sum("label") / F.count("*")).alias("score"))
+
+
+@query(f"WITH {STAR} SELECT date, count(*) AS n FROM st WHERE date > (SELECT max(date) FROM st) - 30 GROUP BY 1")
+def lookback_window(spark, d):
+    return measures.lookback(star(spark, d), 30).groupBy("date").agg(F.count("*").alias("n"))
+
+
+# --- tables and SQL
+
+
+@query("SELECT c_mktsegment, count(*) FILTER (WHERE r_name = 'ASIA') AS asia, count(*) FILTER (WHERE r_name = 'EUROPE') AS europe FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def pivot_counts(spark, d):
+    c, n, r = (table(spark, d, x) for x in ("customer", "nation", "region"))
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    out = rows.groupBy("c_mktsegment").pivot("r_name", ["ASIA", "EUROPE"]).agg(F.count(F.lit(1)))
+    return out.select("c_mktsegment", F.coalesce("ASIA", F.lit(0)).alias("asia"), F.coalesce("EUROPE", F.lit(0)).alias("europe"))
+
+
+@query("""SELECT o_orderpriority, """ + ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{s}') AS {s}_n, min(o_totalprice) FILTER (WHERE o_orderstatus = '{s}') AS {s}_min, max(o_totalprice) FILTER (WHERE o_orderstatus = '{s}') AS {s}_max, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = '{s}'), 4) AS {s}_avg" for s in "OF") + " FROM orders GROUP BY 1")
+def pivot_multi_agg(spark, d):
+    p = F.col("o_totalprice")
+    out = table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["O", "F"]).agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("min"), F.max(p).alias("max"), F.round(F.avg(p), 4).alias("avg"))
+    return out.fillna(0, ["O_n", "F_n"])
+
+
+@query("SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def rollup_counts(spark, d):
+    return table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def cube_counts(spark, d):
+    return table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+
+
+def _sql(name: str, tables: str, text: str, oracle: str | None = None):
+    def run(spark, d):
+        for t in tables.split():
+            table(spark, d, t).createOrReplaceTempView(t)
+        return spark.sql(text)
+
+    run.__name__ = name
+    query(oracle or text)(run)
+
+
+_BINS = "CASE WHEN l_discount > 0.09 THEN '0.09+' WHEN l_discount > 0.05 THEN '0.05-0.09' WHEN l_discount > 0.01 THEN '0.01-0.05' ELSE 'low' END"
+_sql("sql_projection", "customer", "SELECT c_custkey, c_name, c_acctbal * 2 AS doubled, c_mktsegment = 'BUILDING' AS building FROM customer WHERE c_acctbal > 0")
+_sql("sql_constants", "", "SELECT 1 AS one, 'a' AS letter, 2.5 * 2 = 5 AS five")
+_sql("sql_having", "customer", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) > 10")
+_sql("sql_multi_agg", "customer", "SELECT c_nationkey, count(*) AS n, min(c_acctbal) AS least, max(c_acctbal) AS most, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY c_nationkey")
+_sql("sql_count_distinct", "lineitem", "SELECT l_shipdate, count(DISTINCT l_orderkey) AS orders FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_shipdate")
+_sql("confidence_bins", "lineitem", f"SELECT l_returnflag, {_BINS} AS bin, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_returnflag, {_BINS}")
+_sql("confidence_detail", "lineitem", "SELECT l_returnflag, l_linestatus, l_discount FROM lineitem GROUP BY l_returnflag, l_linestatus, l_discount")
+_sql("bins_one_source", "lineitem orders", f"SELECT {_BINS} AS bin, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1-%' GROUP BY o_orderkey) o ON l_orderkey = o.o_orderkey GROUP BY {_BINS}")
+_sql("bins_other_source", "lineitem orders", f"SELECT {_BINS} AS bin, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN (SELECT o_orderkey FROM orders WHERE o_orderpriority NOT LIKE '1-%' GROUP BY o_orderkey) o ON l_orderkey = o.o_orderkey GROUP BY {_BINS}")
+_sql("bins_appeals", "lineitem orders", f"SELECT {_BINS} AS bin, l_returnflag, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderkey) o ON l_orderkey = o.o_orderkey GROUP BY {_BINS}, l_returnflag")
+_sql("bins_source_appeals", "lineitem orders", f"SELECT {_BINS} AS bin, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderkey) a ON l_orderkey = a.o_orderkey JOIN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '2-%' GROUP BY o_orderkey) b ON l_orderkey = b.o_orderkey GROUP BY {_BINS}")
+_sql("like_filters", "part", "SELECT p_type, count(*) AS n FROM part WHERE p_name LIKE '%a%' AND p_name NOT LIKE '%b%' OR p_type LIKE 'S%' GROUP BY p_type")
+_sql("semi_join", "customer orders", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+_sql("anti_join", "customer orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql("theta_prefix_join", "nation region", "SELECT n_name, r_name FROM nation LEFT JOIN region ON substring(n_name, 1, 1) = substring(r_name, 1, 1)")
+_sql("outer_joins", "customer orders", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 5 = 0) o ON c_custkey = o_custkey")
+_sql("union_all_distinct", "customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION ALL SELECT c_nationkey FROM customer")
+_sql("intersect_except", "customer supplier", "SELECT 'both' AS side, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers', k FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
+_sql("acquisition_activity", "customer supplier orders", "SELECT platform, k, o_orderstatus, count(*) AS n FROM (SELECT 'a' AS platform, c_custkey AS k FROM customer UNION ALL SELECT 'b', s_suppkey FROM supplier) u JOIN orders ON o_custkey = k GROUP BY platform, k, o_orderstatus")
+
+
+@query("SELECT CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN r_name ELSE 'other' END AS geo, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def top_value_bucketing(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy(F.when(F.col("r_name").isin("ASIA", "EUROPE"), F.col("r_name")).otherwise("other").alias("geo")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {EVENTS}, a AS (SELECT user_id, timestamp // 86400 AS day, count(*) AS dau FROM ev GROUP BY 1, 2), f AS (SELECT user_id, min(day) AS f FROM a GROUP BY 1)
+    SELECT user_id, CAST(coalesce(sum(dau) FILTER (WHERE day = f + 1), 0) AS BIGINT) AS d1, CAST(coalesce(sum(dau) FILTER (WHERE day = f + 2), 0) AS BIGINT) AS d2,
+    CAST(coalesce(sum(dau) FILTER (WHERE day NOT IN (f + 1, f + 2)), 0) AS BIGINT) AS l7, coalesce(sum(dau) FILTER (WHERE day NOT IN (f + 1, f + 2)), 0) > 0 AS wau FROM a JOIN f USING (user_id) GROUP BY 1"""
+)
+def retention_d1_d2_l7(spark, d):
+    daily = events(spark, d).groupBy("user_id", F.expr("timestamp div 86400").alias("day")).agg(F.count("*").alias("dau"))
+    rows = daily.withColumn("age", F.col("day") - F.min("day").over(Window.partitionBy("user_id")))
+    total = lambda c: F.sum(F.when(c, F.col("dau")).otherwise(0))
+    age = F.col("age")
+    out = rows.groupBy("user_id").agg(total(age == 1).alias("d1"), total(age == 2).alias("d2"), total((age != 1) & (age != 2)).alias("l7"))
+    return out.withColumn("wau", F.col("l7") > 0)
+
+
+# --- measurements and evaluation
+
+
+_AUC = f"""{STAR}, r AS (SELECT segment, clicked, score, rank() OVER (PARTITION BY segment ORDER BY score) + (count(*) OVER (PARTITION BY segment, score) - 1) / 2.0 AS rk FROM st)"""
+
+
+@query(f"WITH {_AUC} SELECT segment, CAST(sum(clicked) AS BIGINT) AS positives, count(*) AS rows, round((sum(rk) FILTER (WHERE clicked = 1) - sum(clicked) * (sum(clicked) + 1) / 2.0) / (sum(clicked) * (count(*) - sum(clicked))), 9) AS auc FROM r GROUP BY 1")
+def auc_signals(spark, d):
+    return measures.auc(star(spark, d), "score", F.col("clicked") == 1, ["segment"]).withColumn("auc", _r("auc", 9))
+
+
+@query(
+    f"""WITH {STAR}, m AS (SELECT segment, avg(score) AS m, stddev_pop(score) AS s FROM st GROUP BY 1), p AS (SELECT st.segment, clicked, 1 / (1 + exp(-(score - m) / s)) AS p FROM st JOIN m USING (segment))
+    SELECT segment, round(avg(-CASE WHEN clicked = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS logloss FROM p GROUP BY 1"""
+)
+def logloss_signals(spark, d):
+    return measures.logloss(star(spark, d), "score", F.col("clicked") == 1, ["segment"]).withColumn("logloss", _r("logloss"))
+
+
+_NDCG = f"""{STAR}, o AS (SELECT request_id AS slate_id, label, row_number() OVER (PARTITION BY request_id ORDER BY position, item_id, tie, label) AS i, row_number() OVER (PARTITION BY request_id ORDER BY label DESC) AS b FROM st),
+  n AS (SELECT slate_id, sum((pow(2, label) - 1) / (ln(i + 1) / ln(2))) FILTER (WHERE i <= 10) AS got, sum((pow(2, label) - 1) / (ln(b + 1) / ln(2))) FILTER (WHERE b <= 10) AS best, min(i) FILTER (WHERE label > 0) AS f FROM o GROUP BY 1)"""
+
+
+def _label_slates(spark, d):
+    rows = star(spark, d).groupBy(F.col("request_id").alias("slate_id")).agg(F.sort_array(F.collect_list(F.struct("position", "item_id", "tie", "label"))).alias("i"))
+    return rows.select("slate_id", F.expr("transform(i, x -> x.label)").alias("labels"))
+
+
+@query(f"WITH {_NDCG} SELECT slate_id, round(CASE WHEN best > 0 THEN got / best END, 6) AS ndcg, coalesce(1.0 / f, 0.0)::DOUBLE AS rr FROM n")
+def ndcg_mrr(spark, d):
+    return measures.ndcg(_label_slates(spark, d), 10).withColumn("ndcg", _r("ndcg"))
+
+
+@query(f"WITH {STAR}, s AS (SELECT user_id, request_id, max(clicked) AS hit FROM st WHERE position <= 2 GROUP BY 1, 2), u AS (SELECT user_id, avg(hit) AS recall, max(hit) AS any_hit FROM s GROUP BY 1) SELECT round(avg(recall), 6) AS recall, round(avg(any_hit), 6) AS hit_rate, count(*) AS users FROM u")
+def hit_rate_users(spark, d):
+    s = star(spark, d).filter("position <= 2").groupBy("user_id", "request_id").agg(F.max("clicked").alias("hit"))
+    u = s.groupBy("user_id").agg(F.avg("hit").alias("recall"), F.max("hit").alias("any_hit"))
+    return u.agg(_r(F.avg("recall")).alias("recall"), _r(F.avg("any_hit")).alias("hit_rate"), F.count("*").alias("users"))
+
+
+_BM25 = """dt AS (SELECT p_partkey AS doc, string_split(lower(p_name), ' ') AS terms FROM part), qs AS (SELECT DISTINCT n_nationkey AS query, unnest(string_split((SELECT lower(p_name) FROM part WHERE p_partkey = n_nationkey + 1), ' ')) AS term FROM nation),
+  po AS (SELECT doc, len(terms) AS len, unnest(terms) AS term FROM dt), tf AS (SELECT doc, len, term, count(*) AS tf FROM po GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), g AS (SELECT count(*) AS docs, avg(len(terms)) AS mean FROM dt),
+  sc AS (SELECT query, doc, sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM tf JOIN qs USING (term) JOIN df USING (term), g GROUP BY 1, 2)"""
+
+
+def _bm25(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.split(F.lower("p_name"), " ").alias("terms"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("query"), (F.col("n_nationkey") + 1).alias("doc"))
+    return measures.bm25(parts, n.join(parts, "doc").select("query", F.explode(F.array_distinct("terms")).alias("term")))
+
+
+@query(f"WITH {_BM25} SELECT query, doc, round(score, 6) AS score FROM sc")
+def bm25_scores(spark, d):
+    return _bm25(spark, d).withColumn("score", _r("score"))
+
+
+_RRF = f"""{STAR}, i AS (SELECT segment, item_id, count(*) AS n, CAST(sum(clicked) AS BIGINT) AS c FROM st GROUP BY 1, 2), a AS (SELECT segment, item_id, row_number() OVER (PARTITION BY segment ORDER BY n DESC, item_id) AS r FROM i), b AS (SELECT segment, item_id, row_number() OVER (PARTITION BY segment ORDER BY c DESC, item_id) AS r FROM i),
+  f AS (SELECT segment, item_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM a WHERE r <= 20 UNION ALL SELECT * FROM b WHERE r <= 20) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_RRF} SELECT segment, item_id, round(score, 9) AS score FROM f")
+def rrf_fusion(spark, d):
+    i = star(spark, d).groupBy("segment", "item_id").agg(F.count("*").alias("n"), F.sum("clicked").alias("c"))
+    lists = [measures.rank_within(i, ["segment"], [F.desc(c), F.col("item_id")], 20) for c in ("n", "c")]
+    return measures.rrf(lists, ["segment", "item_id"]).withColumn("score", _r("score", 9))
+
+
+@query(f"WITH {STAR}, g AS (SELECT request_id, unnest(genres) AS genre FROM st), n AS (SELECT request_id, genre, count(*) AS n FROM g GROUP BY 1, 2), p AS (SELECT request_id, n / sum(n) OVER (PARTITION BY request_id) AS p FROM n) SELECT request_id, count(*) AS values, round(CASE WHEN count(*) > 1 THEN -sum(p * ln(p)) / ln(count(*)) ELSE 0 END, 6) AS entropy FROM p GROUP BY 1")
+def genre_entropy(spark, d):
+    return measures.entropy(star(spark, d).select("request_id", F.explode("genres").alias("genre")), "request_id", "genre").withColumn("entropy", _r("entropy"))
+
+
+@query(
+    f"""WITH {STAR}, o AS (SELECT request_id, item_id, position, tie, label, list_distinct(genres) AS g, row_number() OVER (PARTITION BY request_id ORDER BY position, item_id, tie, label) AS i FROM st)
+    SELECT a.request_id, round(avg(CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / len(list_distinct(list_concat(a.g, b.g)))), 6) AS similarity FROM o a JOIN o b ON a.request_id = b.request_id AND a.i < b.i GROUP BY 1"""
+)
+def intra_list_jaccard(spark, d):
+    rows = star(spark, d).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", "item_id", "tie", "label", F.array_distinct("genres").alias("g")))).alias("xs"))
+    pairs = rows.select("request_id", "xs", F.posexplode("xs").alias("i", "a")).select("request_id", "a", F.explode(F.expr("slice(xs, i + 2, size(xs))")).alias("b"))
+    return pairs.groupBy("request_id").agg(_r(F.avg(F.size(F.array_intersect("a.g", "b.g")).cast("double") / F.size(F.array_union("a.g", "b.g")))).alias("similarity"))
+
+
+@query(f"WITH {STAR}, c AS (SELECT item_id, count(*) AS n FROM st GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n, item_id) AS i FROM c) SELECT round(2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0) / count(*), 9) AS gini FROM r")
+def exposure_gini(spark, d):
+    return measures.gini(star(spark, d).groupBy("item_id").agg(F.count("*").alias("n"))).select(_r("gini", 9).alias("gini"))
+
+
+@query(f"WITH {STAR}, c AS (SELECT item_id, count(*) AS n FROM st GROUP BY 1), q AS (SELECT quantile_cont(n, 0.8) AS cut FROM c) SELECT CAST(sum(n) FILTER (WHERE n < cut) AS DOUBLE) / sum(n) AS share FROM c, q")
+def long_tail_share(spark, d):
+    c = star(spark, d).groupBy("item_id").agg(F.count("*").alias("n"))
+    return c.crossJoin(F.broadcast(c.agg(F.percentile("n", 0.8).alias("cut")))).agg(ratio(F.sum(F.when(F.col("n") < F.col("cut"), F.col("n"))), F.sum("n")).alias("share"))  # cut is one row
+
+
+@query(f"WITH {EVENTS}, r AS (SELECT row_number() OVER (PARTITION BY user_id, item_id ORDER BY timestamp_ms, event_id) AS n FROM ev) SELECT CAST(count(*) FILTER (WHERE n > 1) AS DOUBLE) / count(*) AS repeat_rate FROM r")
+def repeat_rate(spark, d):
+    # every event of a pair but its first is a repeat: counts are enough
+    n = events(spark, d).groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
+    return n.agg(ratio(F.sum(F.col("n") - 1), F.sum("n")).alias("repeat_rate"))
+
+
+_AGES = "CASE WHEN age <= 365 THEN '0-1y' WHEN age <= 1095 THEN '1-3y' ELSE '3y+' END"
+
+
+@query(f"WITH {STAR} SELECT {_AGES} AS band, count(*) AS n, CAST(sum(clicked) AS DOUBLE) / count(*) AS ctr FROM (SELECT clicked, (SELECT max(date) FROM st) - date AS age FROM st) GROUP BY 1")
+def freshness_bands(spark, d):
+    rows = star(spark, d)
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("date").alias("now")))).withColumn("age", F.date_diff("now", "date"))  # one row
+    return rows.groupBy(F.expr(_AGES).alias("band")).agg(F.count("*").alias("n"), ratio(F.sum("clicked"), F.count("*")).alias("ctr"))
+
+
+@query(
+    f"""WITH {STAR}, i AS (SELECT segment, item_id, sum(clicked) AS c, count(*) AS n FROM st GROUP BY 1, 2), p AS (SELECT segment, CAST(sum(c) AS DOUBLE) / sum(n) AS p FROM i GROUP BY 1)
+    SELECT i.segment, CAST(sum(n) AS BIGINT) AS rows, count(*) AS clusters, any_value(p) AS rate, round(sqrt(sum(pow(c - p * n, 2)) / pow(sum(n), 2) * count(*) / (count(*) - 1)), 9) AS se FROM i JOIN p USING (segment) GROUP BY 1"""
+)
+def ctr_gap_clustered(spark, d):
+    return measures.clustered_rate(star(spark, d), "item_id", "clicked", ["segment"]).withColumn("se", _r("se", 9))
+
+
+@query(
+    f"""WITH {STAR}, m AS (SELECT 'geo' AS dimension, geo AS grp, clicked FROM st UNION ALL SELECT 'device', device, clicked FROM st UNION ALL SELECT 'segment', segment, clicked FROM st),
+    g AS (SELECT dimension, coalesce(nullif(trim(grp), ''), 'unknown') AS grp, count(*) AS n, CAST(sum(clicked) AS DOUBLE) / count(*) AS ctr FROM m GROUP BY 1, 2 HAVING count(*) >= 100)
+    SELECT dimension, grp, n, ctr, round(max(ctr) OVER (PARTITION BY dimension) - min(ctr) OVER (PARTITION BY dimension), 9) AS gap FROM g"""
+)
+def fairness_groups(spark, d):
+    rows = star(spark, d).select("clicked", F.explode(F.create_map(*[x for c in ("geo", "device", "segment") for x in (F.lit(c), F.col(c))])).alias("dimension", "grp"))
+    name = F.when(F.coalesce(F.trim("grp"), F.lit("")) == "", "unknown").otherwise(F.trim("grp"))
+    g = rows.groupBy("dimension", name.alias("grp")).agg(F.count("*").alias("n"), ratio(F.sum("clicked"), F.count("*")).alias("ctr")).filter("n >= 100")
+    w = Window.partitionBy("dimension")
+    return g.withColumn("gap", _r(F.max("ctr").over(w) - F.min("ctr").over(w), 9))
+
+
+@query("SELECT CASE WHEN event_type IN ('error', 'signup') THEN event_type ELSE 'unknown' END AS reason, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM events) AS share FROM events GROUP BY 1")
+def safety_reasons(spark, d):
+    rows = table(spark, d, "events").groupBy(F.when(F.col("event_type").isin("error", "signup"), F.col("event_type")).otherwise("unknown").alias("reason")).agg(F.count("*").alias("n"))
+    return rows.withColumn("share", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()))
+
+
+@query(f"WITH {EVENTS}, b AS (SELECT min(timestamp) AS lo, max(timestamp) AS hi FROM ev) SELECT least((timestamp - lo) * 24 // greatest(hi - lo, 1), 23) AS bucket, count(*) AS n, count(rating) AS rated, round(avg(rating), 6) AS rating FROM ev, b GROUP BY 1")
+def satisfaction_series(spark, d):
+    ev = events(spark, d)
+    rows = ev.crossJoin(F.broadcast(ev.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))))  # one row
+    return rows.groupBy(F.expr("least((timestamp - lo) * 24 div greatest(hi - lo, 1), 23)").alias("bucket")).agg(F.count("*").alias("n"), F.count("rating").alias("rated"), _r(F.avg("rating")).alias("rating"))
+
+
+@query(f"WITH {EVENTS} SELECT floor(rating * 2) / 2 AS bin, count(*) AS n FROM ev WHERE rating IS NOT NULL GROUP BY 1")
+def rating_histogram(spark, d):
+    return events(spark, d).filter("rating IS NOT NULL").groupBy((F.floor(F.col("rating") * 2) / 2).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EVENTS} SELECT DISTINCT request_id, list_sum(list_transform(string_split(md5(request_id), ''), lambda x: strpos('0123456789abcdef', x) - 1)) % 5 = 0 AS test FROM ev")
+def md5_split(spark, d):
+    return events(spark, d).select("request_id").distinct().withColumn("test", held_out(F.col("request_id")))
+
+
+_GAPS = f"""{EVENTS}, g AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp, event_id) > 86400 THEN 1 ELSE 0 END AS new FROM ev), ss AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY timestamp, event_id) AS BIGINT) AS session FROM g)"""
+
+
+def _gaps(spark, d):
+    return measures.sessions(events(spark, d).withColumn("ts", F.col("timestamp")), 86400, ["event_id"])
+
+
+@query(f"WITH {_GAPS} SELECT event_id, user_id, session FROM ss")
+def session_gaps(spark, d):
+    return _gaps(spark, d).select("event_id", "user_id", "session")
+
+
+@query(f"WITH {_GAPS}, t AS (SELECT event_id, item_id AS state, lead(item_id) OVER (PARTITION BY user_id, session ORDER BY timestamp, event_id) AS next_state FROM ss) SELECT *, next_state IS NULL AS terminal FROM t")
+def transitions_lead(spark, d):
+    return measures.transitions(_gaps(spark, d).withColumn("state", F.col("item_id")), ["ts", "event_id"]).select("event_id", "state", "next_state", "terminal")
+
+
+@query(f"WITH {SAMPLES} SELECT a.request_id, a.item_id AS chosen, b.item_id AS rejected FROM sm a JOIN sm b USING (request_id) WHERE a.clicked = 1 AND b.clicked = 0")
+def preference_pairs(spark, d):
+    return measures.preference_pairs(_samples(spark, d))
+
+
+@query(f"WITH {SAMPLES} SELECT count(*) AS pairs, round(avg(CASE WHEN a.position > b.position THEN 1 WHEN a.position = b.position THEN 0.5 ELSE 0 END), 9) AS auc FROM sm a JOIN sm b USING (request_id) WHERE a.clicked = 1 AND b.clicked = 0")
+def pairwise_auc(spark, d):
+    s = _samples(spark, d)
+    pairs = s.filter("clicked = 1").select("request_id", F.col("position").alias("p")).join(s.filter("clicked = 0").select("request_id", F.col("position").alias("q")), "request_id")
+    return pairs.agg(F.count("*").alias("pairs"), _r(F.avg(F.when(F.col("p") > F.col("q"), 1.0).when(F.col("p") == F.col("q"), 0.5).otherwise(0.0)), 9).alias("auc"))
+
+
+@query(
+    f"""WITH {EVENTS}, q AS (SELECT CAST(floor(quantile_cont(timestamp, 0.9)) AS BIGINT) AS cut FROM ev), tr AS (SELECT ev.* FROM ev, q WHERE timestamp <= cut), te AS (SELECT ev.* FROM ev, q WHERE timestamp > cut),
+    tg AS (SELECT user_id, arg_min(item_id, (timestamp_ms, event_id)) AS target FROM te GROUP BY 1), pop AS (SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) AS rank FROM tr GROUP BY 1)
+    SELECT count(*) AS targets, CAST(count(*) FILTER (WHERE rank <= 5) AS DOUBLE) / count(*) AS hit5, round(sum(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END) / count(*), 9) AS mrr10 FROM tg LEFT JOIN pop ON target = item_id"""
+)
+def next_item_baselines(spark, d):
+    ev = events(spark, d)
+    ev = ev.crossJoin(F.broadcast(ev.agg(F.floor(F.percentile("timestamp", 0.9)).alias("cut"))))  # one row
+    target = ev.filter("timestamp > cut").groupBy("user_id").agg(F.min_by("item_id", F.struct("timestamp_ms", "event_id")).alias("item_id"))
+    popular = ev.filter("timestamp <= cut").groupBy("item_id").agg(F.count("*").alias("n"))
+    popular = popular.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "item_id")))
+    rows = target.join(popular, "item_id", "left")
+    return rows.agg(F.count("*").alias("targets"), ratio(F.sum(flag(F.col("rank") <= 5)), F.count("*")).alias("hit5"), _r(F.sum(F.when(F.col("rank") <= 10, 1.0 / F.col("rank")).otherwise(0.0)) / F.count("*"), 9).alias("mrr10"))
+
+
+@query(f"WITH {STAR}, b AS (SELECT request_id, arg_max(label, (score, item_id, tie, label)) AS r FROM st GROUP BY 1) SELECT avg(r) AS value, count(*) AS n FROM b")
+def policy_picks(spark, d):
+    best = star(spark, d).groupBy("request_id").agg(F.max_by("label", F.struct("score", "item_id", "tie", "label")).alias("r"))
+    return best.agg(F.avg("r").alias("value"), F.count("*").alias("n"))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_pairs(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    w = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("x").alias("y"))
+    return v.join(w, "vec_id").select(F.col("vec_id").alias("a"), "b", _r(cosine(F.col("x"), F.col("y"))).alias("cosine"))
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
+def conversation_sequences(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    return rows.select("conv_id", "turns", F.expr("array_join(transform(r, x -> x.role), '>')").alias("roles"))
+
+
+@query()
+def tabular_q_values(spark, d):
+    steps = measures.transitions(_gaps(spark, d).withColumn("state", F.col("item_id")), ["ts", "event_id"])
+    steps = steps.select("state", F.col("event_type").alias("action"), F.when(F.col("event_type") == "order", 1.0).otherwise(0.0).alias("reward"), "next_state", "terminal")
+    return learning.tabular_q(steps, sweeps=20, tolerance=1e-3).select("state", "action", _r("q").alias("q"))
+
+
+@query()
+def als_embeddings(spark, d):
+    users, _ = learning.als_vectors(_ratings(spark, d), rank=4, iterations=2)
+    return users.select("user_id", F.size("vector").alias("dim"))
+
+
+@query("SELECT CAST(10 AS BIGINT) * 1024 * 86400 * 7 * 3 AS bytes")
+def topic_capacity(spark, d):
+    n = learning.topic_capacity(10, 1024, 7, 3, 1.0)
+    return spark.range(1).select(F.lit(n).cast("long").alias("bytes"))
