@@ -103,10 +103,9 @@ def plan_mix(
     rows = cut(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size")))
     n = rows.count()
     buckets = max(1, -(-n // BUCKET_ROWS))
-    order = F.xxhash64(F.lit(seed), F.col("key").cast("string"))
-    # the order's top 31 bits, scaled: buckets are ranges of the order, so the sums don't depend on their number
-    rows = rows.withColumn("at", order).withColumn("bucket", F.floor((F.shiftrightunsigned("at", 33) * F.lit(buckets)) / F.lit(2**31)).cast("int"))
-    rows = rows.withColumn("at", F.shiftrightunsigned("at", 1))
+    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    # the top 31 of the order's 60 bits, scaled: buckets are ranges of the order, so the sums don't depend on their number
+    rows = rows.withColumn("at", order).withColumn("bucket", F.floor((F.shiftright("at", 29) * F.lit(buckets)) / F.lit(2**31)).cast("int"))
     part = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goals = targets(part.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, budget, most, tilts)
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,3 +142,24 @@ def mix(docs: DataFrame, key: str = "doc_id", **plan) -> DataFrame:
     asked = plan_mix(docs, key=key, **plan).filter("copies > 0").select(F.col(key).alias(f"{p}key"), F.explode("positions").alias(f"{p}at"))
     stream = docs.join(asked, F.col(key) == F.col(f"{p}key"))
     return stream.repartitionByRange(f"{p}at", key).sortWithinPartitions(f"{p}at", key).select(*docs.columns)
+
+
+def sql(weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST, tilts: Sequence[float] = TILTS, seed: int = 7) -> str:
+    """The plan of documents in DuckDB's SQL, with the first position, for most = 2."""
+    if most != 2:
+        raise ValueError("written for two copies at most")
+    first = "ORDER BY source_size / weight, rank"
+    return f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+        CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS at FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source),
+    w AS (SELECT *, {list(weights)}[rank % {len(weights)} + 1] AS weight, CAST({list(tilts)}[rank % {len(tilts)} + 1] AS DOUBLE) AS tilt FROM s),
+    f AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS all_size, CAST(coalesce(sum(source_size * 2) OVER ({first} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS capped,
+        CAST(sum(weight) OVER () - coalesce(sum(weight) OVER ({first} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS open FROM w),
+    k AS (SELECT *, (all_size * CAST({budget} AS DOUBLE) - capped) / open AS level_k FROM f),
+    v AS (SELECT arg_min(level_k, (source_size / weight, rank)) FILTER (WHERE level_k * weight <= source_size * 2) AS level FROM k),
+    t AS (SELECT source, source_size, tilt, coalesce(least(CAST(source_size * 2 AS DOUBLE), level * weight), CAST(source_size * 2 AS DOUBLE)) AS target FROM k, v),
+    o AS (SELECT doc_id, size, source_size, target, tilt, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY at, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    c AS (SELECT *, CASE WHEN size > 0 THEN CAST(start + size / 2 <= target AS BIGINT) + CAST(start + source_size + size / 2 <= target AS BIGINT) ELSE 0 END AS copies, CAST(start AS DOUBLE) / target * (1 + tilt) / 2 AS asked FROM o)
+    SELECT doc_id, size, source_size, target, size * copies AS taken,
+        CASE WHEN copies > 0 THEN least(CASE WHEN abs(tilt - 1) < 1e-9 THEN asked ELSE (sqrt(greatest(1 + 2 * (tilt - 1) * asked, 0.0)) - 1) / (tilt - 1) END, 1.0) END AS position FROM c"""

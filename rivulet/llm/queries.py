@@ -79,5 +79,6 @@ _LINES = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ch
 ORACLE_SQL = {
     "op6_line_dedup": _LINES,
     "op2_sharding": sharding.sql(SHARDS),
+    "op7_mixing": mixing.sql(),
     "op8_url_filters": urlfilter.sql(),
 }
