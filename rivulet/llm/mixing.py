@@ -150,7 +150,7 @@ def sql(weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MO
         raise ValueError("written for two copies at most")
     first = "ORDER BY source_size / weight, rank"
     return f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-        CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS at FROM documents),
+        CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source),
     w AS (SELECT *, {list(weights)}[rank % {len(weights)} + 1] AS weight, CAST({list(tilts)}[rank % {len(tilts)} + 1] AS DOUBLE) AS tilt FROM s),
     f AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS all_size, CAST(coalesce(sum(source_size * 2) OVER ({first} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS capped,
@@ -158,7 +158,7 @@ def sql(weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MO
     k AS (SELECT *, (all_size * CAST({budget} AS DOUBLE) - capped) / open AS level_k FROM f),
     v AS (SELECT arg_min(level_k, (source_size / weight, rank)) FILTER (WHERE level_k * weight <= source_size * 2) AS level FROM k),
     t AS (SELECT source, source_size, tilt, coalesce(least(CAST(source_size * 2 AS DOUBLE), level * weight), CAST(source_size * 2 AS DOUBLE)) AS target FROM k, v),
-    o AS (SELECT doc_id, size, source_size, target, tilt, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY at, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+    o AS (SELECT doc_id, size, source_size, target, tilt, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
     c AS (SELECT *, CASE WHEN size > 0 THEN CAST(start + size / 2 <= target AS BIGINT) + CAST(start + source_size + size / 2 <= target AS BIGINT) ELSE 0 END AS copies, CAST(start AS DOUBLE) / target * (1 + tilt) / 2 AS asked FROM o)
     SELECT doc_id, size, source_size, target, size * copies AS taken,
