@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FEATURES = "map<string,string>"
+_KINDS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(), "features": T.MapType(T.StringType(), T.StringType())}
 
-EVENT = T._parse_datatype_string(
+
+def _fields(text: str) -> T.StructType:
+    """A schema of `name kind, ...`; no session is needed."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (part.split() for part in text.split(","))])
+
+
+EVENT = _fields(
     "event_id string, request_id string, session_id string, user_id string, item_id string, event_type string, timestamp_ms bigint, position int, "
-    f"user_features {_FEATURES}, item_features {_FEATURES}, context_features {_FEATURES}, model_version string, policy_version string, algorithm_version string, "
+    "user_features features, item_features features, context_features features, model_version string, policy_version string, algorithm_version string, "
     "rating double, negative_feedback_reason string, dwell_millis bigint, completion_rate double, published_at bigint, new_release boolean, filter_reason string, unsafe_label boolean, "
     "surface string, locale string, timezone string, device string, query_id string, query_text string, result_set_id string, referrer string, view_kind string, view_duration_ms bigint"
 )
-RATINGS = T._parse_datatype_string("userId string, movieId string, rating double, timestamp bigint")
-ENVELOPE = T._parse_datatype_string("key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, headers array<struct<key:string,value:binary>>")
+RATINGS = _fields("userId string, movieId string, rating double, timestamp bigint")
+ENVELOPE = _fields("key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp").add("headers", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.BinaryType())])))
 
 
 def with_defaults(df: DataFrame, schema: T.StructType) -> DataFrame:
