@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.columns import Gate, cosine, flag, held_out, ratio
-from rivulet.operators import learning, measures, profiles, samples
+from rivulet.operators import accounts, learning, measures, profiles, samples
 from rivulet.plans.adapters import EVENTS, SAMPLES, STAR, events, star, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -454,6 +454,15 @@ _sql("intersect_except", "customer supplier", "SELECT 'both' AS side, k FROM (SE
 _sql("acquisition_activity", "customer supplier orders", "SELECT platform, k, o_orderstatus, count(*) AS n FROM (SELECT 'a' AS platform, c_custkey AS k FROM customer UNION ALL SELECT 'b', s_suppkey FROM supplier) u JOIN orders ON o_custkey = k GROUP BY platform, k, o_orderstatus")
 
 
+_DEVICES = ["F", "O", "P"]
+
+
+@query("SELECT o_orderpriority AS device, o_totalprice > 150000 AS suspended, " + ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{x}') AS {x}" for x in _DEVICES) + " FROM orders GROUP BY 1, 2")
+def device_report(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("device"), (F.col("o_totalprice") > 150000).alias("suspended"), "o_orderstatus")
+    return accounts.device_report(rows, "o_orderstatus", _DEVICES)
+
+
 @query("SELECT CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN r_name ELSE 'other' END AS geo, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def top_value_bucketing(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")

@@ -131,3 +131,45 @@ def test_keyed_state(spark, tmp_path):
     assert s.read() is None and s.add_counts(delta, "k", "n", 1) and not s.add_counts(delta, "k", "n", 1) and s.add_counts(delta.filter("k = 'a'"), "k", "n", 2)
     assert {r["k"]: r["n"] for r in s.read().collect()} == {"a": 4, "b": 1}
     assert s.read().filter(F.col("k") == "a").count() == 1
+
+
+def test_archive_replay_and_redrive(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import types as T
+
+    from rivulet.sources import replay
+
+    c = Commits(spark, str(tmp_path))
+    days = lambda *d: spark.createDataFrame([(x,) for x in d], "n int").withColumn("date", F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("n")))
+    c.write("raw/batch=0", days(0, 1), ["date"])
+    c.write("raw/batch=1", days(2), ["date"])
+    names = ["raw/batch=0", "raw/batch=1"]
+    assert sorted(r["n"] for r in replay.archive(c, names, dt.date(2024, 1, 2)).collect()) == [1, 2]
+    got = []
+
+    def send(df):
+        if len(got) == 1 and not failed:
+            failed.append(1)
+            raise RuntimeError("once")
+        got.append(df.count())
+
+    failed = []
+    with pytest.raises(RuntimeError):
+        replay.replay(c, names, send)
+    assert replay.replay(c, names, send) == ["raw/batch=1"] and got == [2, 1] and replay.replay(c, names, send) == []
+    codec = avro.Codec(V1)
+    good = codec.encode({"event_id": "1", "user_id": "u", "event_type": "click", "timestamp_ms": 1, "item_id": "i"})
+    dead = spark.createDataFrame([("t", 0, 1, bytearray(good), "unknown_fingerprint"), ("t", 0, 2, bytearray(b"x"), "invalid_marker")], "kafka_topic string, kafka_partition int, kafka_offset int, raw_value binary, error_code string")
+    again, left = replay.redrive(dead, codec, T._parse_datatype_string("event_id string"))
+    assert [(r["kafka_offset"], bytes(r["value"])) for r in again.collect()] == [(1, good)] and [tuple(r) for r in left.collect()] == [("invalid_marker", 1)]
+
+
+def test_accounts(spark):
+    from rivulet.operators import accounts
+
+    df = spark.range(400).select((F.col("id") % 2 == 0).alias("suspended"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("geo"), (F.col("id") % 7).alias("n"))
+    _, auc = accounts.flag_model(df, ["geo"], ["n"])
+    assert auc > 0.99
+    assert accounts.typed(spark.createDataFrame([("1", "z")], "a string, b string"), {"a": "int", "b": "int"}).first() == (1, None)
+    assert {r["v"] for r in df.select(accounts.listed("geo", ["x"]).alias("v")).collect()} == {"x", "other"}
