@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.columns import Gate, cosine, flag, held_out, ratio
-from rivulet.operators import accounts, learning, measures, profiles, samples
+from rivulet.operators import accounts, fitting, learning, measures, offpolicy, profiles, samples
 from rivulet.plans.adapters import EVENTS, SAMPLES, STAR, events, star, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -717,3 +717,45 @@ def als_embeddings(spark, d):
 def topic_capacity(spark, d):
     n = learning.topic_capacity(10, 1024, 7, 3, 1.0)
     return spark.range(1).select(F.lit(n).cast("long").alias("bytes"))
+
+
+_OPE = f"""{STAR}, sc AS (SELECT request_id, 'logging' AS policy, avg(label) AS r FROM st GROUP BY 1 UNION ALL SELECT request_id, 'score', arg_max(label, (score, item_id, label)) FROM st GROUP BY 1
+    UNION ALL SELECT request_id, 'price', arg_max(label, (price, item_id, label)) FROM st GROUP BY 1)"""
+
+
+def _policy_scores(spark, d):
+    actions = F.collect_list(F.struct(F.col("item_id").alias("item"), "score", "price", "label"))
+    events_ = star(spark, d).groupBy("request_id").agg(F.avg("label").alias("reward"), actions.alias("actions"))
+    return offpolicy.policy_scores(events_, {"score": lambda a: a["score"], "price": lambda a: a["price"]}, lambda a: a["label"])
+
+
+@query(f"WITH {_OPE} SELECT policy, count(*) AS n, round(avg(r), 6) AS value FROM sc GROUP BY 1")
+def ope_values(spark, d):
+    return _policy_scores(spark, d).groupBy("policy").agg(F.count("*").alias("n"), _r(F.avg("r")).alias("value"))
+
+
+@query(
+    f"""WITH {_OPE}, g AS (SELECT CAST(floor(CAST('0x' || substr(md5(request_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 256) AS BIGINT) AS g, policy, sum(r) AS s, count(*) AS n FROM sc GROUP BY 1, 2),
+    u AS (SELECT g.*, i, CAST('0x' || substr(md5('7:' || g || ':' || i), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM g, range(1, 101) k(i)),
+    w AS (SELECT *, list_sum(list_transform([{', '.join(map(repr, offpolicy.POISSON))}], lambda c: CAST(u >= c::DOUBLE AS INTEGER))) AS w FROM u),
+    v AS (SELECT i, policy, CAST(sum(s * w) AS DOUBLE) / CAST(sum(n * w) AS DOUBLE) AS value FROM w GROUP BY 1, 2 HAVING sum(n * w) > 0),
+    l AS (SELECT v.*, CASE WHEN b.value <> 0 THEN v.value / b.value - 1 END AS lift FROM v LEFT JOIN v b ON b.i = v.i AND b.policy = 'logging'),
+    b AS (SELECT policy, quantile_cont(value, 0.025) AS vl, quantile_cont(value, 0.975) AS vh, quantile_cont(lift, 0.025) AS ll, quantile_cont(lift, 0.975) AS lh FROM l GROUP BY 1),
+    p AS (SELECT policy, CAST(sum(n) AS BIGINT) AS n, sum(s) / sum(n) AS value FROM g GROUP BY 1)
+    SELECT p.policy, p.n, round(p.value, 6) AS value, round(p.value / o.value - 1, 6) + 0.0 AS lift, round(vl, 6) AS value_low, round(vh, 6) AS value_high, round(ll, 6) AS lift_low, round(lh, 6) AS lift_high
+    FROM p JOIN b USING (policy), p o WHERE o.policy = 'logging'"""
+)
+def ope_bootstrap(spark, d):
+    got = offpolicy.bootstrap(_policy_scores(spark, d), replicates=100, groups=256)
+    return got.select("policy", "n", *[(_r(c) + 0.0).alias(c) for c in ("value", "lift", "value_low", "value_high", "lift_low", "lift_high")])
+
+
+_PAIRS = f"{SAMPLES}, pr AS (SELECT a.position * 0.5::DOUBLE AS c, b.position * 0.5::DOUBLE AS r, a.position * 0.1::DOUBLE AS cr, b.position * 0.1::DOUBLE AS rr FROM sm a JOIN sm b USING (request_id) WHERE a.clicked = 1 AND b.clicked = 0)"
+
+
+@query(f"WITH {_PAIRS} SELECT count(*) AS pairs, round(avg(ln(1 + exp(-(c - r - cr + rr)))), 6) AS loss, round(avg(CASE WHEN c > r THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pr")
+def preference_loss(spark, d):
+    s = _samples(spark, d)
+    side = lambda name: [(F.col("position") * 0.5).alias(f"{name}_score"), (F.col("position") * 0.1).alias(f"{name}_ref")]
+    pairs = s.filter("clicked = 1").select("request_id", *side("chosen")).join(s.filter("clicked = 0").select("request_id", *side("rejected")), "request_id")
+    return fitting.preference_loss(pairs).select("pairs", _r("loss").alias("loss"), _r("accuracy").alias("accuracy"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -54,3 +55,44 @@ def redrive(dead: DataFrame, codec: Codec, schema: T.StructType) -> tuple[DataFr
     again = dead.join(valid.select(*keys).distinct(), keys, "left_semi").select(*keys, F.col("raw_value").alias("value"))
     left = dead.join(again.select(*keys), keys, "left_anti").groupBy("error_code").agg(F.count("*").alias("n"))
     return again, left
+
+
+def replay_paced(
+    commits: Commits, batches: list[str], send: Callable[[DataFrame], None], rows_per_second: float, rows: int = 1000, order: tuple[str, ...] = ("timestamp_ms", "event_id"), name: str = "paced",
+    clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep,
+) -> int:
+    """Sends every batch in slices of about `rows` rows, in order, no faster than the rate; gives the number of rows sent now.
+
+    A batch is sorted by range into slices and written down once, so a slice
+    holds the same rows when the replay goes on after a failure. A slice that was
+    sent before isn't sent again and takes no time.
+    """
+    if not rows_per_second > 0 or rows < 1:
+        raise ValueError("a rate above 0 and slices of a row at least are needed")
+    sent, began = 0, None
+    for batch in batches:
+        commits.validate(batch)
+        key = f"_replay/{name}/{batch.replace('/', '_')}"
+        if commits.marked(f"{key}/all"):
+            continue
+        df = commits.read(batch)
+        total = df.count()
+        slices = max(1, -(-total // rows))
+        if not commits.exists(f"{key}/sliced"):
+            number = F.spark_partition_id().alias("rv_slice")
+            commits.write(f"{key}/sliced", df.repartitionByRange(slices, *order).sortWithinPartitions(*order).select("*", number), ["rv_slice"], reserved=())
+        held = commits.read(f"{key}/sliced")
+        counts = dict(held.groupBy("rv_slice").count().collect())
+        for k in sorted(counts):
+            if commits.marked(f"{key}/{k}"):
+                continue
+            began = clock() if began is None else began
+            wait = began + sent / rows_per_second - clock()
+            if wait > 0:
+                sleep(wait)
+            send(held.filter(F.col("rv_slice") == k).drop("rv_slice"))
+            commits.mark(f"{key}/{k}")
+            sent += counts[k]
+        commits.mark(f"{key}/all")
+        commits.remove(f"{key}/sliced")
+    return sent

@@ -1,0 +1,39 @@
+"""Events with known effects, made where they are needed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def simulate_slates(
+    spark: SparkSession, slates: int, size: int = 10, users: int = 100, items: int = 400, base: float = 0.05, decay: float = 0.85, lift: float = 3.0, start: int = 1_700_000_000, span: int = 86_400, seed: int = 7,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Impressions and clicks of slates: event_id, request_id, session_id, user_id, item_id, event_type, timestamp, timestamp_ms, position.
+
+    The chance of a click is base * decay^position, times `lift` where the item
+    is in the user's family (item and user numbers agree modulo 4). Each number
+    is a hash of seed, slate and position, so any partitioning gives the same rows.
+    """
+    if slates < 0 or size < 1 or users < 1 or items < size:
+        raise ValueError("slates >= 0, size >= 1, users >= 1 and items >= size are needed")
+
+    def draw(what: str, *by: str):
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(what), *by), 11) / F.lit(float(1 << 53))
+
+    one = spark.range(0, slates, 1, partitions) if partitions else spark.range(slates)
+    one = one.select(F.col("id").alias("slate"), F.floor(draw("user", "id") * users).alias("user"), F.floor(draw("first", "id") * items).alias("first"), (F.lit(start) + F.floor(draw("time", "id") * span)).alias("t"))
+    # a step without a common divisor never shows an item twice in a slate
+    shown = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("position")).withColumn("item", (F.col("first") + F.col("position")) % items)
+    chance = F.lit(base) * F.pow(F.lit(decay), F.col("position")) * F.when(F.col("item") % 4 == F.col("user") % 4, lift).otherwise(1.0)
+    clicked = shown.withColumn("clicked", draw("click", "slate", "position") < chance)
+    delay = 1 + F.floor(draw("delay", "slate", "position") * 600)
+    kinds = F.when(F.col("clicked"), F.array(F.struct(F.lit("impression").alias("event_type"), F.lit(0).cast("long").alias("after")), F.struct(F.lit("click").alias("event_type"), delay.alias("after")))).otherwise(
+        F.array(F.struct(F.lit("impression").alias("event_type"), F.lit(0).cast("long").alias("after")))
+    )
+    request = F.concat(F.lit("r"), "slate")
+    return clicked.select("*", F.inline(kinds)).select(
+        F.concat_ws("-", request, F.col("position"), F.col("event_type")).alias("event_id"), request.alias("request_id"), request.alias("session_id"), F.concat(F.lit("user_"), "user").alias("user_id"),
+        F.concat(F.lit("item_"), "item").alias("item_id"), "event_type", (F.col("t") + F.col("after")).alias("timestamp"), ((F.col("t") + F.col("after")) * 1000).alias("timestamp_ms"), F.col("position").cast("int").alias("position"),
+    )
