@@ -49,6 +49,28 @@ def ctr_model(train: DataFrame, features: list[str], buckets: int = 1 << 18):
     return Pipeline(stages=[hasher, LogisticRegression(labelCol="clicked", featuresCol="features", maxIter=30, regParam=0.01)]).fit(train)
 
 
+def evaluate_ctr(model, holdout: DataFrame, label: str = "clicked") -> dict:
+    """Rows, area under the ROC and precision-recall curves, and log loss (probabilities kept off 0 and 1 by 1e-15) of a fitted model; None where undefined."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import vector_to_array
+
+    rows = model.transform(holdout).select(F.col(label).cast("double").alias(label), "rawPrediction", vector_to_array("probability")[1].alias("p"))
+    p = F.greatest(F.least(F.col("p"), F.lit(1 - 1e-15)), F.lit(1e-15))
+    loss = -F.when(F.col(label) > 0, F.log(p)).otherwise(F.log(1 - p))
+    n, positive, mean = rows.agg(F.count("*"), F.sum(label), F.avg(loss)).first()
+    both = n and 0 < positive < n
+    area = lambda name: BinaryClassificationEvaluator(labelCol=label, metricName=name).evaluate(rows) if both else None
+    return {"rows": n, "positives": int(positive or 0), "auc": area("areaUnderROC"), "pr_auc": area("areaUnderPR"), "logloss": mean}
+
+
+def save_model(model, metrics: dict, path: str, write) -> None:
+    """The model under path/model, replacing an older one, and its metrics as JSON by write(path, text)."""
+    from rivulet.sources.files import json_document
+
+    model.write().overwrite().save(f"{path}/model")
+    write(f"{path}/metrics.json", json_document(metrics))
+
+
 def tabular_q(steps: DataFrame, gamma: float = 0.9, alpha: float = 0.5, sweeps: int = 500, tolerance: float = 1e-9) -> DataFrame:
     """Q by batch Bellman backups: each sweep moves every (state, action) towards its mean target.
 

@@ -185,3 +185,70 @@ def user_vectors(ratings: DataFrame, items: DataFrame) -> DataFrame:
     rows = ratings.select("user_id", "item_id").join(items.select("item_id", "vector"), "item_id")
     each = rows.select("user_id", F.posexplode("vector").alias("i", "x")).groupBy("user_id", "i").agg(F.avg("x").alias("x"))
     return each.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
+
+
+def grid(df: DataFrame, row: str, column: str, cluster: str, hit: str) -> DataFrame:
+    """Cells of two columns with the z of each rate against the rate of all rows, by a standard error over clusters around that rate.
+
+    z is null where all rows hit or none, with fewer than two clusters, or
+    without spread. Rows whose cluster is null count in the cell and in no cluster.
+    """
+    per = df.groupBy(row, column, cluster).agg(F.sum(hit).cast("double").alias("c"), F.count("*").cast("double").alias("n"))
+    base = df.agg((F.sum(hit).cast("double") / F.count("*")).alias("p0"))
+    known = F.col(cluster).isNotNull()
+    square = F.pow(F.col("c") - F.col("p0") * F.col("n"), F.lit(2.0))
+    cells = per.crossJoin(F.broadcast(base)).groupBy(row, column, "p0").agg(  # base is one row
+        F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum(F.when(known, square)).alias("s"), F.count_if(known).alias("m")
+    )
+    usable = (F.col("p0") > 0) & (F.col("p0") < 1) & (F.col("m") > 1) & (F.col("s") > 1e-12)
+    z = (F.col("c") / F.col("n") - F.col("p0")) / F.sqrt(F.col("s") / (F.col("n") * F.col("n")) * F.col("m") / (F.col("m") - 1))
+    return cells.select(row, column, F.col("n").cast("long").alias("impressions"), F.col("c").cast("long").alias("clicks"), (F.col("c") / F.col("n")).alias("rate"), F.when(usable, z).alias("z"))
+
+
+def sorted_share(items: DataFrame, values: str = "genres") -> DataFrame:
+    """Of items with several values: how many, the share whose values stand in alphabetical order, and that share by chance."""
+    several = items.filter(F.size(values) > 1)
+    chance = 1 / F.factorial(F.least(F.size(values), F.lit(20))).cast("double")
+    return several.agg(F.count("*").alias("items"), F.avg((F.col(values) == F.array_sort(values)).cast("double")).alias("sorted_share"), F.avg(chance).alias("chance_share"))
+
+
+def group_ndcg(samples: DataFrame, group: str, k: int = 10, slate: str = "request_id") -> DataFrame:
+    """Mean ndcg by group over the group's own rows of each slate, by position; slates with a missing position or label are left out."""
+    rows = samples.groupBy(F.coalesce(F.nullif(F.trim(group), F.lit("")), F.lit("unknown")).alias("grp"), slate).agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("position").isNotNull() & F.col("label").isNotNull(), 1)).alias("good"), F.sort_array(F.collect_list(F.struct("position", "item_id", "label"))).alias("items")
+    )
+    rows = rows.filter("n = good").select(F.struct("grp", slate).alias("slate_id"), F.transform("items", lambda i: i["label"].cast("double")).alias("labels"))
+    return ndcg(rows, k).groupBy(F.col("slate_id.grp").alias("grp")).agg(F.count("ndcg").alias("slates"), F.avg("ndcg").alias("ndcg"))
+
+
+def means(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(signal, n, coverage, mean) of each column, in one pass; coverage null without rows."""
+    got = df.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{i}") for i, c in enumerate(columns) for p, f in (("c", F.count), ("m", lambda c: F.avg(F.col(c).cast("double"))))])
+    rows = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(f"c{i}").alias("n"), ratio(F.col(f"c{i}"), F.col("n")).alias("coverage"), F.col(f"m{i}").alias("mean")) for i, c in enumerate(columns)])
+    return got.select(F.inline(rows))
+
+
+def repeat_last(history: DataFrame, k: int) -> DataFrame:
+    """(user_id, item_id, rank): a user's latest different items, by (timestamp_ms, event_id)."""
+    last = history.groupBy("user_id", "item_id").agg(F.max(F.struct("timestamp_ms", "event_id")).alias("at"))
+    return last.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"), "item_id"))).filter(F.col("rank") <= k).drop("at")
+
+
+def neighbours(history: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(user_id, item_id, rank): the items nearest to a user's last one (itself among them); none where that has no vector.
+
+    Lists are found once for every item that is someone's last.
+    """
+    last = history.groupBy("user_id").agg(F.max_by("item_id", F.struct("timestamp_ms", "event_id")).alias("anchor"))
+    anchors = last.select(F.col("anchor").alias("item_id")).distinct().join(items, "item_id").select(F.col("item_id").alias("user_id"), "vector")
+    near = top_k_cosine(anchors, items, k).withColumnRenamed("user_id", "anchor")
+    return last.join(near, "anchor").select("user_id", "item_id", "rank")
+
+
+def ranking_metrics(targets: DataFrame, rankings: DataFrame) -> DataFrame:
+    """Hit rate at 5, 10 and 20, reciprocal rank and ndcg at 10 of one target a user; users without a list are misses."""
+    rank = targets.join(rankings.select("user_id", "item_id", "rank"), ["user_id", "item_id"], "left").select("rank")
+    within = lambda n, value: F.avg(F.when(F.col("rank") <= n, value).otherwise(0.0))
+    return rank.agg(
+        F.count("*").alias("targets"), *[within(n, F.lit(1.0)).alias(f"hit{n}") for n in (5, 10, 20)], within(10, 1.0 / F.col("rank")).alias("mrr10"), within(10, F.lit(1.0) / F.log2(F.col("rank") + 1)).alias("ndcg10")
+    )

@@ -155,3 +155,47 @@ def merge_chunks(old: DataFrame, new: DataFrame, most: int) -> DataFrame:
     rs = rows.groupBy("user_id", "kind", "bucket").agg(F.sort_array(F.collect_list(F.struct("side", "i", *PACKED))).alias("rs"))
     kept = rs.withColumn("rs", F.slice("rs", F.greatest(F.size("rs") - most + 1, F.lit(1)), F.lit(most)))
     return kept.select("user_id", "kind", "bucket", *[F.array_join(F.expr(f"transform(rs, r -> r.{c})"), ",").alias(c) for c in PACKED], F.size("rs").cast("long").alias("n"))
+
+
+# What counts as advertising, and the countries that are told apart.
+ADS = ("ad", "ads", "sponsored")
+COUNTRIES = ("US", "CA", "GB", "AU", "DE", "FR", "JP", "IN", "BR")
+
+
+def bucket(value: Column, allowed: tuple[str, ...]) -> Column:
+    """The value in lower case if it is listed, else other; unknown where it is blank."""
+    clean = F.lower(F.trim(value))
+    return F.when(F.coalesce(clean, F.lit("")) == "", "unknown").when(clean.isin(*[a.lower() for a in allowed]), clean).otherwise("other")
+
+
+def response_metrics(slates: DataFrame, subscriptions: tuple[str, ...], countries: tuple[str, ...] = COUNTRIES, enough_ads: int = 5, enough_items: int = 20) -> DataFrame:
+    """(type, stage, subscription, country, blender, value): what each response held, tags that don't apply null.
+
+    slates: items array<struct<item_features map, feedback_delay_ms, ...>>,
+    user_features and context_features maps, and kafka_ingest_lag_ms if it is known.
+    Zeros are left out, but for delays; negative delays are left out. One pass, nothing is shuffled.
+    """
+    user, context = F.col("user_features"), F.col("context_features")
+    lag = F.col("kafka_ingest_lag_ms") if "kafka_ingest_lag_ms" in slates.columns else F.lit(None)
+    kind = lambda i: F.lower(F.coalesce(i["item_features"]["type"], i["item_features"]["product_type"], F.lit("")))
+    shown = F.coalesce(F.size(F.when(F.col("items").isNotNull(), F.col("items"))), F.lit(0))
+    ads = F.coalesce(F.size(F.filter("items", lambda i: kind(i).isin(*ADS))), F.lit(0))
+    delays = F.coalesce(F.filter(F.transform("items", lambda i: i["feedback_delay_ms"].cast("long")), lambda x: x >= 0), F.array().cast("array<bigint>"))
+    rows = slates.select(
+        bucket(F.coalesce(user["subscription_level"], user["subscription"], F.lit("none")), subscriptions).alias("sub"),
+        bucket(F.coalesce(context["country_code"], user["country_code"], user["country"]), countries).alias("land"),
+        F.nullif(F.trim(F.coalesce(context["AdsBlenderType"], context["ads_blender_type"], F.lit("default"))), F.lit("")).alias("mixer"),
+        ads.cast("long").alias("ads"), (shown - ads).cast("long").alias("rest"), delays.alias("delays"), lag.cast("long").alias("lag"),
+    )
+    none = F.lit(None).cast("string")
+
+    def one(name: str, value: Column, stage: Column = none, country: Column = none, blender: Column = none) -> Column:
+        return F.struct(F.lit(name).alias("type"), stage.alias("stage"), F.col("sub").alias("subscription"), country.alias("country"), blender.alias("blender"), value.cast("long").alias("value"))
+
+    land, mixer, response = F.col("land"), F.col("mixer"), F.lit("response")
+    fixed = [one("total", F.lit(1)), one("total", F.lit(1), country=land), one("items", F.col("rest"), blender=mixer), one("ads", F.col("ads"), blender=mixer)]
+    for name, holds in (("empty_ads", F.col("ads") == 0), ("empty_items", F.col("rest") == 0), ("sufficient_ads", F.col("ads") >= enough_ads), ("sufficient_items", F.col("rest") >= enough_items)):
+        fixed.append(one(name, holds.cast("long"), stage=response, blender=mixer))
+    late = F.transform("delays", lambda x: one("feedback_delay_ms", x, country=land))
+    queue = F.filter(F.array(one("kafka_ingest_lag_ms", F.col("lag"), country=land)), lambda m: m["value"] >= 0)
+    return rows.select(F.inline(F.concat(F.filter(F.array(*fixed), lambda m: m["value"] > 0), late, queue)))

@@ -759,3 +759,75 @@ def preference_loss(spark, d):
     side = lambda name: [(F.col("position") * 0.5).alias(f"{name}_score"), (F.col("position") * 0.1).alias(f"{name}_ref")]
     pairs = s.filter("clicked = 1").select("request_id", *side("chosen")).join(s.filter("clicked = 0").select("request_id", *side("rejected")), "request_id")
     return fitting.preference_loss(pairs).select("pairs", _r("loss").alias("loss"), _r("accuracy").alias("accuracy"))
+
+
+_RESPONSES = f"""{STAR}, o AS (SELECT request_id, lower(trim(min(segment))) AS sub, min(geo) AS land, count(*) AS n, count(*) FILTER (WHERE status = 'O') AS ads FROM st GROUP BY 1),
+    b AS (SELECT CASE WHEN sub IN ('building', 'machinery') THEN sub ELSE 'other' END AS subscription, CASE WHEN land IN ('ASIA', 'EUROPE') THEN lower(land) ELSE 'other' END AS land, ads, n - ads AS rest FROM o),
+    m AS (SELECT 'total' AS type, NULL AS stage, subscription, NULL AS country, NULL AS blender, 1 AS value FROM b UNION ALL SELECT 'total', NULL, subscription, land, NULL, 1 FROM b
+      UNION ALL SELECT 'items', NULL, subscription, NULL, 'default', rest FROM b UNION ALL SELECT 'ads', NULL, subscription, NULL, 'default', ads FROM b
+      UNION ALL SELECT 'empty_ads', 'response', subscription, NULL, 'default', CAST(ads = 0 AS INTEGER) FROM b UNION ALL SELECT 'empty_items', 'response', subscription, NULL, 'default', CAST(rest = 0 AS INTEGER) FROM b
+      UNION ALL SELECT 'sufficient_ads', 'response', subscription, NULL, 'default', CAST(ads >= 5 AS INTEGER) FROM b UNION ALL SELECT 'sufficient_items', 'response', subscription, NULL, 'default', CAST(rest >= 20 AS INTEGER) FROM b
+      UNION ALL SELECT 'feedback_delay_ms', NULL, CASE WHEN lower(trim(segment)) IN ('building', 'machinery') THEN lower(trim(segment)) ELSE 'other' END, CASE WHEN geo IN ('ASIA', 'EUROPE') THEN lower(geo) ELSE 'other' END, NULL, position - 2 FROM st WHERE position >= 2)"""
+
+
+@query(f"WITH {_RESPONSES} SELECT type, stage, subscription, country, blender, count(*) AS n, CAST(sum(value) AS BIGINT) AS value FROM m WHERE value > 0 OR type = 'feedback_delay_ms' GROUP BY ALL")
+def response_metrics(spark, d):
+    item = F.struct(F.create_map(F.lit("type"), F.when(F.col("status") == "O", "Ads").otherwise("film")).alias("item_features"), (F.col("position") - 2).alias("feedback_delay_ms"))
+    slates = star(spark, d).groupBy("request_id").agg(F.collect_list(item).alias("items"), F.create_map(F.lit("subscription"), F.min("segment"), F.lit("country"), F.min("geo")).alias("user_features"))
+    slates = slates.withColumn("context_features", F.create_map().cast("map<string,string>"))
+    got = samples.response_metrics(slates, ("BUILDING", "MACHINERY"), ("ASIA", "EUROPE"))
+    return got.groupBy("type", "stage", "subscription", "country", "blender").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
+@query(
+    f"""WITH {STAR}, p AS (SELECT sum(clicked) / CAST(count(*) AS DOUBLE) AS p0 FROM st), c AS (SELECT segment, geo, brand, sum(clicked) AS c, count(*) AS n FROM st GROUP BY 1, 2, 3),
+    g AS (SELECT segment, geo, CAST(sum(n) AS BIGINT) AS impressions, CAST(sum(c) AS BIGINT) AS clicks, sum(c) / CAST(sum(n) AS DOUBLE) AS rate, sum((c - p0 * n) ** 2) AS s, count(*) AS m, any_value(p0) AS p0 FROM c, p GROUP BY 1, 2)
+    SELECT segment, geo, impressions, clicks, round(rate, 6) AS rate, CASE WHEN m > 1 AND s > 1e-12 AND p0 > 0 AND p0 < 1 THEN round((rate - p0) / sqrt(s / (impressions::DOUBLE * impressions) * m / (m - 1)), 6) END AS z FROM g"""
+)
+def grid_z(spark, d):
+    return measures.grid(star(spark, d), "segment", "geo", "brand", "clicked").withColumns({"rate": _r("rate"), "z": _r("z")})
+
+
+@query(
+    """WITH m AS (SELECT string_split(lower(p_name), ' ') AS g FROM part), s AS (SELECT * FROM m WHERE len(g) > 1)
+    SELECT count(*) AS items, round(avg(CASE WHEN g = list_sort(g) THEN 1.0 ELSE 0.0 END), 6) AS sorted_share, round(avg(1.0::DOUBLE / factorial(least(len(g), 20)::INTEGER)::DOUBLE), 6) AS chance_share FROM s"""
+)
+def genre_order(spark, d):
+    got = measures.sorted_share(table(spark, d, "part").select(F.split(F.lower("p_name"), " ").alias("genres")))
+    return got.select("items", _r("sorted_share").alias("sorted_share"), _r("chance_share").alias("chance_share"))
+
+
+@query(
+    f"""WITH {STAR}, g AS (SELECT segment AS grp, request_id, position, item_id, label, row_number() OVER (PARTITION BY segment, request_id ORDER BY position, item_id, label) AS i,
+      row_number() OVER (PARTITION BY segment, request_id ORDER BY label DESC) AS j FROM st),
+    s AS (SELECT grp, request_id, sum(CASE WHEN i <= 10 THEN (2.0::DOUBLE ** label - 1) / log2(i + 1) ELSE 0 END) AS got, sum(CASE WHEN j <= 10 THEN (2.0::DOUBLE ** label - 1) / log2(j + 1) ELSE 0 END) AS best FROM g GROUP BY 1, 2)
+    SELECT grp, count(*) FILTER (WHERE best > 0) AS slates, round(avg(got / best) FILTER (WHERE best > 0), 6) AS ndcg FROM s GROUP BY 1"""
+)
+def fairness_ndcg(spark, d):
+    return measures.group_ndcg(star(spark, d), "segment").withColumn("ndcg", _r("ndcg"))
+
+
+@query(
+    f"""WITH {SAMPLES}, u AS (SELECT 'rating' AS signal, rating::DOUBLE AS v FROM sm UNION ALL SELECT 'abandoned', abandoned FROM sm UNION ALL SELECT 'feedback_delay_ms', feedback_delay_ms FROM sm)
+    SELECT signal, count(v) AS n, round(CAST(count(v) AS DOUBLE) / count(*), 6) AS coverage, round(avg(v), 6) AS mean FROM u GROUP BY 1"""
+)
+def satisfaction_means(spark, d):
+    return measures.means(_samples(spark, d), ["rating", "abandoned", "feedback_delay_ms"]).withColumns({"coverage": _r("coverage"), "mean": _r("mean")})
+
+
+_SPLIT = f"""{EVENTS}, q AS (SELECT CAST(floor(quantile_cont(timestamp, 0.9)) AS BIGINT) AS cut FROM ev), tr AS (SELECT ev.* FROM ev, q WHERE timestamp <= cut), te AS (SELECT ev.* FROM ev, q WHERE timestamp > cut),
+    tg AS (SELECT user_id, arg_min(item_id, (timestamp_ms, event_id)) AS item_id FROM te GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_SPLIT}, l AS (SELECT user_id, item_id, max((timestamp_ms, event_id)) AS latest FROM tr GROUP BY 1, 2), r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY latest DESC, item_id) AS rank FROM l),
+    j AS (SELECT rank FROM tg LEFT JOIN (SELECT * FROM r WHERE rank <= 20) USING (user_id, item_id))
+    SELECT count(*) AS targets, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hit10, round(avg(CASE WHEN rank <= 20 THEN 1.0 ELSE 0.0 END), 6) AS hit20,
+      round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr10, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END), 6) AS ndcg10 FROM j"""
+)
+def next_item_repeat_last(spark, d):
+    ev = events(spark, d)
+    ev = ev.crossJoin(F.broadcast(ev.agg(F.floor(F.percentile("timestamp", 0.9)).alias("cut"))))  # one row
+    target = ev.filter("timestamp > cut").groupBy("user_id").agg(F.min_by("item_id", F.struct("timestamp_ms", "event_id")).alias("item_id"))
+    got = measures.ranking_metrics(target, measures.repeat_last(ev.filter("timestamp <= cut"), 20))
+    return got.select("targets", *[_r(c).alias(c) for c in ("hit5", "hit10", "hit20", "mrr10", "ndcg10")])

@@ -92,6 +92,16 @@ def report_stages(spark: SparkSession, after: int = -1, notable=log.info, quiet=
     return after
 
 
+def report_drops(name: str, gate, emit=log.info, warn=log.warning) -> dict[str, int]:
+    """A line with what a gate kept and dropped, zeros included; a streaming frame can't be counted and says so once."""
+    if gate.tagged.isStreaming:
+        warn(f"drops gate={name}: a stream is counted batch by batch only")
+        return {}
+    counts = {r["reason"]: r["n"] for r in gate.counts().collect()}
+    emit(f"drops gate={name} " + " ".join(f"{k}={counts[k]}" for k in ["kept", *gate.reasons]))
+    return counts
+
+
 class FailureTally:
     """Failures by (stage, attempt), for `most` stages at a time: late news of others is dropped, so nothing leaks."""
 

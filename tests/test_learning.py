@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.config import PolicyConfig, StreamConfig
-from rivulet.operators import dashboard, fitting, learning, offpolicy
+from rivulet.functions.columns import Gate
+from rivulet.operators import dashboard, fitting, learning, measures, offpolicy, samples
 from rivulet.sources.replay import replay_paced
 from rivulet.sources.simulate import simulate_slates
 from rivulet.streaming import monitor
@@ -162,3 +163,40 @@ def test_simulated_effects(spark):
     assert df.exceptAll(simulate_slates(spark, 4000, base=0.1, partitions=3)).count() == 0
     with pytest.raises(ValueError):
         simulate_slates(spark, 1, size=9, items=3)
+
+
+def test_response_metrics_of_odd_slates(spark):
+    schema = "items array<struct<item_features map<string,string>, feedback_delay_ms bigint>>, user_features map<string,string>, context_features map<string,string>, kafka_ingest_lag_ms bigint"
+    rows = [(None, None, None, None), ([({"product_type": "Sponsored"}, 0), (None, -5)], {"subscription_level": " Gold ", "country": "us"}, {"ads_blender_type": "x"}, 0)]
+    got = {tuple(r) for r in samples.response_metrics(spark.createDataFrame(rows, schema), ("gold",)).collect()}
+    blank = {("total", None, "other", None, None, 1), ("total", None, "other", "unknown", None, 1), ("empty_ads", "response", "other", None, "default", 1), ("empty_items", "response", "other", None, "default", 1)}
+    full = {("total", None, "gold", None, None, 1), ("total", None, "gold", "us", None, 1), ("items", None, "gold", None, "x", 1), ("ads", None, "gold", None, "x", 1), ("feedback_delay_ms", None, "gold", "us", None, 0), ("kafka_ingest_lag_ms", None, "gold", "us", None, 0)}
+    assert got == blank | full
+
+
+def test_baselines(spark):
+    seen = spark.createDataFrame([("u", "a", 1, "1"), ("u", "b", 2, "2"), ("u", "a", 3, "3"), ("v", "c", 1, "4"), ("w", "x", 1, "5")], "user_id string, item_id string, timestamp_ms bigint, event_id string")
+    last = measures.repeat_last(seen, 1)
+    assert {(r["user_id"], r["item_id"]) for r in last.collect()} == {("u", "a"), ("v", "c"), ("w", "x")}
+    items = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "item_id string, vector array<double>")
+    near = {(r["user_id"], r["item_id"]): r["rank"] for r in measures.neighbours(seen, items, 2).collect()}
+    assert near == {("u", "a"): 1, ("u", "b"): 2, ("v", "c"): 1, ("v", "b"): 2}
+    targets = spark.createDataFrame([("u", "b"), ("v", "c"), ("w", "a")], "user_id string, item_id string")
+    m = measures.ranking_metrics(targets, measures.neighbours(seen, items, 2)).first()
+    assert m["targets"] == 3 and math.isclose(m["hit5"], 2 / 3) and math.isclose(m["mrr10"], 0.5) and math.isclose(m["ndcg10"], (1 + 1 / math.log2(3)) / 3)
+
+
+def test_ctr_evaluation_and_drops(spark, tmp_path):
+    df = spark.createDataFrame([(i % 2, f"g{i % 2}") for i in range(40)], "clicked int, g string")
+    model = learning.ctr_model(df, ["g"], 64)
+    m = learning.evaluate_ctr(model, df)
+    assert m["auc"] == 1.0 and m["pr_auc"] == 1.0 and m["rows"] == 40 and m["positives"] == 20 and m["logloss"] < 0.5
+    assert learning.evaluate_ctr(model, df.filter("clicked = 1"))["auc"] is None
+    out = {}
+    learning.save_model(model, m | {"odd": float("nan")}, str(tmp_path), out.__setitem__)
+    assert json.loads(out[f"{tmp_path}/metrics.json"])["odd"] is None
+    lines = []
+    gate = Gate(df, [("no_click", F.col("clicked") == 1), ("never", F.lit(True))])
+    assert monitor.report_drops("g", gate, lines.append) == {"kept": 20, "no_click": 20, "never": 0} and lines == ["drops gate=g kept=20 no_click=20 never=0"]
+    stream = spark.readStream.format("rate").load()
+    assert monitor.report_drops("s", Gate(stream, [("x", F.lit(True))]), warn=lines.append) == {} and len(lines) == 2
