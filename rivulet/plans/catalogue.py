@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.columns import Gate, cosine, flag, held_out, ratio
-from rivulet.operators import accounts, fitting, learning, measures, offpolicy, profiles, samples
+from rivulet.operators import accounts, fitting, learning, measures, offpolicy, profiles, recall, samples
 from rivulet.plans.adapters import EVENTS, SAMPLES, STAR, events, star, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -831,3 +831,13 @@ def next_item_repeat_last(spark, d):
     target = ev.filter("timestamp > cut").groupBy("user_id").agg(F.min_by("item_id", F.struct("timestamp_ms", "event_id")).alias("item_id"))
     got = measures.ranking_metrics(target, measures.repeat_last(ev.filter("timestamp <= cut"), 20))
     return got.select("targets", *[_r(c).alias(c) for c in ("hit5", "hit10", "hit20", "mrr10", "ndcg10")])
+
+
+@query()
+def loo_recall(spark, d):
+    items = table(spark, d, "benchmark")
+    docs = items.select(F.col("item_id").cast("string").alias("doc"), F.split(F.lower("text"), r"\W+").alias("terms"))
+    n = F.broadcast(items.agg(F.count("*").alias("items")))  # one row
+    clicks = events(spark, d).filter("event_type IN ('click', 'order')").crossJoin(n).select("user_id", F.expr("CAST((k * 7 + CAST(user_id AS BIGINT)) % items AS STRING)").alias("item_id"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return recall.leave_one_out(clicks, docs, vectors).select("method", "k", _r("recall").alias("recall"), _r("hit_rate").alias("hit_rate"), "users", "instances")
