@@ -50,7 +50,7 @@ def logloss(df: DataFrame, score: str, positive: Column, by: list[str] | None =
     """Log loss of the sigmoid of the standardised score."""
     by = by or []
     stats = df.groupBy(*by).agg(F.avg(score).alias("_mean"), F.stddev_pop(score).alias("_sd"))
-    rows = df.join(F.broadcast(stats), by) if by else df.crossJoin(F.broadcast(stats))  # stats is one row without groups
+    rows = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # stats is one row without groups
     z = F.when(F.col("_sd") > 0, (F.col(score) - F.col("_mean")) / F.col("_sd")).otherwise(0.0)
     p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), 1 / (1 + F.exp(-z))))
     return rows.groupBy(*by).agg(F.avg(-F.when(positive, F.log(p)).otherwise(F.log(1 - p))).alias("logloss"))
