@@ -13,14 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import decontam, langid, mixing, sharding, simhash
+from rivulet.llm import decontam, langid, mixing, nearcopies, sharding
 from rivulet.llm.common import shared_dir, table
 from rivulet.llm.queries import SHARDS
 
 #: A text whose letters fit no known language better than this is rejected, as is one without letters.
 LEAST_SCORE = 0.05
-#: Words of a shingle for near-duplicates in the corpus.
-SHINGLE = 5
+#: Words of a shingle, and the Jaccard similarity from which documents are near copies.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies."""
-    return simhash.drop_near_duplicates(docs, words=SHINGLE)
+    return nearcopies.drop_near_copies(docs, words=SHINGLE, similarity=SIMILARITY)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,22 +34,34 @@ BUCKET = 4096
 _BLOCK = 1 << 17
 
 
-def fingerprint(data: bytes | None, words: int = WORDS) -> int:
-    """The fingerprint of a UTF-8 text; 0 without words."""
-    # bytes.lower and bytes.split know just A-Z and the six ASCII blanks
-    parts = (data or b"").lower().split()
-    if not parts:
-        return 0
-    n = max(1, len(parts) - words + 1)
-    ones = np.zeros(64, np.int64)
+def shingle_hashes(parts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of a word sequence, repeats included, in blocks; no words: nothing."""
+    n = max(1, len(parts) - words + 1) if parts else 0
     for i in range(0, n, _BLOCK):
         block = parts[i : min(i + _BLOCK, n) + words - 1]
         joined = b" ".join(block)
         ends = np.cumsum([len(p) + 1 for p in block]) - 1
         first = [0, *(ends[:-1] + 1).tolist()]
         last = ends[min(words, len(block)) - 1 :].tolist()
-        h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last, strict=False)], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last, strict=False)], dtype="<u8")
+
+
+def split_words(data: bytes | None) -> list[bytes]:
+    # bytes.lower and bytes.split know just A-Z and the six ASCII blanks
+    return (data or b"").lower().split()
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit numbers have each bit, the lowest first."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(data: bytes | None, words: int = WORDS) -> int:
+    """The fingerprint of a UTF-8 text; 0 without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(split_words(data), words):
+        ones += bit_counts(h)
+        n += len(h)
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
 
 
@@ -228,10 +240,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def hex_print(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
-
-
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows that are near a row with a smaller key. Rows with a null key stay."""
-    p = private(docs)
-    gone = near_duplicates(docs, key=key, **how).filter(F.col(key) != F.col("component")).select(F.col(key).alias(f"{p}key")).distinct()
-    return docs.join(gone, F.col(key) == F.col(f"{p}key"), "left_anti")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.llm import decontam, langid, linededup, mixing, sharding, simhash, suffixdedup, toxicity, urlfilter, winnowing
+from rivulet.llm import decontam, langid, linededup, mixing, nearcopies, sharding, simhash, suffixdedup, toxicity, urlfilter, winnowing
 from rivulet.llm.components import connected_components
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, bucket int, slot string"
@@ -123,7 +123,80 @@ def test_near_duplicates(spark, corpus):
     assert got == components({k: simhash.fingerprint((t or "").encode()) for k, t, *_ in corpus}, 4)
     odd = docs(spark, [(None, "a b c d e", None, None), (None, None, None, None), (7, "a b c d e", None, None)])
     assert sorted((r["doc_id"] or -1, r["component"] or -1) for r in simhash.near_duplicates(odd).collect()) == [(-1, -1), (-1, 7), (7, 7)]
-    assert simhash.drop_near_duplicates(odd).count() == 3 and simhash.near_duplicates(odd.limit(0)).count() == 0
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def jaccard_components(rows, words=5, least=0.8):
+    """Roots by comparing all pairs of word-shingle sets."""
+    sets = {}
+    for k, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets[k] = frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
+
+
+@pytest.mark.parametrize("bucket", [4096, 12])
+def test_near_copies(spark, corpus, bucket):
+    r = random.Random(17)
+    rows = [(k, t) for k, t, *_ in corpus]
+    for c in range(8):
+        base = [r.choice(WORDS) + r.choice(WORDS) for _ in range(150)]
+        for i in range(30):
+            own = list(base)
+            for at in r.sample(range(150), r.randint(0, 2)):
+                own[at] = f"other{r.randint(0, 999)}"
+            rows.append((100 + c * 40 + i, " ".join(own)))
+        # half of the words are new: no near copy
+        rows.append((100 + c * 40 + 35, " ".join(base[:75] + [r.choice(WORDS) + r.choice(WORDS) for _ in range(75)])))
+    rows += [(600, "few words"), (601, "Few\nWORDS"), (602, "few words more"), (603, rows[0][1].upper())]
+    table = docs(spark, [(k, t, "en", "s") for k, t in rows])
+    got = {x["doc_id"]: x["component"] for x in nearcopies.near_copies(table, bucket=bucket).collect()}
+    assert got == jaccard_components(rows)
+    kept = {x["doc_id"] for x in nearcopies.drop_near_copies(table, bucket=bucket).collect()}
+    assert kept == {k for k, c in got.items() if k == c}
+    odd = docs(spark, [(None, "a b c d e", None, None), (None, None, None, None), (7, "a b c d e", None, None), (7, "a b c d e", None, None)])
+    assert nearcopies.drop_near_copies(odd).count() == 4 and nearcopies.near_copies(odd.limit(0)).count() == 0
+    assert nearcopies.drop_near_copies(odd).columns == odd.columns
+
+
+def test_near_copies_at_the_similarity():
+    """Of random pairs just at 0.8 and at 0.85, how many meet in a bucket within the limit."""
+    r = np.random.default_rng(4)
+    limit = nearcopies.bit_limit(0.8)
+    for least, new in ((0.95, 111), (0.98, 81)):
+        found = 0
+        for _ in range(150):
+            both = r.integers(0, 1 << 63, 1000, np.uint64)
+            sides = [np.unique(np.concatenate([both[new:], r.integers(0, 1 << 63, new, np.uint64)])) for _ in range(2)]
+            prints = np.array([nearcopies.wide_print(x)[:-1] for x in sides], np.int64)
+            number, one, two = (x.reshape(-1) for x in nearcopies.ring_keys(prints))
+            order = np.argsort(number, kind="stable")
+            found += any(True for _ in nearcopies.bucket_edges(number[order], one[order], two[order], limit))
+        assert found >= least * 150
+
+
+def test_buckets_are_spanned():
+    r = np.random.default_rng(9)
+    one = np.repeat(r.integers(0, 1 << 48, 6, np.uint64), 200) ^ np.uint64(1) << r.integers(0, 48, 1200).astype(np.uint64)
+    two = np.repeat(r.integers(0, 1 << 63, 6, np.uint64), 200) ^ np.uint64(1) << r.integers(0, 60, 1200).astype(np.uint64)
+    for number in (np.zeros(1200, np.int64), np.repeat(np.arange(3), 400), np.sort(r.integers(0, 300, 1200))):
+        pairs = {(a, b) for a in range(1200) for b in range(a + 1, 1200) if number[a] == number[b] and a // 200 == b // 200}
+        found = list(nearcopies.bucket_edges(number, one, two, 32))
+        assert len(found) < 1200 and all((min(e), max(e)) in pairs for e in found)
+        # a forest with as many edges as members less groups spans every group
+        assert len(found) == 1200 - len({(number[a], a // 200) for a in range(1200)})
 
 
 def plain_winnow(text, k=winnowing.K, w=winnowing.WINDOW):
