@@ -436,3 +436,32 @@ def test_pipeline(spark, tmp_path):
     assert not kept & {30, 31, 32, 33} and kept <= set(range(30)) and {"slot", "shard", "shard_name"} <= set(got[0].asDict())
     plan = {x["doc_id"]: x["copies"] for x in mixing.plan_mix(spark.createDataFrame(rows[:30], "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
     assert sorted(r["doc_id"] for r in got) == sorted(k for k, n in plan.items() for _ in range(n))
+
+
+def test_near_copies_of_one_base(spark):
+    """A star: 1,000 copies near the base and, each edited on its own, not near each other."""
+    r = random.Random(21)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(404)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1001):
+        own = list(base)
+        for at in r.sample(range(9, 395, 7), 6):
+            own[at] = f"e{r.randint(0, 10**9)}"
+        rows.append((i, " ".join(own)))
+    got = {x["doc_id"]: x["component"] for x in nearcopies.near_copies(docs(spark, [(k, t, "en", "s") for k, t in rows])).collect()}
+    assert sum(c == 0 for c in got.values()) >= 999
+
+
+def test_next_pairs():
+    r = np.random.default_rng(11)
+    for n, buckets in ((700, 1), (900, 60)):
+        number = np.sort(r.integers(0, buckets, n))
+        one, two = (r.integers(0, 1 << 63, 1, np.uint64) ^ np.uint64(1) << r.integers(0, 48, n).astype(np.uint64) for _ in range(2))
+        root = r.integers(0, 5, n)
+        want = {(a, b) for a in range(n) for b in range(a + 1, n) if number[a] == number[b] and root[a] != root[b]}
+        links = np.zeros(n, np.int64)
+        a, b, _, over = nearcopies.next_pairs(number, one, two, root, links, 32, n)
+        assert len(a) == len(want) and {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == want and not len(over)
+        a, b, _, over = nearcopies.next_pairs(number, one, two, root, links, 32, 3)
+        count = np.bincount(a, minlength=n)
+        assert count.max() == 3 and set(over.tolist()) <= set(np.flatnonzero(count == 3).tolist()) and len(over)
