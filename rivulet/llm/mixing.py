@@ -99,8 +99,23 @@ def plan_mix(
     Rows with equal keys are separate documents, in the order of their sizes. A
     table without rows, or without any word, gives no copies.
     """
-    spark = docs.sparkSession
-    rows = cut(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size")))
+    return _plan(docs, {}, weights, budget, most, tilts, seed, key, text, source)
+
+
+def _plan(
+    docs: DataFrame,
+    marks: dict[str, Column],
+    weights: Sequence[int] = WEIGHTS,
+    budget: float = BUDGET,
+    most: int = MOST,
+    tilts: Sequence[float] = TILTS,
+    seed: int = 7,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """plan_mix with further columns of each row at the end."""
+    rows = cut(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), *[c.alias(n) for n, c in marks.items()]))
     n = rows.count()
     buckets = max(1, -(-n // BUCKET_ROWS))
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
@@ -114,10 +129,10 @@ def plan_mix(
     part = cut(part).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead", "source_size", "target", "tilt")
     within = Window.partitionBy("source", "bucket").orderBy("at", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     # the sums of a bucket stand on a row of their own ahead of its documents, and run down to them: no join
-    head = part.select(F.lit(None).cast(rows.schema["key"].dataType).alias("key"), F.col("s").alias("source"), F.lit(None).cast("long").alias("size"), F.lit(-1).cast("long").alias("at"), F.col("b").alias("bucket"), F.struct("ahead", "source_size", "target", "tilt").alias("of"))
+    head = part.select(F.lit(None).cast(rows.schema["key"].dataType).alias("key"), F.col("s").alias("source"), F.lit(None).cast("long").alias("size"), F.lit(-1).cast("long").alias("at"), F.col("b").alias("bucket"), F.struct("ahead", "source_size", "target", "tilt").alias("of"), *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in marks])
     run = rows.withColumn("of", F.lit(None).cast(head.schema["of"].dataType)).unionByName(head)
     run = run.withColumn("of", F.first("of", ignorenulls=True).over(within)).withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("of.ahead"))
-    run = run.filter(F.col("size").isNotNull()).select("key", "source", "size", "start", "of.*")
+    run = run.filter(F.col("size").isNotNull()).select("key", "source", "size", "start", "of.*", *marks)
     due = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda r: (F.col("start") + r * F.col("source_size")).cast("double"))
     taken = F.filter(due, lambda d: (F.col("size") > 0) & (d + F.col("size") / 2 <= F.col("target")))
     return run.withColumn("due", taken).select(
@@ -129,19 +144,32 @@ def plan_mix(
         F.size("due").alias("copies"),
         (F.col("size") * F.size("due")).alias("taken"),
         F.transform("due", lambda d: F.least(invert(d, F.col("target"), F.col("tilt")), F.lit(1.0))).alias("positions"),
+        *marks,
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", **plan) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **plan) -> DataFrame:
     """The mixed stream: docs, each row as often as taken, range-sorted by position.
 
-    Keys must be unique for this (rows with one key would take each other's
-    copies); the columns of docs stay as they are.
+    Keys may be null or repeat: a plan's row goes to a row with its key, source
+    and text, and the rows that share all three are numbered, so that each has
+    copies of its own. The columns of docs stay as they are.
     """
     p = private(docs)
-    asked = plan_mix(docs, key=key, **plan).filter("copies > 0").select(F.col(key).alias(f"{p}key"), F.explode("positions").alias(f"{p}at"))
-    stream = docs.join(asked, F.col(key) == F.col(f"{p}key"))
-    return stream.repartitionByRange(f"{p}at", key).sortWithinPartitions(f"{p}at", key).select(*docs.columns)
+    same, at, planned, n = [f"{p}key", f"{p}source", f"{p}text"], f"{p}at", f"{p}planned", f"{p}n"
+    rows = docs.select(
+        *docs.columns, F.col(key).alias(same[0]), F.col(source).cast("string").alias(same[1]), F.xxhash64(text).alias(same[2]),
+        F.lit(None).cast("array<double>").alias(at), F.lit(False).alias(planned),
+    )
+    asked = _plan(docs, {same[2]: F.xxhash64(text)}, key=key, text=text, source=source, **plan).filter("copies > 0")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema]
+    asked = asked.select(*empty, F.col(key).alias(same[0]), F.col(source).alias(same[1]), same[2], F.col("positions").alias(at), F.lit(True).alias(planned))
+    # one exchange serves both windows
+    both = rows.unionByName(asked).repartition(*same)
+    both = both.withColumn(n, F.row_number().over(Window.partitionBy(*same, planned).orderBy(at)))
+    both = both.withColumn(at, F.max(at).over(Window.partitionBy(*same, n)))
+    stream = both.filter(~F.col(planned)).select(*docs.columns, F.explode(at).alias(at))
+    return stream.repartitionByRange(at, key).sortWithinPartitions(at, key).select(*docs.columns)
 
 
 def sql(weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST, tilts: Sequence[float] = TILTS, seed: int = 7) -> str:

@@ -465,3 +465,15 @@ def test_next_pairs():
         a, b, _, over = nearcopies.next_pairs(number, one, two, root, links, 32, 3)
         count = np.bincount(a, minlength=n)
         assert count.max() == 3 and set(over.tolist()) <= set(np.flatnonzero(count == 3).tolist()) and len(over)
+
+
+def test_mix_with_null_and_repeated_keys(spark):
+    rows = [(k, " ".join(["w"] * n), None, s) for k, n, s in [(None, 5, "a"), (None, 7, "a"), (None, 7, "a"), (None, 9, None), (1, 4, "a"), (1, 4, "a"), (1, 4, "a"), (1, 6, "b"), (2, 8, "b"), (3, 3, None)]]
+    table = docs(spark, rows)
+    want, got = {}, {}
+    for x in mixing.plan_mix(table).collect():
+        want[x["doc_id"], x["source"], x["size"]] = want.get((x["doc_id"], x["source"], x["size"]), 0) + x["copies"]
+    for x in mixing.mix(table).collect():
+        at = x["doc_id"], x["source"], len(x["text"].split())
+        got[at] = got.get(at, 0) + 1
+    assert got == {k: n for k, n in want.items() if n} and any(k is None for k, *_ in got) and any(k == 1 for k, *_ in got)
