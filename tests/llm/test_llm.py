@@ -477,3 +477,21 @@ def test_mix_with_null_and_repeated_keys(spark):
         at = x["doc_id"], x["source"], len(x["text"].split())
         got[at] = got.get(at, 0) + 1
     assert got == {k: n for k, n in want.items() if n} and any(k is None for k, *_ in got) and any(k == 1 for k, *_ in got)
+
+
+def test_pipeline_rejects_other_languages(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(6)
+    sf = "/root/testdata/sf0.001"
+    try:
+        known = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    except Exception:
+        pytest.skip("no test tables")
+    noise = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(150))
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa"
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"
+    extra = spark.createDataFrame([(-1, noise, None), (-2, polish, None), (-3, finnish, None)], "doc_id bigint, text string, lang string")
+    kept = {x["doc_id"] for x in p.language(spark, known.unionByName(extra), sf).collect()}
+    assert not kept & {-1, -2, -3}
+    assert {x["doc_id"] for x in known.filter("text rlike '[a-zA-Z]'").collect()} <= kept
