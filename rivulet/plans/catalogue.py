@@ -270,6 +270,17 @@ def topk_cosine(spark, d):
     return out.select("user_id", "item_id", "rank", _r("score").alias("score"))
 
 
+@query(
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    s AS (SELECT u.vec_id AS user_id, i.vec_id AS item_id, list_cosine_similarity(u.v, i.v) AS score FROM v u, v i), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s)
+    SELECT user_id, item_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
+)
+def topk_cosine_all(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    out = measures.top_k_cosine(rows.withColumnRenamed("vec_id", "user_id"), rows.withColumnRenamed("vec_id", "item_id"), 10)
+    return out.select("user_id", "item_id", "rank", _r("score").alias("score"))
+
+
 # --- reports
 
 

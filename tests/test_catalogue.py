@@ -47,3 +47,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_search_of_whole_table(spark, duck):
+    every = {r[0] for r in duck.sql("SELECT vec_id FROM embeddings").fetchall()}
+    found = catalogue.QUERIES["topk_cosine_all"](spark, SF).collect()
+    assert {r["user_id"] for r in found} == every and any(r["item_id"] < 50 for r in found)
