@@ -460,6 +460,7 @@ _sql("semi_join", "customer orders", "SELECT c_custkey FROM customer WHERE EXIST
 _sql("anti_join", "customer orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 _sql("theta_prefix_join", "nation region", "SELECT n_name, r_name FROM nation LEFT JOIN region ON substring(n_name, 1, 1) = substring(r_name, 1, 1)")
 _sql("outer_joins", "customer orders", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 5 = 0) o ON c_custkey = o_custkey")
+_sql("outer_joins_all", "customer orders", "SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'")
 _sql("union_all_distinct", "customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION ALL SELECT c_nationkey FROM customer")
 _sql("intersect_except", "customer supplier", "SELECT 'both' AS side, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers', k FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
 _sql("acquisition_activity", "customer supplier orders", "SELECT platform, k, o_orderstatus, count(*) AS n FROM (SELECT 'a' AS platform, c_custkey AS k FROM customer UNION ALL SELECT 'b', s_suppkey FROM supplier) u JOIN orders ON o_custkey = k GROUP BY platform, k, o_orderstatus")

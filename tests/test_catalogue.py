@@ -53,3 +53,10 @@ def test_search_of_whole_table(spark, duck):
     every = {r[0] for r in duck.sql("SELECT vec_id FROM embeddings").fetchall()}
     found = catalogue.QUERIES["topk_cosine_all"](spark, SF).collect()
     assert {r["user_id"] for r in found} == every and any(r["item_id"] < 50 for r in found)
+
+
+def test_outer_join_of_whole_tables(spark, duck):
+    joined = catalogue.QUERIES["outer_joins_all"](spark, SF).collect()
+    assert {r["c_custkey"] for r in joined} - {None} == {r[0] for r in duck.sql("SELECT c_custkey FROM customer").fetchall()}
+    assert {r["o_orderkey"] for r in joined} - {None} == {r[0] for r in duck.sql("SELECT o_orderkey FROM orders").fetchall()}
+    assert any(r["c_custkey"] is None for r in joined) and any(r["o_orderkey"] is None for r in joined)
