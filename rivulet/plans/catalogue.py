@@ -722,8 +722,8 @@ def tabular_q_values(spark, d):
 
 @query()
 def als_embeddings(spark, d):
-    users, _ = learning.als_vectors(_ratings(spark, d), rank=4, iterations=2)
-    return users.select("user_id", F.size("vector").alias("dim"))
+    users, _ = learning.als_vectors(_ratings(spark, d))
+    return users.select("user_id", F.posexplode("vector").alias("i", "x"))
 
 
 @query("SELECT CAST(10 AS BIGINT) * 1024 * 86400 * 7 * 3 AS bytes")

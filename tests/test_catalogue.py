@@ -60,3 +60,10 @@ def test_outer_join_of_whole_tables(spark, duck):
     assert {r["c_custkey"] for r in joined} - {None} == {r[0] for r in duck.sql("SELECT c_custkey FROM customer").fetchall()}
     assert {r["o_orderkey"] for r in joined} - {None} == {r[0] for r in duck.sql("SELECT o_orderkey FROM orders").fetchall()}
     assert any(r["c_custkey"] is None for r in joined) and any(r["o_orderkey"] is None for r in joined)
+
+
+def test_als_gives_whole_vectors(spark):
+    rows = catalogue.QUERIES["als_embeddings"](spark, SF).collect()
+    users = {r["user_id"] for r in rows}
+    assert users and {(r["user_id"], r["i"]) for r in rows} == {(u, i) for u in users for i in range(16)}
+    assert len(rows) == 16 * len(users) and all(math.isfinite(r["x"]) for r in rows) and any(r["x"] for r in rows)
