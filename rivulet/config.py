@@ -67,3 +67,15 @@ class StreamConfig(FromEnv):
 
     PREFIX = "STREAM_"
     FLOORS = {"max_offsets": 1, "trigger_seconds": 0, "retries": 0}
+
+    def problems(self) -> list[str]:
+        """All that is wrong, not just the first."""
+        from rivulet.functions.columns import cutoff_ms
+
+        found = [f"{name} must be {least} or more" for name, least in self.FLOORS.items() if getattr(self, name) < least]
+        for name in ("watermark", "wait"):
+            try:
+                cutoff_ms(0, getattr(self, name))
+            except ValueError as e:
+                found.append(f"{name}: {e}")
+        return found

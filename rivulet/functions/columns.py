@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 IMPRESSIONS = ("impression", "exposure")
 ORDERS = ("order", "purchase")
 ENGAGEMENT = ("click", "order", "purchase")
+THUMBS = ("thumb_up", "thumb_down")
 FEEDBACK = ("click", "order", "purchase", "thumb_up", "thumb_down", "abandon")
 
 
@@ -24,13 +25,45 @@ def day_bucket(seconds: Column) -> Column:
     return F.date_format(utc_date(seconds), "yyyyMMdd")
 
 
+_UNITS = {"millisecond": 0.001, "second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+_MONTHS = {"month": 1, "year": 12}
+
+
+def _parts(text: str) -> list[tuple[int, str]]:
+    """The numbers and units of '1 day 2 hours' and the like."""
+    body = text.strip().lower().removeprefix("interval ")
+    found = re.findall(r"(-?\d+)\s+([a-z]+?)s?(?=\s|$)", body)
+    if not found or any(u not in _UNITS and u not in _MONTHS for _, u in found) or re.sub(r"-?\d+\s+[a-z]+", "", body).strip():
+        raise ValueError(f"not an interval: {text!r}")
+    return [(int(n), u) for n, u in found]
+
+
+def is_fixed(text: str) -> bool:
+    """Whether an interval has the same length at any time: no months, no years."""
+    return not any(u in _MONTHS for _, u in _parts(text))
+
+
 def interval_seconds(text: str) -> int:
     """Seconds of '10 minutes', '1 day 2 hours' and the like; months and years have no fixed length and are refused."""
-    units = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
-    parts = re.findall(r"(-?\d+)\s+([a-z]+?)s?(?=\s|$)", text.strip().lower().removeprefix("interval "))
-    if not parts or any(u not in units for _, u in parts):
+    if not is_fixed(text):
         raise ValueError(f"not an interval of fixed length: {text!r}")
-    return sum(int(n) * units[u] for n, u in parts)
+    return int(sum(n * _UNITS[u] for n, u in _parts(text)))
+
+
+def cutoff_ms(ms: int, delay: str) -> int:
+    """The time `delay` before an epoch millisecond, in UTC; months go by the calendar, to the month's last day where the day is missing."""
+    import calendar
+    import datetime as dt
+
+    parts = _parts(delay)
+    months = sum(n * _MONTHS[u] for n, u in parts if u in _MONTHS)
+    rest = round(sum(n * _UNITS[u] for n, u in parts if u in _UNITS) * 1000)
+    if months:
+        at = dt.datetime.fromtimestamp(ms // 1000, dt.UTC)
+        year, month = divmod(at.year * 12 + at.month - 1 - months, 12)
+        at = at.replace(year=year, month=month + 1, day=min(at.day, calendar.monthrange(year, month + 1)[1]))
+        ms = int(at.timestamp()) * 1000 + ms % 1000
+    return ms - rest
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -139,45 +139,57 @@ def preference_pairs(samples: DataFrame) -> DataFrame:
     return a.join(b, "request_id")
 
 
-def top_k_cosine(users: DataFrame, items: DataFrame, k: int, block: int = 50_000) -> DataFrame:
-    """The k nearest items of each user by cosine, ties by item id.
+def top_k_cosine(users: DataFrame, items: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The k nearest items of each user by cosine, ties by item id. Vectors of different lengths meet over the shorter one.
 
-    Item vectors go to the tasks in blocks of a fixed number, as matrices; each
-    block gives its own best k and a window takes the best of those.
+    Both sides are packed into blocks of about `block` vectors where they lie;
+    every pair of blocks meets in a join, gives each user its best k of that block
+    by one matrix product, and a window takes the best of those. Nothing goes to
+    the driver but the two counts.
     """
     import numpy as np
     import pandas as pd
 
-    spark = users.sparkSession
-    n = items.count()
-    out = None
-    for part in range(max(1, -(-n // block))):
-        got = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-n // block)))) == part).select("item_id", "vector").toPandas()
-        ids = got["item_id"].to_numpy()
-        width = max([len(v) for v in got["vector"]], default=0)
-        matrix = np.zeros((len(got), width))
-        for i, v in enumerate(got["vector"]):
-            matrix[i, : len(v)] = v
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches, sent=sent):
-            ids, matrix = sent.value
-            for pdf in batches:
+    def packed(df: DataFrame, key: str, side: str) -> DataFrame:
+        n = max(1, -(-df.count() // block))
+        rows = df.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"{side}_block"), F.struct(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v")).alias("r"))
+        return rows.groupBy(f"{side}_block").agg(F.collect_list("r").alias(f"{side}_rows")), n
+
+    def matrix(rows) -> tuple:
+        ids, size = np.array([r["id"] for r in rows]), np.array([len(r["v"]) if r["v"] is not None else 0 for r in rows])
+        m = np.zeros((len(rows), max(int(size.max(initial=0)), 1)))
+        for i, r in enumerate(rows):
+            if size[i]:
+                m[i, : size[i]] = r["v"]
+        return ids, size, m
+
+    def norms(m, size, width):
+        """The norm of each row over its common length with each of `width`: all widths at once."""
+        total = np.concatenate([np.zeros((len(m), 1)), np.cumsum(m * m, axis=1)], axis=1)
+        return np.sqrt(total[:, np.minimum(width, m.shape[1])])
+
+    def run(batches):
+        for pdf in batches:
+            for mine, theirs in zip(pdf["u_rows"], pdf["i_rows"], strict=True):
+                (uid, us, um), (iid, is_, im) = matrix(mine), matrix(theirs)
+                w = min(um.shape[1], im.shape[1])
+                scale = norms(um, us, is_) * norms(im, is_, us).T
+                score = np.divide(um[:, :w] @ im[:, :w].T, scale, out=np.zeros(scale.shape), where=scale > 0)
+                best = min(k, len(iid))
+                least = np.partition(score, len(iid) - best, axis=1)[:, len(iid) - best]
                 rows = []
-                for u, v in zip(pdf["user_id"], pdf["vector"], strict=True):
-                    v = np.asarray(v, float)
-                    w = min(len(v), matrix.shape[1])
-                    m = matrix[:, :w]
-                    scale = np.linalg.norm(m, axis=1) * np.linalg.norm(v[:w])
-                    score = np.divide(m @ v[:w], scale, out=np.zeros(len(m)), where=scale > 0)
-                    best = np.lexsort((ids, -score))[:k]
-                    rows += [(u, ids[i], float(score[i])) for i in best]
+                for u in range(len(uid)):
+                    at = np.flatnonzero(score[u] >= least[u])
+                    at = at[np.lexsort((iid[at], -score[u, at]))[:best]]
+                    rows += [(uid[u], iid[i], float(score[u, i])) for i in at.tolist()]
                 yield pd.DataFrame(rows, columns=["user_id", "item_id", "score"])
 
-        kinds = dict(users.dtypes)["user_id"], dict(items.dtypes)["item_id"]
-        part_out = users.select("user_id", "vector").mapInPandas(run, f"user_id {kinds[0]}, item_id {kinds[1]}, score double")
-        out = part_out if out is None else out.unionByName(part_out)
-    return rank_within(out, ["user_id"], [F.desc("score"), F.col("item_id")], k)
+    left, _ = packed(users, "user_id", "u")
+    right, n = packed(items, "item_id", "i")
+    pairs = left.withColumn("i_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right, "i_block").select("u_rows", "i_rows")
+    kinds = dict(users.dtypes)["user_id"], dict(items.dtypes)["item_id"]
+    found = pairs.mapInPandas(run, f"user_id {kinds[0]}, item_id {kinds[1]}, score double")
+    return rank_within(found, ["user_id"], [F.desc("score"), F.col("item_id")], k)
 
 
 def user_vectors(ratings: DataFrame, items: DataFrame) -> DataFrame:

@@ -2,56 +2,99 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.functions.columns import ENGAGEMENT, FEEDBACK, IMPRESSIONS, ORDERS, flag, utc_date
+from rivulet.functions.columns import ENGAGEMENT, FEEDBACK, IMPRESSIONS, ORDERS, THUMBS, Gate, flag, utc_date
 
 KEYS = ["request_id", "user_id", "item_id"]
 
+#: What an impression says about the models that chose it and about its item; all from one impression, the last.
+MEASURED = {
+    "model_version": "string", "policy_version": "string", "algorithm_version": "string", "published_at": "bigint",
+    "new_release": "boolean", "filter_reason": "string", "unsafe_label": "boolean",
+}
+#: What a reader answers with; each the latest value that isn't null.
+ANSWERS = {"rating": "double", "negative_feedback_reason": "string", "dwell_millis": "bigint", "completion_rate": "double"}
+#: Where an impression was shown; each the first value that isn't null.
+PLACES = {"surface": "string", "locale": "string", "timezone": "string", "device": "string"}
+FEATURES = {"user_features": "map<string,string>", "item_features": "map<string,string>", "context_features": "map<string,string>"}
+
+
+def with_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """df with the columns of wanted that it lacks, as typed nulls."""
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in wanted.items() if c not in df.columns})
+
+
+def _no_features() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
+def joiner_gate(events: DataFrame) -> Gate:
+    """Events that can become samples; the reasons name the first field that is missing."""
+    seconds = events if "timestamp" in events.columns else events.withColumn("timestamp", F.expr("timestamp_ms div 1000"))
+    return Gate(seconds, [(f"null_{c}", F.col(c).isNotNull()) for c in (*KEYS, "event_type", "timestamp")])
 
-def gate_rules() -> list[tuple[str, Column]]:
-    return [(f"missing_{c}", F.col(c).isNotNull()) for c in (*KEYS, "event_type", "timestamp")]
+
+def samples_gate(samples: DataFrame) -> Gate:
+    """Samples that can go into slates."""
+    return Gate(samples, [(f"null_{c}", F.col(c).isNotNull()) for c in KEYS])
 
 
 def build_samples(events: DataFrame) -> DataFrame:
     """One row per (request, user, item) that has an impression.
 
-    events: request_id, session_id, user_id, item_id, event_type, event_id,
-    timestamp (epoch seconds), timestamp_ms, position, and optionally rating,
-    dwell_millis, completion_rate, negative_feedback_reason, genres. Feedback
-    joins its impression in one aggregate. Each feedback field is the latest
-    value that isn't null, by (timestamp, event id). Only clicks and orders move
-    last_feedback_ts.
+    events: request_id, user_id, item_id, event_type, timestamp (epoch seconds),
+    and optionally event_id, timestamp_ms, session_id, position and the columns
+    of MEASURED, ANSWERS, PLACES and FEATURES. Impressions and what answers them
+    meet in one aggregate, one shuffle.
+
+    Position and time are the largest of the impressions; the measured fields come
+    together from the last impression by (timestamp, event id). Each answer is the
+    latest value that isn't null, of any feedback; only clicks and orders move
+    last_feedback_ts and the delay, which is in milliseconds (from seconds where
+    an event has no timestamp_ms). thumb is 1 or -1 by the latest thumb, null
+    without one. A request shows several values of places, features or session_id:
+    the earliest.
     """
+    rows = with_columns(events, {"event_id": "string", "timestamp_ms": "bigint", "session_id": "string", "position": "int"} | MEASURED | ANSWERS | PLACES | FEATURES)
+    rows = rows.withColumn("timestamp_ms", F.coalesce("timestamp_ms", (F.col("timestamp") * 1000).cast("long")))
     kind = F.lower(F.trim("event_type"))
-    shown, engaged, any_back = kind.isin(*IMPRESSIONS), kind.isin(*ENGAGEMENT), kind.isin(*FEEDBACK)
-    order = F.struct(F.col("timestamp_ms"), F.coalesce("event_id", F.lit("")))
-    have = set(events.columns)
-    latest = lambda c, kind_: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(any_back & F.col(c).isNotNull(), order)).cast(kind_).alias(c) if c in have else F.lit(None).cast(kind_).alias(c)
+    shown, engaged, answered, thumbed = (kind.isin(*k) for k in (IMPRESSIONS, ENGAGEMENT, FEEDBACK, THUMBS))
+    order = F.struct(F.col("timestamp"), F.coalesce("event_id", F.lit("")))
+
+    def latest(c: str, where: Column) -> Column:
+        given = where & F.col(c).isNotNull()
+        return F.max_by(F.when(given, F.col(c)), F.when(given, order))
+
+    def earliest(c: str, where: Column) -> Column:
+        given = where & F.col(c).isNotNull()
+        return F.min_by(F.when(given, F.col(c)), F.when(given, order)).alias(c)
+
     is_ = lambda *kinds: F.max(flag(kind.isin(*kinds)))
-    rows = events.groupBy(*KEYS).agg(
-        F.max(flag(shown)).alias("shown"),
-        F.max_by(F.when(shown, F.coalesce("session_id", F.lit(""))), F.when(shown, order)).alias("session_id"),
-        F.min(F.when(shown, F.col("position"))).alias("position"),
-        F.min(F.when(shown, F.col("timestamp"))).alias("impression_ts"),
-        F.min(F.when(shown, F.col("timestamp_ms"))).alias("impression_ms"),
+    rows = rows.groupBy(*KEYS).agg(
+        F.max(F.when(shown, F.col("position"))).alias("position"),
+        F.max(F.when(shown, F.col("timestamp"))).alias("impression_ts"),
+        F.max(F.when(shown, F.col("timestamp_ms"))).alias("impression_ms"),
         is_("click").alias("clicked"),
         is_(*ORDERS).alias("ordered"),
-        F.max(F.when(engaged, F.col("timestamp"))).alias("last_feedback_ts"),
-        F.max(F.when(engaged, F.col("timestamp_ms"))).alias("last_feedback_ms"),
-        F.max(F.when(kind == "thumb_up", 1).when(kind == "thumb_down", -1)).alias("thumb"),
+        F.max_by(F.when(shown, F.struct(*MEASURED)), F.when(shown, order)).alias("measured"),
+        latest("timestamp", engaged).alias("last_feedback_ts"),
+        latest("timestamp_ms", engaged).alias("last_feedback_ms"),
+        *[latest(c, answered).cast(k).alias(c) for c, k in ANSWERS.items()],
+        earliest("session_id", F.lit(True)),
+        *[earliest(c, shown) for c in (*PLACES, *FEATURES)],
+        F.max_by(F.when(thumbed, F.when(kind == "thumb_up", 1).otherwise(-1)), F.when(thumbed, order)).alias("thumb"),
         is_("abandon").alias("abandoned"),
-        latest("rating", "double"),
-        latest("dwell_millis", "long"),
-        latest("completion_rate", "double"),
-        latest("negative_feedback_reason", "string"),
     )
-    return rows.filter("shown = 1").select(
-        F.concat_ws(":", *KEYS).alias("sample_id"), "session_id", *KEYS, "position", "impression_ts", "clicked", "ordered",
+    return rows.filter(F.col("impression_ts").isNotNull()).select(
+        F.concat_ws(":", *KEYS).alias("sample_id"), *KEYS, "position", "impression_ts", F.timestamp_seconds("impression_ts").alias("impression_time"), "clicked", "ordered",
         F.when(F.col("ordered") == 1, 2.0).when(F.col("clicked") == 1, 1.0).otherwise(0.0).alias("label"),
-        "last_feedback_ts", (F.col("last_feedback_ms") - F.col("impression_ms")).alias("feedback_delay_ms"),
-        F.coalesce("thumb", F.lit(0)).alias("thumb"), "abandoned", "rating", "dwell_millis", "completion_rate", "negative_feedback_reason",
+        "last_feedback_ts", (F.col("last_feedback_ms") - F.col("impression_ms")).cast("long").alias("feedback_delay_ms"),
+        *[F.col(f"measured.{c}").alias(c) for c in MEASURED], *ANSWERS, F.coalesce("session_id", F.lit("")).alias("session_id"),
+        "thumb", "abandoned", *PLACES, *[F.coalesce(c, _no_features()).alias(c) for c in FEATURES],
     )
 
 
@@ -68,14 +111,30 @@ def with_date(samples: DataFrame, catalog: DataFrame | None = None) -> DataFrame
     return out.join(catalog.select("item_id", "genres"), "item_id", "left").withColumn("genres", F.coalesce("genres", none))
 
 
+#: Fields of a slate's item, in order.
+ITEM = ("position", "item_id", "clicked", "ordered", "label", "last_feedback_ts", "feedback_delay_ms", *list(MEASURED)[:3], *ANSWERS, *list(MEASURED)[3:], "item_features")
+
+
 def build_slates(samples: DataFrame) -> DataFrame:
-    """One row per (request, user): items by position, nulls last, then by item."""
-    item = F.struct(F.col("position").isNull().alias("unplaced"), "position", "item_id", "clicked", "ordered", "label", "last_feedback_ts")
-    out = samples.groupBy("request_id", "user_id").agg(
-        F.min("impression_ts").alias("request_ts"), F.max("clicked").alias("slate_clicked"), F.max("ordered").alias("slate_ordered"),
-        F.sum("label").alias("slate_reward"), F.sort_array(F.collect_list(item)).alias("items"),
+    """One row per (request, user): items by position, nulls last, then by item.
+
+    Measured fields that samples lacks are null. session_id and the features are
+    those of the item that stands first of those that have any.
+    """
+    kinds = {"session_id": "string", "position": "int", "last_feedback_ts": "bigint", "feedback_delay_ms": "bigint"} | MEASURED | ANSWERS | FEATURES
+    rows = with_columns(samples, kinds).withColumns({c: F.coalesce(c, _no_features()) for c in FEATURES})
+    at = F.struct(F.col("position").isNull(), "position", "item_id")
+    item = F.struct(F.col("position").isNull().alias("unplaced"), F.col("position").alias("at"), F.col("item_id").alias("id"), F.struct(*ITEM).alias("item"))
+    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c)
+    out = rows.groupBy("request_id", "user_id").agg(
+        first("session_id"), F.min("impression_ts").alias("request_ts"), F.max("clicked").alias("slate_clicked"), F.max("ordered").alias("slate_ordered"),
+        F.sum("label").alias("slate_reward"), first("user_features"), first("context_features"),
+        F.array_sort(F.collect_list(item), lambda x, y: reduce(lambda rest, c: F.when(x[c] < y[c], -1).when(x[c] > y[c], 1).otherwise(rest), ("id", "at", "unplaced"), F.lit(0))).alias("items"),
+    )
+    return out.select(
+        F.concat_ws(":", "request_id", "user_id").alias("slate_id"), "request_id", "user_id", "session_id", "request_ts", "slate_clicked", "slate_ordered", "slate_reward",
+        F.size("items").alias("slate_size"), "user_features", "context_features", F.transform("items", lambda i: i["item"]).alias("items"),
     )
-    return out.select(F.concat_ws(":", "request_id", "user_id").alias("slate_id"), "*", F.size("items").alias("slate_size"))
 
 
 def recall_samples(samples: DataFrame) -> DataFrame:
@@ -103,6 +162,73 @@ def metric_events(slates: DataFrame, large: int = 20) -> DataFrame:
     return slates.select("slate_id", F.explode(F.filter(F.concat(pairs, delays), lambda m: m["keep"] | (m["value"] != 0))).alias("m")).select("slate_id", "m.metric", "m.value")
 
 
+def classified(events: DataFrame) -> DataFrame:
+    """Context events with what each feeds: is_rating, is_user_update, is_movie_update; one event may feed several."""
+    kinds = {"user_id": "string", "item_id": "string", "rating": "double", "age": "int", "gender": "string", "occupation": "string", "zip_code": "string", "title": "string", "genres": "array<string>", "release_year": "int"}
+    rows = with_columns(events, kinds).withColumn("event_type", F.lower(F.trim(F.coalesce("event_type", F.lit("")))))
+    any_of = lambda *cols: F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in cols], F.lit(False))
+    user, item = F.col("user_id").isNotNull(), F.col("item_id").isNotNull()
+    return rows.withColumns({
+        "is_rating": (F.col("event_type") == "rating") & user & item,
+        "is_user_update": user & any_of("age", "gender", "occupation", "zip_code"),
+        "is_movie_update": item & (any_of("title", "release_year") | (F.coalesce(F.size("genres"), F.lit(0)) > 0)),
+    })
+
+
+def context_gate(events: DataFrame) -> Gate:
+    """Context events that feed something."""
+    return Gate(classified(events), [("unclassifiable_shape", F.col("is_rating") | F.col("is_user_update") | F.col("is_movie_update"))])
+
+
+def _first(c: str, name: str) -> Column:
+    """The value of the earliest event that has one."""
+    return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("timestamp", c))).alias(name)
+
+
+def user_feature_updates(events: DataFrame, recent: int = 50) -> DataFrame:
+    """What classified events change of each user: demographics, ratings added, items rated latest (new ones first)."""
+    who = events.filter("is_user_update").groupBy("user_id").agg(F.max("age").alias("age"), _first("gender", "gender"), _first("occupation", "occupation"), _first("zip_code", "zipCode"), F.max("timestamp").alias("seen"))
+    rated = F.collect_list(F.struct((-F.coalesce("timestamp", F.lit(0))).alias("o"), F.col("item_id").alias("i")))
+    ratings = events.filter("is_rating").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("rating").alias("total"), F.max("timestamp").alias("rated"), F.slice(F.array_sort(rated), 1, recent).alias("items"))
+    return who.join(ratings, "user_id", "full_outer").select(
+        "user_id", "age", "gender", "occupation", "zipCode", F.coalesce("n", F.lit(0)).alias("ratingCountDelta"), F.coalesce("total", F.lit(0.0)).alias("ratingSumDelta"),
+        F.coalesce(F.transform("items", lambda x: x["i"]), F.array().cast("array<string>")).alias("recentlyRatedMovieIds"), F.greatest("seen", "rated").alias("lastUpdatedTs"),
+    )
+
+
+def movie_feature_updates(events: DataFrame) -> DataFrame:
+    """What classified events say of each film."""
+    rows = events.filter("is_movie_update")
+    return rows.groupBy("item_id").agg(_first("title", "title"), _first("genres", "genres"), F.max("release_year").alias("releaseYear"), F.max("timestamp").alias("lastUpdatedTs"))
+
+
+def upsert_users(state: DataFrame | None, update: DataFrame, recent: int = 50) -> DataFrame:
+    """Users' features after an update: what it has replaces, counts and sums add up, the mean follows, latest items come first."""
+    u = update.select("user_id", *[F.col(c).alias(f"u_{c}") for c in update.columns if c != "user_id"])
+    names = ["age", "gender", "occupation", "zipCode"]
+    if state is None:
+        kinds = {c: t for c, t in update.dtypes}
+        state = update.limit(0).select("user_id", *names, F.lit(None).cast("bigint").alias("ratingCount"), F.lit(None).cast("double").alias("ratingSum"), F.lit(None).cast(kinds["recentlyRatedMovieIds"]).alias("recentlyRatedMovieIds"), "lastUpdatedTs")
+    out = state.select("user_id", *names, "ratingCount", "ratingSum", "recentlyRatedMovieIds", "lastUpdatedTs").join(u, "user_id", "full_outer")
+    none = F.array().cast("array<string>")
+    n = F.coalesce("ratingCount", F.lit(0)) + F.coalesce("u_ratingCountDelta", F.lit(0))
+    total = F.coalesce("ratingSum", F.lit(0.0)) + F.coalesce("u_ratingSumDelta", F.lit(0.0))
+    items = F.slice(F.array_distinct(F.concat(F.coalesce("u_recentlyRatedMovieIds", none), F.coalesce("recentlyRatedMovieIds", none))), 1, recent)
+    return out.select(
+        "user_id", *[F.coalesce(f"u_{c}", c).alias(c) for c in names], n.cast("long").alias("ratingCount"), total.alias("ratingSum"), F.when(n > 0, total / n).alias("avgRating"),
+        items.alias("recentlyRatedMovieIds"), F.greatest("lastUpdatedTs", "u_lastUpdatedTs").alias("lastUpdatedTs"),
+    )
+
+
+def upsert_movies(state: DataFrame | None, update: DataFrame) -> DataFrame:
+    """Films' features after an update: what it has replaces."""
+    if state is None:
+        return update
+    names = [c for c in update.columns if c not in ("item_id", "lastUpdatedTs")]
+    u = update.select("item_id", *[F.col(c).alias(f"u_{c}") for c in update.columns if c != "item_id"])
+    return state.join(u, "item_id", "full_outer").select("item_id", *[F.coalesce(f"u_{c}", c).alias(c) for c in names], F.greatest("lastUpdatedTs", "u_lastUpdatedTs").alias("lastUpdatedTs"))
+
+
 def merge_context(updates: DataFrame, deltas: DataFrame) -> DataFrame:
     """Demographic updates and rating deltas of users, from either side."""
     return updates.join(deltas, "user_id", "full_outer")
@@ -127,12 +253,67 @@ def item_sequences(ratings: DataFrame, least: float = 3.5, length: int = 2) -> D
 
 
 #: Attributes packed into a sequence chunk.
-PACKED = ("item_id", "ts", "action", "rating")
+PACKED = ("item_id", "ts", "action", "rating", "genres", "release_year")
+#: Actions of readers that the behaviour sequence holds.
+BEHAVIOURS = ("search", "result_view", "detail_view", "click")
+
+
+def _blank(c: str) -> Column:
+    return F.coalesce(F.length(F.trim(c)) == 0, F.lit(True))
+
+
+def behaviour_gate(events: DataFrame) -> Gate:
+    """Behavioural events with what their action needs; other events aren't counted as rejected."""
+    kind = F.col("event_type")
+    rows = with_columns(events, {c: "string" for c in ("query_id", "query_text", "result_set_id", "item_id")}).filter(kind.isin(*BEHAVIOURS))
+    return Gate(rows, [
+        ("null_user_id", F.col("user_id").isNotNull()),
+        ("null_event_id", F.col("event_id").isNotNull()),
+        ("null_timestamp", F.col("timestamp_ms").isNotNull()),
+        ("missing_search_query", (kind != "search") | (F.col("query_id").isNotNull() & ~_blank("query_text"))),
+        ("missing_result_identity", (kind != "result_view") | (F.col("query_id").isNotNull() & F.col("result_set_id").isNotNull())),
+        ("missing_behavior_item", (kind == "search") | ~_blank("item_id")),
+    ])
+
+
+def _sequence(events: DataFrame, kind: str, item: Column) -> DataFrame:
+    return events.filter(F.col("user_id").isNotNull() & F.col("timestamp_ms").isNotNull()).select(
+        "user_id", F.lit(kind).alias("kind"), item.alias("item_id"), F.col("timestamp_ms").cast("long").alias("ts"), F.col("event_type").alias("action"),
+        F.lit(None).cast("double").alias("rating"), F.lit(None).cast("array<string>").alias("genres"), F.lit(None).cast("int").alias("release_year"),
+    )
+
+
+def behaviour_sequence(events: DataFrame) -> DataFrame:
+    """Every behavioural event as a row of the sequence store; a search has an empty item."""
+    return _sequence(events, "behavior", F.coalesce("item_id", F.lit("")))
+
+
+def click_sequence(events: DataFrame) -> DataFrame:
+    """Clicks on an item alone."""
+    return _sequence(events.filter((F.col("event_type") == "click") & F.col("item_id").isNotNull()), "click", F.col("item_id"))
+
+
+def rating_sequence(events: DataFrame) -> DataFrame:
+    """Ratings as rows of the sequence store; their timestamps are seconds."""
+    rows = with_columns(events, {"genres": "array<string>", "release_year": "int"}).filter(F.col("user_id").isNotNull() & F.col("item_id").isNotNull() & F.col("timestamp").isNotNull())
+    return rows.select("user_id", F.lit("rating").alias("kind"), "item_id", (F.col("timestamp") * 1000).cast("long").alias("ts"), F.lit("rating").alias("action"), F.col("rating").cast("double").alias("rating"), "genres", "release_year")
+
+
+def identifier_gate(rows: DataFrame) -> Gate:
+    """Rows whose identifiers hold no separator of the packing: without it two entities would become one."""
+    return Gate(rows, [("separator_in_identifier", ~F.coalesce(F.col("user_id").rlike("[,|]") | F.col("item_id").rlike("[,|]"), F.lit(False)))])
 
 
 def to_chunks(rows: DataFrame, separator: str = ",") -> DataFrame:
-    """One row per (user, kind, UTC day): each attribute as one string, by time; nulls are empty strings."""
-    clean = {c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[,|]", "") for c in PACKED}
+    """One row per (user, kind, UTC day): each attribute as one string, by time; nulls are empty strings.
+
+    Genres are joined by |. Separators are cut from values; rows with one in an
+    identifier are left out (identifier_gate counts them).
+    """
+    rows = identifier_gate(with_columns(rows, {"genres": "array<string>", "release_year": "int"})).kept
+    plain = lambda c: F.regexp_replace(c, r"[,|]", "")
+    clean = {c: plain(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in PACKED if c != "genres"}
+    clean["genres"] = F.coalesce(F.array_join(F.transform("genres", plain), "|"), F.lit(""))
     day = F.date_format(utc_date(F.floor(F.col("ts") / 1000)), "yyyyMMdd")
     packed = rows.select("user_id", "kind", day.alias("bucket"), F.struct(F.col("ts").alias("at"), *[clean[c].alias(c) for c in PACKED]).alias("r"))
     out = packed.groupBy("user_id", "kind", "bucket").agg(F.sort_array(F.collect_list("r")).alias("rs"))

@@ -10,54 +10,101 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What the table's event types stand for; errors are thumbs or abandons by their number k.
+_KIND = """CASE event_type WHEN 'view' THEN 'impression' WHEN 'purchase' THEN 'order'
+    WHEN 'error' THEN CASE k % 3 WHEN 0 THEN 'thumb_up' WHEN 1 THEN 'thumb_down' ELSE 'abandon' END ELSE event_type END"""
+#: Fields that the table lacks, made from k; the same text in both dialects.
+_MADE = """CONCAT('m', k % 3) AS model_version, CASE WHEN k % 5 > 0 THEN CONCAT('p', k % 2) END AS policy_version, CAST(NULL AS STRING) AS algorithm_version,
+    CASE WHEN k % 4 > 0 THEN timestamp - k * 86400 END AS published_at, k % 6 = 0 AS new_release,
+    CASE k % 9 WHEN 0 THEN 'expired' WHEN 1 THEN 'muted_genre' WHEN 2 THEN 'else' END AS filter_reason, CASE WHEN k % 8 > 0 THEN k % 11 = 0 END AS unsafe_label,
+    CASE WHEN event_type = 'error' AND k % 2 = 0 THEN 'not_interested' END AS negative_feedback_reason, CASE WHEN event_type = 'click' THEN k * 100 END AS dwell_millis,
+    CASE WHEN event_type = 'click' AND k % 7 > 0 THEN k % 11 / CAST(10 AS DOUBLE) END AS completion_rate,
+    CASE WHEN k % 2 = 0 THEN 'home' ELSE 'search' END AS surface, CASE WHEN k % 3 = 0 THEN 'de' END AS locale, 'UTC' AS timezone, CASE WHEN k % 4 > 1 THEN 'phone' ELSE 'tv' END AS device"""
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    kinds = F.when(F.col("event_type") == "view", "impression").when(F.col("event_type") == "purchase", "order").when(F.col("event_type") == "error", "abandon").otherwise(F.col("event_type"))
     rows = table(spark, sf_dir, "events").withColumn("ms", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
     request = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), F.col("user_id"))
-    return rows.select(
+    rows = rows.select(
         F.col("event_id").cast("string").alias("event_id"), request.alias("request_id"), request.alias("session_id"), F.col("user_id").cast("string").alias("user_id"),
-        F.concat(F.lit("item_"), k % 10).alias("item_id"), kinds.alias("event_type"), F.expr("ms div 1000").alias("timestamp"), F.col("ms").alias("timestamp_ms"),
+        F.concat(F.lit("item_"), k % 10).alias("item_id"), "event_type", F.expr("ms div 1000").alias("timestamp"), F.col("ms").alias("timestamp_ms"),
         (k % 7).cast("int").alias("position"), F.when(F.col("event_type").isin("click", "purchase"), F.col("value")).alias("rating"), k.alias("k"),
     )
+    rows = rows.selectExpr("*", f"{_KIND} AS kind", *_split(_MADE))
+    return rows.drop("event_type").withColumnRenamed("kind", "event_type").withColumn("item_features", F.create_map(F.lit("k"), F.col("k").cast("string")))
+
+
+def _split(listed: str) -> list[str]:
+    """The entries of a select list."""
+    out, depth = [""], 0
+    for c in listed:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
 
 
-EVENTS = """ev AS (SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y%m%d') || '-' || user_id AS request_id, strftime(ts, '%Y%m%d') || '-' || user_id AS session_id,
-  CAST(user_id AS VARCHAR) AS user_id, 'item_' || (CAST(props->>'$.k' AS BIGINT) % 10) AS item_id,
-  CASE event_type WHEN 'view' THEN 'impression' WHEN 'purchase' THEN 'order' WHEN 'error' THEN 'abandon' ELSE event_type END AS event_type,
-  epoch_us(ts) // 1000000 AS timestamp, epoch_us(ts) // 1000 AS timestamp_ms, CAST(CAST(props->>'$.k' AS BIGINT) % 7 AS INTEGER) AS position,
-  CASE WHEN event_type IN ('click', 'purchase') THEN value END AS rating, CAST(props->>'$.k' AS BIGINT) AS k FROM events)"""
+_DUCK = _MADE.replace("AS STRING", "AS VARCHAR")
+EVENTS = f"""e0 AS (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k, epoch_us(ts) // 1000000 AS timestamp FROM events),
+  ev AS (SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y%m%d') || '-' || user_id AS request_id, strftime(ts, '%Y%m%d') || '-' || user_id AS session_id,
+  CAST(user_id AS VARCHAR) AS user_id, 'item_' || (k % 10) AS item_id, {_KIND} AS event_type, timestamp, epoch_us(ts) // 1000 AS timestamp_ms, CAST(k % 7 AS INTEGER) AS position,
+  CASE WHEN event_type IN ('click', 'purchase') THEN value END AS rating, k, {_DUCK} FROM e0)"""
 
+_SHOWN, _ENGAGED = "event_type IN ('impression', 'exposure')", "event_type IN ('click', 'order', 'purchase')"
+_ANSWERED = "event_type IN ('click', 'order', 'purchase', 'thumb_up', 'thumb_down', 'abandon')"
+_LATEST = ", ".join(f"arg_max({c}, (timestamp, event_id)) FILTER (WHERE {_ANSWERED} AND {c} IS NOT NULL) AS {c}" for c in ("rating", "negative_feedback_reason", "dwell_millis", "completion_rate"))
+_FIRST = ", ".join(f"arg_min({c}, (timestamp, event_id)) FILTER (WHERE {_SHOWN} AND {c} IS NOT NULL) AS {c}" for c in ("surface", "locale", "timezone", "device"))
+_MEASURED = ("model_version", "policy_version", "algorithm_version", "published_at", "new_release", "filter_reason", "unsafe_label")
+
+#: Samples, one row per (request, user, item) with an impression: the largest position and time of the impressions, what the last
+#: impression by (timestamp, event_id) says of models and item, the latest answers that aren't null, the latest thumb.
 SAMPLES = (
     EVENTS
-    + """, sm AS (SELECT concat_ws(':', request_id, user_id, item_id) AS sample_id, request_id, user_id, item_id,
-  arg_max(session_id, (timestamp_ms, event_id)) FILTER (WHERE event_type = 'impression') AS session_id,
-  min(position) FILTER (WHERE event_type = 'impression') AS position, min(timestamp) FILTER (WHERE event_type = 'impression') AS impression_ts,
-  CAST(max(CAST(event_type = 'click' AS INTEGER)) AS INTEGER) AS clicked, CAST(max(CAST(event_type = 'order' AS INTEGER)) AS INTEGER) AS ordered,
-  CASE WHEN bool_or(event_type = 'order') THEN 2.0::DOUBLE WHEN bool_or(event_type = 'click') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
-  max(timestamp) FILTER (WHERE event_type IN ('click', 'order')) AS last_feedback_ts,
-  max(timestamp_ms) FILTER (WHERE event_type IN ('click', 'order')) - min(timestamp_ms) FILTER (WHERE event_type = 'impression') AS feedback_delay_ms,
-  CAST(max(CAST(event_type = 'abandon' AS INTEGER)) AS INTEGER) AS abandoned,
-  arg_max(rating, (timestamp_ms, event_id)) FILTER (WHERE event_type IN ('click', 'order', 'abandon') AND rating IS NOT NULL) AS rating
-  FROM ev WHERE event_type <> 'signup' GROUP BY request_id, user_id, item_id HAVING bool_or(event_type = 'impression'))"""
+    + f""", s0 AS (SELECT concat_ws(':', request_id, user_id, item_id) AS sample_id, request_id, user_id, item_id, coalesce(arg_min(session_id, (timestamp, event_id)), '') AS session_id,
+  max(position) FILTER (WHERE {_SHOWN}) AS position, max(timestamp) FILTER (WHERE {_SHOWN}) AS impression_ts, max(timestamp_ms) FILTER (WHERE {_SHOWN}) AS impression_ms,
+  CAST(max(CAST(event_type = 'click' AS INTEGER)) AS INTEGER) AS clicked, CAST(max(CAST(event_type IN ('order', 'purchase') AS INTEGER)) AS INTEGER) AS ordered,
+  arg_max({{{', '.join(f"'{c}': {c}" for c in _MEASURED)}}}, (timestamp, event_id)) FILTER (WHERE {_SHOWN}) AS said,
+  arg_max(timestamp, (timestamp, event_id)) FILTER (WHERE {_ENGAGED}) AS last_feedback_ts, arg_max(timestamp_ms, (timestamp, event_id)) FILTER (WHERE {_ENGAGED}) AS last_feedback_ms,
+  {_LATEST}, {_FIRST}, arg_min(CAST(k AS VARCHAR), (timestamp, event_id)) FILTER (WHERE {_SHOWN}) AS feature,
+  arg_max(CASE event_type WHEN 'thumb_up' THEN 1 ELSE -1 END, (timestamp, event_id)) FILTER (WHERE event_type IN ('thumb_up', 'thumb_down')) AS thumb,
+  CAST(max(CAST(event_type = 'abandon' AS INTEGER)) AS INTEGER) AS abandoned
+  FROM ev WHERE event_type <> 'signup' GROUP BY request_id, user_id, item_id HAVING bool_or({_SHOWN})),
+  sm AS (SELECT *, CASE WHEN ordered = 1 THEN 2.0::DOUBLE WHEN clicked = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, last_feedback_ms - impression_ms AS feedback_delay_ms,
+  {', '.join(f'said.{c} AS {c}' for c in _MEASURED)} FROM s0)"""
 )
 
+#: Columns of star() that need more than line items, and the tables that they need.
+_NEEDS = {
+    "user_id": "orders", "device": "orders", "segment": "orders customer", "geo": "orders customer nation region",
+    "genres": "part", "year": "part", "query_text": "part", "brand": "part",
+}
+
 
-def star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense table of samples: a line item is an impression, returned ones clicked, flag A ordered."""
-    li, od, pt = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
-    cu, na, rg = (table(spark, sf_dir, n) for n in ("customer", "nation", "region"))
-    rows = li.join(od, li["l_orderkey"] == od["o_orderkey"]).join(pt, li["l_partkey"] == pt["p_partkey"]).join(cu, od["o_custkey"] == cu["c_custkey"])
-    rows = rows.join(na, cu["c_nationkey"] == na["n_nationkey"]).join(rg, na["n_regionkey"] == rg["r_regionkey"])
+def star(spark: SparkSession, sf_dir: str, columns: str = "") -> DataFrame:
+    """A dense table of samples: a line item is an impression, returned ones clicked, flag A ordered.
+
+    columns: those that are needed (all if none is named). Tables of which no
+    column is needed aren't joined: every line item has its order, part and so on.
+    """
     flag = F.col("l_returnflag")
-    return rows.select(
-        F.col("l_orderkey").cast("string").alias("request_id"), F.col("l_orderkey").cast("string").alias("session_id"), F.col("o_custkey").cast("string").alias("user_id"),
-        F.col("l_partkey").cast("string").alias("item_id"), F.col("l_linenumber").alias("position"), F.col("l_suppkey").alias("tie"),
-        F.when(flag.isin("A", "R"), 1).otherwise(0).alias("clicked"), F.when(flag == "A", 1).otherwise(0).alias("ordered"),
-        F.when(flag == "A", 2.0).when(flag == "R", 1.0).otherwise(0.0).alias("label"), F.to_date("l_shipdate").alias("date"),
-        F.split(F.lower("p_name"), " ").alias("genres"), (F.col("p_size") + 1980).alias("year"), F.col("p_type").alias("query_text"), F.col("l_quantity").alias("score"), F.col("l_extendedprice").alias("price"),
-        F.col("c_mktsegment").alias("segment"), F.col("r_name").alias("geo"), F.col("o_orderpriority").alias("device"), F.col("l_linestatus").alias("status"), F.col("p_brand").alias("brand"),
-    )
+    made = {
+        "request_id": F.col("l_orderkey").cast("string"), "session_id": F.col("l_orderkey").cast("string"), "user_id": F.col("o_custkey").cast("string"),
+        "item_id": F.col("l_partkey").cast("string"), "position": F.col("l_linenumber"), "tie": F.col("l_suppkey"),
+        "clicked": F.when(flag.isin("A", "R"), 1).otherwise(0), "ordered": F.when(flag == "A", 1).otherwise(0),
+        "label": F.when(flag == "A", 2.0).when(flag == "R", 1.0).otherwise(0.0), "date": F.to_date("l_shipdate"),
+        "genres": F.split(F.lower("p_name"), " "), "year": F.col("p_size") + 1980, "query_text": F.col("p_type"), "score": F.col("l_quantity"), "price": F.col("l_extendedprice"),
+        "segment": F.col("c_mktsegment"), "geo": F.col("r_name"), "device": F.col("o_orderpriority"), "status": F.col("l_linestatus"), "brand": F.col("p_brand"),
+    }
+    wanted = columns.split() or list(made)
+    needed = {t for c in wanted for t in _NEEDS.get(c, "").split()}
+    rows = table(spark, sf_dir, "lineitem")
+    for name, left, right in (("orders", "l_orderkey", "o_orderkey"), ("part", "l_partkey", "p_partkey"), ("customer", "o_custkey", "c_custkey"), ("nation", "c_nationkey", "n_nationkey"), ("region", "n_regionkey", "r_regionkey")):
+        if name in needed:
+            rows = rows.join(table(spark, sf_dir, name), F.col(left) == F.col(right))
+    return rows.select(*[made[c].alias(c) for c in wanted])
 
 
 STAR = """st AS (SELECT CAST(l_orderkey AS VARCHAR) AS request_id, CAST(l_orderkey AS VARCHAR) AS session_id, CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey AS VARCHAR) AS item_id,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.columns import Gate, cosine, flag, held_out, ratio
-from rivulet.operators import accounts, fitting, learning, measures, offpolicy, profiles, recall, samples
+from rivulet.operators import accounts, fitting, learning, measures, offpolicy, profiles, recall, reports, samples
 from rivulet.plans.adapters import EVENTS, SAMPLES, STAR, events, star, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,9 +36,26 @@ def _r(c, digits: int = 6):
 # --- events and samples
 
 
-@query(f"WITH {SAMPLES} SELECT sample_id, session_id, request_id, user_id, item_id, position, impression_ts, clicked, ordered, label, last_feedback_ts, feedback_delay_ms, abandoned, rating FROM sm")
+_FIELDS = (
+    "sample_id, session_id, request_id, user_id, item_id, position, impression_ts, clicked, ordered, label, last_feedback_ts, feedback_delay_ms, model_version, policy_version, algorithm_version, rating, "
+    "negative_feedback_reason, dwell_millis, completion_rate, published_at, new_release, filter_reason, unsafe_label, thumb, abandoned, surface, locale, timezone, device"
+)
+
+
+@query(f"WITH {SAMPLES} SELECT {_FIELDS}, feature FROM sm")
 def samples_build(spark, d):
-    return _samples(spark, d).select("sample_id", "session_id", "request_id", "user_id", "item_id", "position", "impression_ts", "clicked", "ordered", "label", "last_feedback_ts", "feedback_delay_ms", "abandoned", "rating")
+    return _samples(spark, d).select(*_FIELDS.split(", "), F.col("item_features")["k"].alias("feature"))
+
+
+@query(
+    f"""WITH {EVENTS}, g AS (SELECT CASE WHEN request_id IS NULL THEN 'null_request_id' WHEN user_id IS NULL THEN 'null_user_id' WHEN nullif(item_id, 'item_3') IS NULL THEN 'null_item_id'
+      WHEN event_type IS NULL THEN 'null_event_type' WHEN nullif(timestamp % 100, 7) IS NULL THEN 'null_timestamp' ELSE 'kept' END AS reason FROM ev)
+    SELECT r.reason, count(g.reason) AS n FROM (VALUES ('kept'), ('null_request_id'), ('null_user_id'), ('null_item_id'), ('null_event_type'), ('null_timestamp')) r(reason) LEFT JOIN g USING (reason) GROUP BY r.reason"""
+)
+def joiner_gate(spark, d):
+    # no field of the table is null: some values stand for null here
+    ev = events(spark, d).withColumns({"item_id": F.nullif("item_id", F.lit("item_3")), "timestamp": F.when(F.col("timestamp") % 100 != 7, F.col("timestamp"))})
+    return samples.joiner_gate(ev).counts()
 
 
 @query(f"WITH {SAMPLES} SELECT label, count(*) AS n FROM sm GROUP BY label")
@@ -96,12 +113,25 @@ def feedback_latest_nonnull(spark, d):
     return _samples(spark, d).filter("rating IS NOT NULL").select("sample_id", "rating")
 
 
+_ITEM = (
+    "position, item_id, clicked, ordered, label, last_feedback_ts, feedback_delay_ms, model_version, policy_version, algorithm_version, rating, negative_feedback_reason, dwell_millis, completion_rate, "
+    "published_at, new_release, filter_reason, unsafe_label"
+)
+
+
 @query(
-    f"""WITH {SAMPLES} SELECT concat_ws(':', request_id, user_id) AS slate_id, min(impression_ts) AS request_ts, max(clicked) AS slate_clicked, max(ordered) AS slate_ordered, sum(label) AS slate_reward,
-    CAST(count(*) AS INTEGER) AS slate_size, string_agg(item_id, ',' ORDER BY position, item_id) AS items FROM sm GROUP BY request_id, user_id"""
+    f"""WITH {SAMPLES} SELECT concat_ws(':', request_id, user_id) AS slate_id, arg_min(session_id, (position, item_id)) AS session_id, min(impression_ts) AS request_ts, max(clicked) AS slate_clicked, max(ordered) AS slate_ordered,
+    sum(label) AS slate_reward, CAST(count(*) AS INTEGER) AS slate_size, string_agg(item_id, ',' ORDER BY position, item_id) AS items FROM sm GROUP BY request_id, user_id"""
 )
 def slates_build(spark, d):
-    return samples.build_slates(_samples(spark, d)).select("slate_id", "request_ts", "slate_clicked", "slate_ordered", "slate_reward", "slate_size", F.expr("array_join(transform(items, i -> i.item_id), ',')").alias("items"))
+    out = samples.build_slates(_samples(spark, d))
+    return out.select("slate_id", "session_id", "request_ts", "slate_clicked", "slate_ordered", "slate_reward", "slate_size", F.expr("array_join(transform(items, i -> i.item_id), ',')").alias("items"))
+
+
+@query(f"WITH {SAMPLES} SELECT concat_ws(':', request_id, user_id) AS slate_id, {_ITEM}, feature FROM sm")
+def slate_items(spark, d):
+    out = samples.build_slates(_samples(spark, d)).select("slate_id", F.explode("items").alias("i"))
+    return out.select("slate_id", *[f"i.{c}" for c in _ITEM.split(", ")], F.col("i.item_features")["k"].alias("feature"))
 
 
 @query(f"WITH {SAMPLES} SELECT concat_ws(':', request_id, user_id) AS slate_id, item_id, CAST(row_number() OVER (PARTITION BY request_id, user_id ORDER BY position, item_id) - 1 AS INTEGER) AS place FROM sm")
@@ -116,16 +146,18 @@ def recall_samples(spark, d):
 
 def _vectors(spark, d, name):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return rows.select(F.col("id").alias("user_id"), "vector") if name == "user_id" else rows.select(F.concat(F.lit("item_"), "id").alias("item_id"), "vector").filter("item_id <> 'item_3'")
+    return rows.select(F.col("id").alias("user_id"), "vector") if name == "user_id" else rows.select(F.concat(F.lit("item_"), "id").alias("item_id"), "vector")
 
 
 @query(
-    f"""WITH {SAMPLES} SELECT sample_id, coalesce(len(u.embedding), 0) AS user_dim, coalesce(len(i.embedding), 0) AS item_dim FROM sm
-    LEFT JOIN embeddings u ON CAST(u.vec_id AS VARCHAR) = sm.user_id LEFT JOIN embeddings i ON 'item_' || i.vec_id = sm.item_id AND i.vec_id <> 3"""
+    f"""WITH {SAMPLES}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+    SELECT sample_id, coalesce(len(u.v), 0) AS user_dim, coalesce(len(i.v), 0) AS item_dim, round(coalesce(list_sum(u.v), 0), 6) + 0.0 AS user_sum, round(coalesce(list_sum(i.v), 0), 6) + 0.0 AS item_sum FROM sm
+    LEFT JOIN e u ON CAST(u.vec_id AS VARCHAR) = sm.user_id LEFT JOIN e i ON 'item_' || i.vec_id = sm.item_id"""
 )
 def ranking_samples(spark, d):
     out = samples.ranking_samples(_samples(spark, d), _vectors(spark, d, "user_id"), _vectors(spark, d, "item_id"))
-    return out.select("sample_id", F.size("user_vector").cast("long").alias("user_dim"), F.size("item_vector").cast("long").alias("item_dim"))
+    total = lambda c: (_r(F.aggregate(c, F.lit(0.0), lambda a, x: a + x)) + F.lit(0.0)).alias(c.replace("vector", "sum"))
+    return out.select("sample_id", F.size("user_vector").cast("long").alias("user_dim"), F.size("item_vector").cast("long").alias("item_dim"), total("user_vector"), total("item_vector"))
 
 
 @query(f"WITH {SAMPLES} SELECT user_id || ':' || CASE WHEN trim(session_id) = '' THEN request_id ELSE session_id END AS query, item_id, label, position FROM sm")
@@ -191,10 +223,10 @@ def _sequence_rows(spark, d):
 
 
 _CHUNKS = f"""{EVENTS}, ch AS (SELECT user_id, 'behavior' AS kind, strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y%m%d') AS bucket, string_agg(item_id, ',' ORDER BY timestamp_ms, item_id, event_type) AS item_id,
-  string_agg(CAST(timestamp_ms AS VARCHAR), ',' ORDER BY timestamp_ms) AS ts, string_agg(event_type, ',' ORDER BY timestamp_ms, item_id, event_type) AS action, repeat(',', count(*) - 1) AS rating, count(*) AS n FROM ev GROUP BY ALL)"""
+  string_agg(CAST(timestamp_ms AS VARCHAR), ',' ORDER BY timestamp_ms) AS ts, string_agg(event_type, ',' ORDER BY timestamp_ms, item_id, event_type) AS action, repeat(',', count(*) - 1) AS rating, repeat(',', count(*) - 1) AS genres, repeat(',', count(*) - 1) AS release_year, count(*) AS n FROM ev GROUP BY ALL)"""
 
 
-@query(f"WITH {_CHUNKS} SELECT user_id, kind, bucket, item_id, ts, action, rating, n FROM ch")
+@query(f"WITH {_CHUNKS} SELECT user_id, kind, bucket, item_id, ts, action, rating, genres, release_year, n FROM ch")
 def seq_chunks(spark, d):
     return samples.to_chunks(_sequence_rows(spark, d))
 
@@ -214,71 +246,124 @@ def seq_merge_cap(spark, d):
 
 
 _REFERENCE = 1_706_745_600
+_CFG = profiles.ProfileConfig(reference=_REFERENCE)
 
 
 def _profile_samples(spark, d):
-    genre = F.array(F.concat(F.lit("genre_"), F.expr("cast(substring(item_id, 6) as int) % 3")))
-    return _samples(spark, d).withColumn("rating", F.lit(None).cast("double")).withColumn("genres", genre)
-
-
-_WEIGHT = f"(CASE WHEN ordered = 1 THEN 3.0 WHEN clicked = 1 THEN 1.0 ELSE -0.1 END * pow(0.5, ({_REFERENCE} - impression_ts) / 86400.0 / 30.0))"
-_CFG = profiles.ProfileConfig(reference=_REFERENCE)
+    k = F.expr("cast(substring(item_id, 6) as int)")
+    genres = F.array(F.concat(F.lit(" Genre_"), k % 3), F.concat(F.lit("genre_"), k % 4), F.lit(""))
+    rows = _samples(spark, d).withColumn("rating", F.when(k % 5 == 0, F.lit(0.5)).when(k % 2 == 0, 1.0 + k / 2))
+    return rows.withColumn("genres", genres).withColumn("tags", F.array(F.concat(F.lit("Tag "), k % 2)))
+
+
+#: Profiles' samples: lower-cased distinct genres, one tag, ratings outside 1 to 5 rejected, 30 days before the reference, a half-life of 7 days.
+_VALID = f"""{SAMPLES}, k0 AS (SELECT * EXCLUDE (rating, k), k, CASE WHEN k % 5 = 0 THEN 0.5::DOUBLE WHEN k % 2 = 0 THEN 1.0::DOUBLE + k / 2 END AS rating FROM (SELECT *, CAST(substr(item_id, 6) AS INTEGER) AS k FROM sm)),
+  pg AS (SELECT *, CASE WHEN coalesce(user_id, '') = '' THEN 'missing_user' WHEN impression_ts IS NULL THEN 'invalid_timestamp' WHEN rating < 1 OR rating > 5 THEN 'invalid_behavior'
+    WHEN impression_ts < {_REFERENCE} - 2592000 OR impression_ts >= {_REFERENCE} + 1 THEN 'outside_source_window' ELSE 'kept' END AS reason FROM k0),
+  pv AS (SELECT *, list_distinct(['genre_' || (k % 3), 'genre_' || (k % 4)]) AS genres, 'tag ' || (k % 2) AS tag,
+    (CASE WHEN rating >= 3 THEN (rating - 3) / 2 WHEN rating < 3 THEN (rating - 3) / 2 WHEN ordered = 1 THEN 3.0 WHEN clicked = 1 THEN 1.0 ELSE -0.1 END)::DOUBLE * pow(0.5, greatest(0, {_REFERENCE} - impression_ts)::DOUBLE / 604800.0::DOUBLE) AS w,
+    CASE WHEN published_at IS NOT NULL THEN published_at >= {_REFERENCE} - 31536000 ELSE coalesce(new_release, false) END AS recent FROM pg WHERE reason = 'kept'),
+  pa AS (SELECT user_id, count(*) AS evidence_count, CAST(sum(clicked) AS BIGINT) AS clicks, CAST(sum(ordered) AS BIGINT) AS orders, CAST(sum(clicked) AS DOUBLE) / count(*) AS engagement_rate,
+    CAST(sum(ordered) AS DOUBLE) / count(*) AS conversion_rate, avg(rating) AS average_rating, CASE WHEN count(*) < 5 THEN 'low' WHEN count(*) < 20 THEN 'medium' ELSE 'high' END AS activity_level FROM pv GROUP BY 1),
+  pe AS (SELECT user_id, w, unnest(genres) AS value FROM pv), pp AS (SELECT user_id, value, sum(w) AS weight, count(*) AS evidence_count, greatest(-1, least(1, sum(w) / (count(*) + 5.0::DOUBLE))) AS score FROM pe GROUP BY 1, 2),
+  pw AS (SELECT user_id, value, sum(w) AS w FROM pe WHERE w > 0 GROUP BY 1, 2), ps AS (SELECT user_id, w / sum(w) OVER (PARTITION BY user_id) AS share FROM pw),
+  ph AS (SELECT user_id, 1 - sum(share * share) AS genre_diversity, max(share) AS preference_concentration FROM ps GROUP BY 1),
+  pr AS (SELECT user_id, sum(CASE WHEN recent THEN w ELSE 0 END) / sum(w) AS recent_release_affinity FROM pv WHERE w > 0 GROUP BY 1)"""
 
 
 @query(
-    f"""WITH {SAMPLES} SELECT user_id, count(*) AS events, CAST(sum(clicked) AS DOUBLE) / count(*) AS click_rate, CAST(sum(ordered) AS DOUBLE) / count(*) AS order_rate,
-    CASE WHEN count(*) >= 100 THEN 'high' WHEN count(*) >= 20 THEN 'medium' ELSE 'low' END AS activity_level FROM sm WHERE impression_ts < {_REFERENCE} + 1 GROUP BY 1"""
+    f"""WITH {_VALID} SELECT r.reason, count(pg.reason) AS n FROM (VALUES ('kept'), ('missing_user'), ('invalid_timestamp'), ('invalid_behavior'), ('outside_source_window')) r(reason)
+    LEFT JOIN pg USING (reason) GROUP BY r.reason"""
 )
-def profile_activity(spark, d):
-    return profiles.activity(profiles.valid(_profile_samples(spark, d), _CFG)).drop("avg_rating")
+def profile_gate(spark, d):
+    return profiles.profile_gate(_profile_samples(spark, d), _CFG).counts()
 
 
-_PREFS = f"{SAMPLES}, pf AS (SELECT user_id, 'genre_' || (CAST(substr(item_id, 6) AS INTEGER) % 3) AS value, sum({_WEIGHT}) AS weight, count(*) AS n FROM sm WHERE impression_ts < {_REFERENCE} + 1 GROUP BY 1, 2)"
+@query(f"WITH {_VALID} SELECT user_id, evidence_count, clicks, orders, engagement_rate, conversion_rate, round(average_rating, 6) AS average_rating, activity_level FROM pa")
+def profile_activity(spark, d):
+    return profiles.activity(profiles.valid(_profile_samples(spark, d), _CFG), _CFG).drop("impressions").withColumn("average_rating", _r("average_rating"))
 
 
-@query(f"WITH {_PREFS} SELECT user_id, value, n, round(greatest(-1, least(1, weight / (n + 5.0))), 6) AS score FROM pf")
+@query(f"WITH {_VALID} SELECT user_id, value, evidence_count, round(score, 6) + 0.0 AS score FROM pp")
 def profile_preferences(spark, d):
-    return profiles.preferences(profiles.valid(_profile_samples(spark, d), _CFG), _CFG).select("user_id", "value", "n", _r("score").alias("score"))
+    return profiles.preferences(profiles.valid(_profile_samples(spark, d), _CFG), _CFG).select("user_id", "value", "evidence_count", (_r("score") + F.lit(0.0)).alias("score"))
+
 
+@query(f"WITH {_VALID}, s AS (SELECT user_id, tag AS value, greatest(-1, least(1, sum(w) / (count(*) + 5.0::DOUBLE))) AS score FROM pv GROUP BY 1, 2) SELECT user_id, string_agg(value, ',' ORDER BY round(score, 9) DESC, value) AS tags FROM s GROUP BY 1")
+def profile_tags(spark, d):
+    table_ = profiles.preferences(profiles.valid(_profile_samples(spark, d), _CFG), _CFG, "tags").withColumn("score", _r("score", 9))
+    return profiles.top_preferences(table_, _CFG.most_tags, "tags").select("user_id", F.expr("array_join(transform(tags, t -> t.value), ',')").alias("tags"))
 
-@query(f"WITH {_PREFS}, s AS (SELECT user_id, weight / sum(weight) OVER (PARTITION BY user_id) AS share FROM pf WHERE weight > 0) SELECT user_id, round(1 - sum(share * share), 6) + 0.0 AS diversity, round(max(share), 6) AS focus FROM s GROUP BY 1")
+
+@query(f"WITH {_VALID} SELECT user_id, round(genre_diversity, 6) + 0.0 AS genre_diversity, round(preference_concentration, 6) AS preference_concentration FROM ph")
 def profile_shape(spark, d):
-    out = profiles.shape(profiles.preferences(profiles.valid(_profile_samples(spark, d), _CFG), _CFG))
-    return out.select("user_id", (_r("diversity") + F.lit(0.0)).alias("diversity"), _r("focus").alias("focus"))
+    out = profiles.shape(profiles.valid(_profile_samples(spark, d), _CFG), _CFG)
+    return out.select("user_id", (_r("genre_diversity") + F.lit(0.0)).alias("genre_diversity"), _r("preference_concentration").alias("preference_concentration"))
 
 
-@query()
+@query(f"WITH {_VALID} SELECT user_id, round(recent_release_affinity, 6) + 0.0 AS recent_release_affinity FROM pr")
+def profile_recency(spark, d):
+    return profiles.recency(profiles.valid(_profile_samples(spark, d), _CFG), _CFG).withColumn("recent_release_affinity", _r("recent_release_affinity") + F.lit(0.0))
+
+
+@query(
+    f"""WITH {_VALID}, f AS (SELECT * FROM pa LEFT JOIN ph USING (user_id) LEFT JOIN pr USING (user_id) LEFT JOIN (SELECT user_id, max(score) AS best FROM pp WHERE score > 0 GROUP BY 1) USING (user_id)),
+    t AS (SELECT user_id, 'new_or_unknown' AS type, 1.0::DOUBLE AS confidence FROM f WHERE evidence_count < 5
+      UNION ALL SELECT user_id, 'genre_enthusiast', (best - 0.6) / 0.4 FROM f WHERE evidence_count >= 5 AND best >= 0.6
+      UNION ALL SELECT user_id, 'genre_explorer', least((genre_diversity - 0.6) / 0.4, (0.5 - preference_concentration) / 0.5) FROM f WHERE evidence_count >= 5 AND genre_diversity >= 0.6 AND preference_concentration <= 0.5
+      UNION ALL SELECT user_id, 'focused_viewer', (preference_concentration - 0.7) / 0.3 FROM f WHERE evidence_count >= 5 AND preference_concentration >= 0.7
+      UNION ALL SELECT user_id, 'recent_release_seeker', (recent_release_affinity - 0.6) / 0.4 FROM f WHERE evidence_count >= 5 AND recent_release_affinity >= 0.6
+      UNION ALL SELECT user_id, 'high_intent_engager', least((engagement_rate - 0.4) / 0.6, (conversion_rate - 0.1) / 0.9) FROM f WHERE evidence_count >= 5 AND engagement_rate >= 0.4 AND conversion_rate >= 0.1
+      UNION ALL SELECT user_id, 'casual_browser', least((0.1 - engagement_rate) / 0.1, (0.02 - conversion_rate) / 0.02) FROM f WHERE evidence_count >= 5 AND engagement_rate <= 0.1 AND conversion_rate <= 0.02)
+    SELECT user_id, type, round(greatest(0, least(1, confidence)), 6) + 0.0 AS confidence FROM t"""
+)
 def profile_personas(spark, d):
-    out = profiles.build_profiles(_profile_samples(spark, d), _CFG)
-    return out.select("user_id", F.array_join("personas", ",").alias("personas"), F.size("genres").alias("n_genres"))
+    out = profiles.build_profiles(_profile_samples(spark, d), _CFG).select("user_id", F.explode("personas").alias("p"))
+    return out.select("user_id", "p.type", (_r("p.confidence") + F.lit(0.0)).alias("confidence"))
 
 
-@query(f"WITH {_RATINGS} SELECT user_id, CAST(i - 1 AS INTEGER) AS i, round(avg(CAST(e.embedding[i] AS DOUBLE)), 6) AS x FROM ra JOIN embeddings e ON 'item_' || e.vec_id = ra.item_id AND e.vec_id <> 3, range(1, 9) r(i) GROUP BY ALL")
+@query(
+    f"""WITH {_VALID}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, value) AS i FROM pp)
+    SELECT pa.user_id, 1 AS profile_version, pa.evidence_count, string_agg(r.value || ':' || r.evidence_count, ',' ORDER BY i) AS genres, activity_level, '2024-01-02T00:00:00Z' AS start FROM pa JOIN r USING (user_id) WHERE i <= 10 GROUP BY ALL"""
+)
+def profile_documents(spark, d):
+    got = profiles.with_document(profiles.build_profiles(_profile_samples(spark, d), _CFG), _CFG, "run", "2024-02-01T00:00:00Z")
+    kind = "profile_version int, evidence_count bigint, source_window struct<start string>, behavioral_features struct<activity_level string>, preferences struct<genres: array<struct<value: string, score: double, evidence_count: bigint>>>"
+    doc = got.select("user_id", F.from_json("profile_json", kind).alias("d"))
+    listed = F.expr("array_join(transform(array_sort(transform(d.preferences.genres, g -> struct(-round(g.score, 9) AS o, g.value AS v, g.evidence_count AS n))), g -> concat(g.v, ':', g.n)), ',')")
+    return doc.select("user_id", "d.profile_version", "d.evidence_count", listed.alias("genres"), "d.behavioral_features.activity_level", "d.source_window.start")
+
+
+@query(
+    f"""WITH {_RATINGS}, v AS (SELECT user_id, unnest(range(len(e.embedding))) AS i, unnest(CAST(e.embedding AS DOUBLE[])) AS x FROM ra JOIN embeddings e ON 'item_' || e.vec_id = ra.item_id)
+    SELECT user_id, CAST(i AS INTEGER) AS i, round(avg(x), 6) + 0.0 AS x FROM v GROUP BY ALL"""
+)
 def user_vectors_mean(spark, d):
     rows = _ratings(spark, d).select(F.col("userId").alias("user_id"), F.col("movieId").alias("item_id"))
-    return measures.user_vectors(rows, _vectors(spark, d, "item_id")).select("user_id", F.posexplode(F.slice("vector", 1, 8)).alias("i", "x")).select("user_id", "i", _r("x").alias("x"))
+    return measures.user_vectors(rows, _vectors(spark, d, "item_id")).select("user_id", F.posexplode("vector").alias("i", "x")).select("user_id", "i", (_r("x") + F.lit(0.0)).alias("x"))
 
 
-@query(
-    """WITH u AS (SELECT vec_id AS user_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 50), i AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id >= 50),
-    s AS (SELECT user_id, item_id, list_cosine_similarity(u.v, i.v) AS score FROM u, i), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s)
+def _nearest(users: str) -> str:
+    return f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    s AS (SELECT u.vec_id AS user_id, i.vec_id AS item_id, list_cosine_similarity(u.v, i.v) AS score FROM v u, v i WHERE {users}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s)
     SELECT user_id, item_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
-)
-def topk_cosine(spark, d):
+
+
+def _top_k(spark, d, users):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    out = measures.top_k_cosine(rows.filter("vec_id < 50").withColumnRenamed("vec_id", "user_id"), rows.filter("vec_id >= 50").withColumnRenamed("vec_id", "item_id"), 10)
+    out = measures.top_k_cosine(rows.filter(users).withColumnRenamed("vec_id", "user_id"), rows.withColumnRenamed("vec_id", "item_id"), 10)
     return out.select("user_id", "item_id", "rank", _r("score").alias("score"))
 
 
-@query(
-    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    s AS (SELECT u.vec_id AS user_id, i.vec_id AS item_id, list_cosine_similarity(u.v, i.v) AS score FROM v u, v i), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s)
-    SELECT user_id, item_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
-)
+@query(_nearest("u.vec_id % 100 = 0"))
+def topk_cosine(spark, d):
+    """A search: every vector whose id is divisible by 100 against all vectors."""
+    return _top_k(spark, d, "vec_id % 100 = 0")
+
+
+@query(_nearest("true"))
 def topk_cosine_all(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    out = measures.top_k_cosine(rows.withColumnRenamed("vec_id", "user_id"), rows.withColumnRenamed("vec_id", "item_id"), 10)
-    return out.select("user_id", "item_id", "rank", _r("score").alias("score"))
+    return _top_k(spark, d, "true")
 
 
 # --- reports
@@ -290,7 +375,7 @@ def _engaged(by: str, select: str = "") -> str:
 
 @query(_engaged("date"))
 def ctr_daily(spark, d):
-    return measures.engagement(star(spark, d), ["date"])
+    return measures.engagement(star(spark, d, "date clicked ordered"), ["date"])
 
 
 @query(f"WITH {EVENTS} SELECT hour, count(*) AS events, CAST(sum(CAST(event_type = 'click' AS INTEGER)) AS BIGINT) AS clicks FROM (SELECT CAST(timestamp // 3600 % 24 AS INTEGER) AS hour, event_type FROM ev) GROUP BY 1")
@@ -301,43 +386,48 @@ def ctr_by_hour(spark, d):
 
 @query(_engaged("1, 2", "CAST(dayofweek(date) + 1 AS INTEGER) AS dow, strftime(date, '%a') AS day"))
 def ctr_by_dow(spark, d):
-    return measures.engagement(star(spark, d).select("*", F.dayofweek("date").alias("dow"), F.date_format("date", "E").alias("day")), ["dow", "day"])
+    return measures.engagement(star(spark, d, "date clicked ordered").select("*", F.dayofweek("date").alias("dow"), F.date_format("date", "E").alias("day")), ["dow", "day"])
 
 
-_SESSION = f"{STAR}, se AS (SELECT session_id, count(DISTINCT request_id) AS requests, count(*) AS impressions, CAST(sum(clicked) AS BIGINT) AS clicks, CAST(sum(ordered) AS BIGINT) AS orders FROM st GROUP BY 1)"
+_SESSION = f"""{SAMPLES}, sb AS (SELECT * EXCLUDE (session_id), CASE WHEN item_id = 'item_7' THEN '' ELSE session_id END AS session_id FROM sm), se AS (SELECT session_id, user_id, count(DISTINCT request_id) AS slates, count(*) AS impressions,
+  CAST(sum(clicked) AS BIGINT) AS clicks, CAST(sum(ordered) AS BIGINT) AS orders, round(CAST(sum(clicked) AS DOUBLE) / count(*), 4) AS ctr FROM sb WHERE session_id <> '' GROUP BY 1, 2)"""
 
 
 def _sessions(spark, d):
-    return star(spark, d).groupBy("session_id").agg(F.countDistinct("request_id").alias("requests"), F.count("*").alias("impressions"), F.sum("clicked").alias("clicks"), F.sum("ordered").alias("orders"))
+    # one item's samples stand for those without a session
+    rows = _samples(spark, d).withColumn("session_id", F.when(F.col("item_id") == "item_7", "").otherwise(F.col("session_id")))
+    return reports.sessions(rows)
 
 
-@query(f"WITH {_SESSION} SELECT *, round(CAST(clicks AS DOUBLE) / impressions, 4) AS ctr FROM se")
+@query(f"WITH {_SESSION} SELECT * FROM se")
 def session_report(spark, d):
-    return _sessions(spark, d).withColumn("ctr", F.round(ratio(F.col("clicks"), F.col("impressions")), 4))
+    return _sessions(spark, d)
 
 
-@query(f"WITH {_SESSION} SELECT count(*) AS sessions, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS DOUBLE) / count(*) AS mean_impressions, CAST(sum(CAST(clicks > 0 AS INTEGER)) AS DOUBLE) / count(*) AS clicked_share FROM se")
+@query(
+    f"""WITH {_SESSION} SELECT count(*) AS sessions, count(DISTINCT user_id) AS users, round(CAST(count(*) AS DOUBLE) / count(DISTINCT user_id), 3) AS sessions_per_user, round(CAST(sum(slates) AS DOUBLE) / count(*), 3) AS slates_per_session,
+    round(CAST(sum(impressions) AS DOUBLE) / count(*), 2) AS impressions_per_session, round(CAST(sum(clicks) AS DOUBLE) / count(*), 3) AS clicks_per_session, round(avg(ctr), 4) AS mean_session_ctr FROM se"""
+)
 def session_summary(spark, d):
-    n = F.count("*")
-    return _sessions(spark, d).agg(n.alias("sessions"), F.sum("clicks").alias("clicks"), (F.sum("impressions").cast("double") / n).alias("mean_impressions"), (F.sum(flag(F.col("clicks") > 0)).cast("double") / n).alias("clicked_share"))
+    return reports.session_summary(_sessions(spark, d))
 
 
 @query(f"WITH {STAR} SELECT query_text, count(*) AS impressions, count(DISTINCT user_id) AS users, count(DISTINCT session_id) AS sessions, CAST(sum(clicked) AS DOUBLE) / count(*) AS ctr FROM st GROUP BY 1 ORDER BY impressions DESC, query_text LIMIT 20")
 def top_queries(spark, d):
-    out = star(spark, d).groupBy("query_text").agg(F.count("*").alias("impressions"), F.countDistinct("user_id").alias("users"), F.countDistinct("session_id").alias("sessions"), ratio(F.sum("clicked"), F.count("*")).alias("ctr"))
+    out = star(spark, d, "query_text user_id session_id clicked").groupBy("query_text").agg(F.count("*").alias("impressions"), F.countDistinct("user_id").alias("users"), F.countDistinct("session_id").alias("sessions"), ratio(F.sum("clicked"), F.count("*")).alias("ctr"))
     return out.orderBy(F.desc("impressions"), "query_text").limit(20)
 
 
 @query(f"WITH {STAR} SELECT CASE WHEN length(query_text) <= 10 THEN 'short' ELSE 'long' END AS length, count(DISTINCT query_text) AS queries, count(*) AS impressions FROM st GROUP BY 1")
 def query_length(spark, d):
-    return star(spark, d).groupBy(F.when(F.length("query_text") <= 10, "short").otherwise("long").alias("length")).agg(F.countDistinct("query_text").alias("queries"), F.count("*").alias("impressions"))
+    return star(spark, d, "query_text").groupBy(F.when(F.length("query_text") <= 10, "short").otherwise("long").alias("length")).agg(F.countDistinct("query_text").alias("queries"), F.count("*").alias("impressions"))
 
 
 _KEYWORDS = f"{STAR}, kw AS (SELECT keyword, segment, count(*) AS impressions, count(DISTINCT item_id) AS items, CAST(sum(clicked) AS BIGINT) AS clicks FROM (SELECT unnest(genres) AS keyword, segment, item_id, clicked FROM st) GROUP BY 1, 2)"
 
 
 def _keywords(spark, d):
-    rows = star(spark, d).select("segment", "item_id", "clicked", F.explode("genres").alias("keyword"))
+    rows = star(spark, d, "segment item_id clicked genres").select("segment", "item_id", "clicked", F.explode("genres").alias("keyword"))
     return rows.groupBy("keyword", "segment").agg(F.count("*").alias("impressions"), F.countDistinct("item_id").alias("items"), F.sum("clicked").alias("clicks"))
 
 
@@ -380,29 +470,29 @@ def category_l3(spark, d):
 
 @query(_engaged("device"))
 def segment_device(spark, d):
-    return measures.engagement(star(spark, d), ["device"])
+    return measures.engagement(star(spark, d, "device clicked ordered"), ["device"])
 
 
 @query(f"WITH {STAR}, u AS (SELECT user_id, geo, count(*) AS n, sum(clicked) AS c, sum(score) AS s FROM st GROUP BY 1, 2) SELECT geo, count(*) AS users, CAST(sum(c) AS DOUBLE) / sum(n) AS ctr, round(sum(s) / sum(n), 6) AS weighted FROM u GROUP BY 1")
 def segment_geo_weighted(spark, d):
-    per = star(spark, d).groupBy("user_id", "geo").agg(F.count("*").alias("n"), F.sum("clicked").alias("c"), F.sum("score").alias("s"))
+    per = star(spark, d, "user_id geo clicked score").groupBy("user_id", "geo").agg(F.count("*").alias("n"), F.sum("clicked").alias("c"), F.sum("score").alias("s"))
     return per.groupBy("geo").agg(F.count("*").alias("users"), ratio(F.sum("c"), F.sum("n")).alias("ctr"), _r(F.sum("s") / F.sum("n")).alias("weighted"))
 
 
 @query(f"WITH {STAR} SELECT CASE label WHEN 2 THEN 'ordered' WHEN 1 THEN 'clicked' ELSE 'shown' END AS state, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM st) AS share, min(label) AS score FROM st GROUP BY 1")
 def relevance_state(spark, d):
-    rows = star(spark, d).groupBy(F.when(F.col("label") == 2, "ordered").when(F.col("label") == 1, "clicked").otherwise("shown").alias("state")).agg(F.count("*").alias("n"), F.min("label").alias("score"))
+    rows = star(spark, d, "label").groupBy(F.when(F.col("label") == 2, "ordered").when(F.col("label") == 1, "clicked").otherwise("shown").alias("state")).agg(F.count("*").alias("n"), F.min("label").alias("score"))
     return rows.withColumn("share", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()))
 
 
 @query(f"WITH {STAR} SELECT genre, count(*) AS n, sum(label) / count(*) AS score FROM (SELECT unnest(genres) AS genre, label FROM st) GROUP BY 1")
 def relevance_by_genre(spark, d):
-    return star(spark, d).select(F.explode("genres").alias("genre"), "label").groupBy("genre").agg(F.count("*").alias("n"), (F.sum("label") / F.count("*")).alias("score"))
+    return star(spark, d, "genres label").select(F.explode("genres").alias("genre"), "label").groupBy("genre").agg(F.count("*").alias("n"), (F.sum("label") / F.count("*")).alias("score"))
 
 
 @query(f"WITH {STAR} SELECT date, count(*) AS n FROM st WHERE date > (SELECT max(date) FROM st) - 30 GROUP BY 1")
 def lookback_window(spark, d):
-    return measures.lookback(star(spark, d), 30).groupBy("date").agg(F.count("*").alias("n"))
+    return measures.lookback(star(spark, d, "date"), 30).groupBy("date").agg(F.count("*").alias("n"))
 
 
 # --- tables and SQL
@@ -458,8 +548,10 @@ _sql("bins_source_appeals", "lineitem orders", f"SELECT {_BINS} AS bin, count(DI
 _sql("like_filters", "part", "SELECT p_type, count(*) AS n FROM part WHERE p_name LIKE '%a%' AND p_name NOT LIKE '%b%' OR p_type LIKE 'S%' GROUP BY p_type")
 _sql("semi_join", "customer orders", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
 _sql("anti_join", "customer orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-_sql("theta_prefix_join", "nation region", "SELECT n_name, r_name FROM nation LEFT JOIN region ON substring(n_name, 1, 1) = substring(r_name, 1, 1)")
-_sql("outer_joins", "customer orders", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 5 = 0) o ON c_custkey = o_custkey")
+_sql(
+    "theta_prefix_join", "part", "SELECT p_partkey, b.brand FROM part LEFT JOIN (SELECT DISTINCT p_brand AS brand FROM part) b ON startswith(part.p_brand, substring(b.brand, 1, 7)) AND b.brand <> part.p_brand",
+    "SELECT p_partkey, b.brand FROM part LEFT JOIN (SELECT DISTINCT p_brand AS brand FROM part) b ON starts_with(part.p_brand, substring(b.brand, 1, 7)) AND b.brand <> part.p_brand",
+)
 _sql("outer_joins_all", "customer orders", "SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'")
 _sql("union_all_distinct", "customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION ALL SELECT c_nationkey FROM customer")
 _sql("intersect_except", "customer supplier", "SELECT 'both' AS side, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers', k FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
@@ -503,7 +595,7 @@ _AUC = f"""{STAR}, r AS (SELECT segment, clicked, score, rank() OVER (PARTITION
 
 @query(f"WITH {_AUC} SELECT segment, CAST(sum(clicked) AS BIGINT) AS positives, count(*) AS rows, round((sum(rk) FILTER (WHERE clicked = 1) - sum(clicked) * (sum(clicked) + 1) / 2.0) / (sum(clicked) * (count(*) - sum(clicked))), 9) AS auc FROM r GROUP BY 1")
 def auc_signals(spark, d):
-    return measures.auc(star(spark, d), "score", F.col("clicked") == 1, ["segment"]).withColumn("auc", _r("auc", 9))
+    return measures.auc(star(spark, d, "segment score clicked"), "score", F.col("clicked") == 1, ["segment"]).withColumn("auc", _r("auc", 9))
 
 
 @query(
@@ -511,7 +603,7 @@ def auc_signals(spark, d):
     SELECT segment, round(avg(-CASE WHEN clicked = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS logloss FROM p GROUP BY 1"""
 )
 def logloss_signals(spark, d):
-    return measures.logloss(star(spark, d), "score", F.col("clicked") == 1, ["segment"]).withColumn("logloss", _r("logloss"))
+    return measures.logloss(star(spark, d, "segment score clicked"), "score", F.col("clicked") == 1, ["segment"]).withColumn("logloss", _r("logloss"))
 
 
 _NDCG = f"""{STAR}, o AS (SELECT request_id AS slate_id, label, row_number() OVER (PARTITION BY request_id ORDER BY position, item_id, tie, label) AS i, row_number() OVER (PARTITION BY request_id ORDER BY label DESC) AS b FROM st),
@@ -519,7 +611,7 @@ _NDCG = f"""{STAR}, o AS (SELECT request_id AS slate_id, label, row_number() OVE
 
 
 def _label_slates(spark, d):
-    rows = star(spark, d).groupBy(F.col("request_id").alias("slate_id")).agg(F.sort_array(F.collect_list(F.struct("position", "item_id", "tie", "label"))).alias("i"))
+    rows = star(spark, d, "request_id position item_id tie label").groupBy(F.col("request_id").alias("slate_id")).agg(F.sort_array(F.collect_list(F.struct("position", "item_id", "tie", "label"))).alias("i"))
     return rows.select("slate_id", F.expr("transform(i, x -> x.label)").alias("labels"))
 
 
@@ -530,20 +622,20 @@ def ndcg_mrr(spark, d):
 
 @query(f"WITH {STAR}, s AS (SELECT user_id, request_id, max(clicked) AS hit FROM st WHERE position <= 2 GROUP BY 1, 2), u AS (SELECT user_id, avg(hit) AS recall, max(hit) AS any_hit FROM s GROUP BY 1) SELECT round(avg(recall), 6) AS recall, round(avg(any_hit), 6) AS hit_rate, count(*) AS users FROM u")
 def hit_rate_users(spark, d):
-    s = star(spark, d).filter("position <= 2").groupBy("user_id", "request_id").agg(F.max("clicked").alias("hit"))
+    s = star(spark, d, "user_id request_id clicked position").filter("position <= 2").groupBy("user_id", "request_id").agg(F.max("clicked").alias("hit"))
     u = s.groupBy("user_id").agg(F.avg("hit").alias("recall"), F.max("hit").alias("any_hit"))
     return u.agg(_r(F.avg("recall")).alias("recall"), _r(F.avg("any_hit")).alias("hit_rate"), F.count("*").alias("users"))
 
 
-_BM25 = """dt AS (SELECT p_partkey AS doc, string_split(lower(p_name), ' ') AS terms FROM part), qs AS (SELECT DISTINCT n_nationkey AS query, unnest(string_split((SELECT lower(p_name) FROM part WHERE p_partkey = n_nationkey + 1), ' ')) AS term FROM nation),
+_BM25 = """dt AS (SELECT p_partkey AS doc, string_split(lower(p_name), ' ') AS terms FROM part), qs AS (SELECT DISTINCT p_partkey AS query, unnest(string_split(lower(p_name), ' ')) AS term FROM part WHERE p_partkey % 100 = 0),
   po AS (SELECT doc, len(terms) AS len, unnest(terms) AS term FROM dt), tf AS (SELECT doc, len, term, count(*) AS tf FROM po GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), g AS (SELECT count(*) AS docs, avg(len(terms)) AS mean FROM dt),
   sc AS (SELECT query, doc, sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM tf JOIN qs USING (term) JOIN df USING (term), g GROUP BY 1, 2)"""
 
 
 def _bm25(spark, d):
+    """Searches with every part whose key is divisible by 100 against all parts."""
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.split(F.lower("p_name"), " ").alias("terms"))
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("query"), (F.col("n_nationkey") + 1).alias("doc"))
-    return measures.bm25(parts, n.join(parts, "doc").select("query", F.explode(F.array_distinct("terms")).alias("term")))
+    return measures.bm25(parts, parts.filter("doc % 100 = 0").select(F.col("doc").alias("query"), F.explode(F.array_distinct("terms")).alias("term")))
 
 
 @query(f"WITH {_BM25} SELECT query, doc, round(score, 6) AS score FROM sc")
@@ -557,14 +649,14 @@ _RRF = f"""{STAR}, i AS (SELECT segment, item_id, count(*) AS n, CAST(sum(clicke
 
 @query(f"WITH {_RRF} SELECT segment, item_id, round(score, 9) AS score FROM f")
 def rrf_fusion(spark, d):
-    i = star(spark, d).groupBy("segment", "item_id").agg(F.count("*").alias("n"), F.sum("clicked").alias("c"))
+    i = star(spark, d, "segment item_id clicked").groupBy("segment", "item_id").agg(F.count("*").alias("n"), F.sum("clicked").alias("c"))
     lists = [measures.rank_within(i, ["segment"], [F.desc(c), F.col("item_id")], 20) for c in ("n", "c")]
     return measures.rrf(lists, ["segment", "item_id"]).withColumn("score", _r("score", 9))
 
 
 @query(f"WITH {STAR}, g AS (SELECT request_id, unnest(genres) AS genre FROM st), n AS (SELECT request_id, genre, count(*) AS n FROM g GROUP BY 1, 2), p AS (SELECT request_id, n / sum(n) OVER (PARTITION BY request_id) AS p FROM n) SELECT request_id, count(*) AS values, round(CASE WHEN count(*) > 1 THEN -sum(p * ln(p)) / ln(count(*)) ELSE 0 END, 6) AS entropy FROM p GROUP BY 1")
 def genre_entropy(spark, d):
-    return measures.entropy(star(spark, d).select("request_id", F.explode("genres").alias("genre")), "request_id", "genre").withColumn("entropy", _r("entropy"))
+    return measures.entropy(star(spark, d, "request_id genres").select("request_id", F.explode("genres").alias("genre")), "request_id", "genre").withColumn("entropy", _r("entropy"))
 
 
 @query(
@@ -572,19 +664,19 @@ def genre_entropy(spark, d):
     SELECT a.request_id, round(avg(CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / len(list_distinct(list_concat(a.g, b.g)))), 6) AS similarity FROM o a JOIN o b ON a.request_id = b.request_id AND a.i < b.i GROUP BY 1"""
 )
 def intra_list_jaccard(spark, d):
-    rows = star(spark, d).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", "item_id", "tie", "label", F.array_distinct("genres").alias("g")))).alias("xs"))
+    rows = star(spark, d, "request_id position item_id tie label genres").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", "item_id", "tie", "label", F.array_distinct("genres").alias("g")))).alias("xs"))
     pairs = rows.select("request_id", "xs", F.posexplode("xs").alias("i", "a")).select("request_id", "a", F.explode(F.expr("slice(xs, i + 2, size(xs))")).alias("b"))
     return pairs.groupBy("request_id").agg(_r(F.avg(F.size(F.array_intersect("a.g", "b.g")).cast("double") / F.size(F.array_union("a.g", "b.g")))).alias("similarity"))
 
 
 @query(f"WITH {STAR}, c AS (SELECT item_id, count(*) AS n FROM st GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n, item_id) AS i FROM c) SELECT round(2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0) / count(*), 9) AS gini FROM r")
 def exposure_gini(spark, d):
-    return measures.gini(star(spark, d).groupBy("item_id").agg(F.count("*").alias("n"))).select(_r("gini", 9).alias("gini"))
+    return measures.gini(star(spark, d, "item_id").groupBy("item_id").agg(F.count("*").alias("n"))).select(_r("gini", 9).alias("gini"))
 
 
 @query(f"WITH {STAR}, c AS (SELECT item_id, count(*) AS n FROM st GROUP BY 1), q AS (SELECT quantile_cont(n, 0.8) AS cut FROM c) SELECT CAST(sum(n) FILTER (WHERE n < cut) AS DOUBLE) / sum(n) AS share FROM c, q")
 def long_tail_share(spark, d):
-    c = star(spark, d).groupBy("item_id").agg(F.count("*").alias("n"))
+    c = star(spark, d, "item_id").groupBy("item_id").agg(F.count("*").alias("n"))
     return c.crossJoin(F.broadcast(c.agg(F.percentile("n", 0.8).alias("cut")))).agg(ratio(F.sum(F.when(F.col("n") < F.col("cut"), F.col("n"))), F.sum("n")).alias("share"))  # cut is one row
 
 
@@ -595,41 +687,12 @@ def repeat_rate(spark, d):
     return n.agg(ratio(F.sum(F.col("n") - 1), F.sum("n")).alias("repeat_rate"))
 
 
-_AGES = "CASE WHEN age <= 365 THEN '0-1y' WHEN age <= 1095 THEN '1-3y' ELSE '3y+' END"
-
-
-@query(f"WITH {STAR} SELECT {_AGES} AS band, count(*) AS n, CAST(sum(clicked) AS DOUBLE) / count(*) AS ctr FROM (SELECT clicked, (SELECT max(date) FROM st) - date AS age FROM st) GROUP BY 1")
-def freshness_bands(spark, d):
-    rows = star(spark, d)
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("date").alias("now")))).withColumn("age", F.date_diff("now", "date"))  # one row
-    return rows.groupBy(F.expr(_AGES).alias("band")).agg(F.count("*").alias("n"), ratio(F.sum("clicked"), F.count("*")).alias("ctr"))
-
-
 @query(
     f"""WITH {STAR}, i AS (SELECT segment, item_id, sum(clicked) AS c, count(*) AS n FROM st GROUP BY 1, 2), p AS (SELECT segment, CAST(sum(c) AS DOUBLE) / sum(n) AS p FROM i GROUP BY 1)
     SELECT i.segment, CAST(sum(n) AS BIGINT) AS rows, count(*) AS clusters, any_value(p) AS rate, round(sqrt(sum(pow(c - p * n, 2)) / pow(sum(n), 2) * count(*) / (count(*) - 1)), 9) AS se FROM i JOIN p USING (segment) GROUP BY 1"""
 )
 def ctr_gap_clustered(spark, d):
-    return measures.clustered_rate(star(spark, d), "item_id", "clicked", ["segment"]).withColumn("se", _r("se", 9))
-
-
-@query(
-    f"""WITH {STAR}, m AS (SELECT 'geo' AS dimension, geo AS grp, clicked FROM st UNION ALL SELECT 'device', device, clicked FROM st UNION ALL SELECT 'segment', segment, clicked FROM st),
-    g AS (SELECT dimension, coalesce(nullif(trim(grp), ''), 'unknown') AS grp, count(*) AS n, CAST(sum(clicked) AS DOUBLE) / count(*) AS ctr FROM m GROUP BY 1, 2 HAVING count(*) >= 100)
-    SELECT dimension, grp, n, ctr, round(max(ctr) OVER (PARTITION BY dimension) - min(ctr) OVER (PARTITION BY dimension), 9) AS gap FROM g"""
-)
-def fairness_groups(spark, d):
-    rows = star(spark, d).select("clicked", F.explode(F.create_map(*[x for c in ("geo", "device", "segment") for x in (F.lit(c), F.col(c))])).alias("dimension", "grp"))
-    name = F.when(F.coalesce(F.trim("grp"), F.lit("")) == "", "unknown").otherwise(F.trim("grp"))
-    g = rows.groupBy("dimension", name.alias("grp")).agg(F.count("*").alias("n"), ratio(F.sum("clicked"), F.count("*")).alias("ctr")).filter("n >= 100")
-    w = Window.partitionBy("dimension")
-    return g.withColumn("gap", _r(F.max("ctr").over(w) - F.min("ctr").over(w), 9))
-
-
-@query("SELECT CASE WHEN event_type IN ('error', 'signup') THEN event_type ELSE 'unknown' END AS reason, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM events) AS share FROM events GROUP BY 1")
-def safety_reasons(spark, d):
-    rows = table(spark, d, "events").groupBy(F.when(F.col("event_type").isin("error", "signup"), F.col("event_type")).otherwise("unknown").alias("reason")).agg(F.count("*").alias("n"))
-    return rows.withColumn("share", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()))
+    return measures.clustered_rate(star(spark, d, "segment item_id clicked"), "item_id", "clicked", ["segment"]).withColumn("se", _r("se", 9))
 
 
 @query(f"WITH {EVENTS}, b AS (SELECT min(timestamp) AS lo, max(timestamp) AS hi FROM ev) SELECT least((timestamp - lo) * 24 // greatest(hi - lo, 1), 23) AS bucket, count(*) AS n, count(rating) AS rated, round(avg(rating), 6) AS rating FROM ev, b GROUP BY 1")
@@ -696,7 +759,7 @@ def next_item_baselines(spark, d):
 
 @query(f"WITH {STAR}, b AS (SELECT request_id, arg_max(label, (score, item_id, tie, label)) AS r FROM st GROUP BY 1) SELECT avg(r) AS value, count(*) AS n FROM b")
 def policy_picks(spark, d):
-    best = star(spark, d).groupBy("request_id").agg(F.max_by("label", F.struct("score", "item_id", "tie", "label")).alias("r"))
+    best = star(spark, d, "request_id label score item_id tie").groupBy("request_id").agg(F.max_by("label", F.struct("score", "item_id", "tie", "label")).alias("r"))
     return best.agg(F.avg("r").alias("value"), F.count("*").alias("n"))
 
 
@@ -738,7 +801,7 @@ _OPE = f"""{STAR}, sc AS (SELECT request_id, 'logging' AS policy, avg(label) AS
 
 def _policy_scores(spark, d):
     actions = F.collect_list(F.struct(F.col("item_id").alias("item"), "score", "price", "label"))
-    events_ = star(spark, d).groupBy("request_id").agg(F.avg("label").alias("reward"), actions.alias("actions"))
+    events_ = star(spark, d, "request_id label score price item_id").groupBy("request_id").agg(F.avg("label").alias("reward"), actions.alias("actions"))
     return offpolicy.policy_scores(events_, {"score": lambda a: a["score"], "price": lambda a: a["price"]}, lambda a: a["label"])
 
 
@@ -748,8 +811,8 @@ def ope_values(spark, d):
 
 
 @query(
-    f"""WITH {_OPE}, g AS (SELECT CAST(floor(CAST('0x' || substr(md5(request_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 256) AS BIGINT) AS g, policy, sum(r) AS s, count(*) AS n FROM sc GROUP BY 1, 2),
-    u AS (SELECT g.*, i, CAST('0x' || substr(md5('7:' || g || ':' || i), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM g, range(1, 101) k(i)),
+    f"""WITH {_OPE}, g AS (SELECT CAST(floor(CAST('0x' || substr(md5(request_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * {offpolicy.GROUPS}) AS BIGINT) AS g, policy, sum(r) AS s, count(*) AS n FROM sc GROUP BY 1, 2),
+    u AS (SELECT g.*, i, CAST('0x' || substr(md5('7:' || g || ':' || i), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM g, range(1, {offpolicy.REPLICATES + 1}) k(i)),
     w AS (SELECT *, list_sum(list_transform([{', '.join(map(repr, offpolicy.POISSON))}], lambda c: CAST(u >= c::DOUBLE AS INTEGER))) AS w FROM u),
     v AS (SELECT i, policy, CAST(sum(s * w) AS DOUBLE) / CAST(sum(n * w) AS DOUBLE) AS value FROM w GROUP BY 1, 2 HAVING sum(n * w) > 0),
     l AS (SELECT v.*, CASE WHEN b.value <> 0 THEN v.value / b.value - 1 END AS lift FROM v LEFT JOIN v b ON b.i = v.i AND b.policy = 'logging'),
@@ -759,7 +822,7 @@ def ope_values(spark, d):
     FROM p JOIN b USING (policy), p o WHERE o.policy = 'logging'"""
 )
 def ope_bootstrap(spark, d):
-    got = offpolicy.bootstrap(_policy_scores(spark, d), replicates=100, groups=256)
+    got = offpolicy.bootstrap(_policy_scores(spark, d))
     return got.select("policy", "n", *[(_r(c) + 0.0).alias(c) for c in ("value", "lift", "value_low", "value_high", "lift_low", "lift_high")])
 
 
@@ -786,7 +849,7 @@ _RESPONSES = f"""{STAR}, o AS (SELECT request_id, lower(trim(min(segment))) AS s
 @query(f"WITH {_RESPONSES} SELECT type, stage, subscription, country, blender, count(*) AS n, CAST(sum(value) AS BIGINT) AS value FROM m WHERE value > 0 OR type = 'feedback_delay_ms' GROUP BY ALL")
 def response_metrics(spark, d):
     item = F.struct(F.create_map(F.lit("type"), F.when(F.col("status") == "O", "Ads").otherwise("film")).alias("item_features"), (F.col("position") - 2).alias("feedback_delay_ms"))
-    slates = star(spark, d).groupBy("request_id").agg(F.collect_list(item).alias("items"), F.create_map(F.lit("subscription"), F.min("segment"), F.lit("country"), F.min("geo")).alias("user_features"))
+    slates = star(spark, d, "request_id status position segment geo").groupBy("request_id").agg(F.collect_list(item).alias("items"), F.create_map(F.lit("subscription"), F.min("segment"), F.lit("country"), F.min("geo")).alias("user_features"))
     slates = slates.withColumn("context_features", F.create_map().cast("map<string,string>"))
     got = samples.response_metrics(slates, ("BUILDING", "MACHINERY"), ("ASIA", "EUROPE"))
     return got.groupBy("type", "stage", "subscription", "country", "blender").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
@@ -798,7 +861,7 @@ def response_metrics(spark, d):
     SELECT segment, geo, impressions, clicks, round(rate, 6) AS rate, CASE WHEN m > 1 AND s > 1e-12 AND p0 > 0 AND p0 < 1 THEN round((rate - p0) / sqrt(s / (impressions::DOUBLE * impressions) * m / (m - 1)), 6) END AS z FROM g"""
 )
 def grid_z(spark, d):
-    return measures.grid(star(spark, d), "segment", "geo", "brand", "clicked").withColumns({"rate": _r("rate"), "z": _r("z")})
+    return measures.grid(star(spark, d, "segment geo brand clicked"), "segment", "geo", "brand", "clicked").withColumns({"rate": _r("rate"), "z": _r("z")})
 
 
 @query(
@@ -817,7 +880,7 @@ def genre_order(spark, d):
     SELECT grp, count(*) FILTER (WHERE best > 0) AS slates, round(avg(got / best) FILTER (WHERE best > 0), 6) AS ndcg FROM s GROUP BY 1"""
 )
 def fairness_ndcg(spark, d):
-    return measures.group_ndcg(star(spark, d), "segment").withColumn("ndcg", _r("ndcg"))
+    return measures.group_ndcg(star(spark, d, "segment request_id position item_id label"), "segment").withColumn("ndcg", _r("ndcg"))
 
 
 @query(
@@ -854,3 +917,6 @@ def loo_recall(spark, d):
     clicks = events(spark, d).filter("event_type IN ('click', 'order')").crossJoin(n).select("user_id", F.expr("CAST((k * 7 + CAST(user_id AS BIGINT)) % items AS STRING)").alias("item_id"))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"))
     return recall.leave_one_out(clicks, docs, vectors).select("method", "k", _r("recall").alias("recall"), _r("hit_rate").alias("hit_rate"), "users", "instances")
+
+
+from rivulet.plans import report_queries  # noqa: E402, F401  (adds its queries to QUERIES)

@@ -9,10 +9,12 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.functions.columns import interval_seconds
+from rivulet.config import StreamConfig
+from rivulet.functions.columns import cutoff_ms, is_fixed, interval_seconds, utc_date
 
 
 def with_retry(call: Callable, attempts: int = 2, wait: float = 0.2):
@@ -29,11 +31,14 @@ def with_retry(call: Callable, attempts: int = 2, wait: float = 0.2):
 class Commits:
     """Directories that appear whole or not at all, each with a manifest of its files.
 
-    Files are written by Spark to an attempt folder, listed with sizes and row
-    count in a manifest, and moved in one rename that never replaces anything.
+    Files are written by Spark to an attempt folder, listed with sizes, digests and
+    row count in a manifest, and moved in one rename that never replaces anything.
+    Digests are a job over the files; only files of over DIGEST_BYTES, too large
+    for a row, are read as a stream on the driver.
     """
 
     VERSION = 2
+    DIGEST_BYTES = 256 << 20
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -65,15 +70,23 @@ class Commits:
         return bytes(md.digest()).hex()
 
     def _files(self, folder: str) -> list[dict]:
-        out, todo = [], [folder]
+        sizes, todo = {}, [folder]
+        root = folder.split("://")[-1].rstrip("/")
+        relative = lambda path: path[path.index(root) + len(root) + 1 :]
         while todo:
             for s in self._fs.listStatus(self._path(todo.pop())):
                 name = s.getPath().toUri().getPath()
                 if s.isDirectory():
                     todo.append(name)
                 elif name.endswith(".parquet"):
-                    out.append({"path": name[name.index(folder.split("://")[-1].rstrip("/")) + len(folder.split("://")[-1].rstrip("/")) + 1 :], "size": s.getLen(), "sha256": self._digest(name)})
-        return sorted(out, key=lambda f: f["path"])
+                    sizes[name] = s.getLen()
+        small = {n for n, size in sizes.items() if size <= self.DIGEST_BYTES}
+        digests = {n: self._digest(n) for n in sizes.keys() - small}
+        if small:
+            rows = self.spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.parquet").load(folder)
+            for r in rows.filter(F.col("length") <= self.DIGEST_BYTES).select("path", F.sha2("content", 256).alias("sha256")).collect():
+                digests[self._path(r["path"]).toUri().getPath()] = r["sha256"]
+        return sorted(({"path": relative(n), "size": size, "sha256": digests[n]} for n, size in sizes.items()), key=lambda f: f["path"])
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.root}/{name}/_manifest.json"))
@@ -103,11 +116,14 @@ class Commits:
         self._write(f"{attempt}/_manifest.json", json.dumps(manifest, sort_keys=True).encode())
         target = self._path(f"{self.root}/{name}")
         self._fs.mkdirs(target.getParent())
-        if self._fs.exists(target) or not self._fs.rename(self._path(attempt), target):
-            self._fs.delete(self._path(attempt), True)
-            self.validate(name)
-            return False
-        return True
+        moved = not self._fs.exists(target) and self._fs.rename(self._path(attempt), target)
+        # some file systems move a folder into one that has come to be there meanwhile
+        inside = self._path(f"{self.root}/{name}/{attempt.rsplit('/', 1)[1]}")
+        if moved and not self._fs.exists(inside):
+            return True
+        self._fs.delete(inside if moved else self._path(attempt), True)
+        self.validate(name)
+        return False
 
     def read(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
@@ -135,7 +151,8 @@ class DurableDedupe:
     """Keys seen so far, a snapshot a batch. A retry of batch N reads N - 1 again, so it decides the same."""
 
     def __init__(self, commits: Commits, delay: str, key: str = "event_id", time_ms: str = "timestamp_ms"):
-        self.commits, self.delay, self.key, self.time = commits, interval_seconds(delay) * 1000, key, time_ms
+        cutoff_ms(0, delay)  # refuses what isn't an interval
+        self.commits, self.delay, self.key, self.time = commits, delay, key, time_ms
 
     def process(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """New rows only. The watermark forgets old keys; it never drops a row of the batch."""
@@ -147,7 +164,11 @@ class DurableDedupe:
             now = now.join(prior.select(self.key), self.key, "left_anti")
             seen = prior.unionByName(seen).groupBy(self.key).agg(F.max(self.time).alias(self.time))
         newest = seen.agg(F.max(self.time).alias("newest"))
-        kept = seen.crossJoin(F.broadcast(newest)).filter(F.col(self.time) >= F.col("newest") - self.delay).drop("newest")  # newest is one row
+        if is_fixed(self.delay):
+            kept = seen.crossJoin(F.broadcast(newest)).filter(F.col(self.time) >= F.col("newest") - interval_seconds(self.delay) * 1000).drop("newest")  # newest is one row
+        else:
+            last = newest.first()[0]
+            kept = seen if last is None else seen.filter(F.col(self.time) >= cutoff_ms(last, self.delay))
         self.commits.write(f"dedupe/batch={batch_id:012d}", kept)
         if batch_id > 1:
             self.commits.remove(f"dedupe/batch={batch_id - 2:012d}")
@@ -220,8 +241,6 @@ class Engine:
         self.commits, self.stages, self.sinks, self.retries = commits, stages, sinks, retries
 
     def batch(self, df: DataFrame, batch_id: int) -> None:
-        from pyspark import StorageLevel
-
         for stage in self.stages:
             df = stage(df, batch_id)
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -237,6 +256,59 @@ class Engine:
     def run(self, source: DataFrame, checkpoint: str, trigger: dict | None = None):
         return source.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
+    def run_configured(self, source: Source, config: StreamConfig, checkpoint: str):
+        """A job as configured: bounded offsets, data-loss rule and interval (0: what is there, then the end) come from config."""
+        problems = config.problems()
+        if problems:
+            raise ValueError("; ".join(problems))
+        self.retries = config.retries
+        trigger = {"processingTime": f"{config.trigger_seconds} seconds"} if config.trigger_seconds else {"availableNow": True}
+        return self.run(source.read(self.commits.spark, config), checkpoint, trigger)
+
+
+@dataclass(frozen=True)
+class Source:
+    """A streaming format of the session with its options; those that config sets go first."""
+
+    format: str
+    options: dict[str, str]
+    schema: str | None = None
+
+    def read(self, spark: SparkSession, config: StreamConfig) -> DataFrame:
+        bound = {"kafka": {"maxOffsetsPerTrigger": str(config.max_offsets), "failOnDataLoss": str(config.fail_on_data_loss).lower()}}
+        reader = spark.readStream.format(self.format).options(**{**bound.get(self.format, {}), **self.options})
+        if self.schema:
+            return reader.schema(self.schema).load(self.options.get("path"))
+        return reader.load()
+
+
+class DecodedEngine(Engine):
+    """Batches of raw messages: decoded, both outcomes archived, then only new valid rows go on.
+
+    decode gives (valid, dead). The archive comes first, so a batch that can't be
+    archived isn't counted or processed. A retry finds the archive, the dedupe's
+    decisions and the sinks' marks, and does what is left.
+    """
+
+    def __init__(self, commits: Commits, decode: Callable[[DataFrame], tuple[DataFrame, DataFrame]], dedupe: DurableDedupe, stages, sinks, retries: int = 2, report: Callable[[int, int, dict[str, int]], None] | None = None):
+        super().__init__(commits, stages, sinks, retries)
+        self.decode, self.dedupe, self.report = decode, dedupe, report
+
+    def batch(self, df: DataFrame, batch_id: int) -> None:
+        valid, dead = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in self.decode(df))
+        try:
+            dated = valid.withColumn("date", utc_date(F.floor(F.col(self.dedupe.time) / 1000)))
+            with_retry(lambda: self.commits.write(f"raw/valid/batch={batch_id:012d}", dated, ["date"]), self.retries)
+            with_retry(lambda: self.commits.write(f"raw/dead/batch={batch_id:012d}", dead), self.retries)
+            if self.report:
+                reasons = {r["error_code"]: r["n"] for r in dead.groupBy("error_code").agg(F.count("*").alias("n")).collect()}
+                self.report(batch_id, valid.count(), reasons)
+            super().batch(self.dedupe.process(valid, batch_id), batch_id)
+            self.commits.mark(f"_complete/{batch_id:012d}")
+        finally:
+            valid.unpersist()
+            dead.unpersist()
+
 
 def parquet_sink(commits: Commits, name: str, partition_by: Sequence[str] = (), files: int | None = None) -> Sink:
     def write(df: DataFrame, batch_id: int) -> None:
@@ -246,21 +318,46 @@ def parquet_sink(commits: Commits, name: str, partition_by: Sequence[str] = (),
 
 
 class Ledger:
-    """Effects applied once per (sink, batch): 1 applied, 0 applied before, -1 older than what is remembered."""
+    """States of sinks that change once a batch: 1 applied, 0 applied before, -1 older than what is remembered.
+
+    A change is a new version of the state, written whole. One small file then
+    names it together with the batches applied so far, and is created only if no
+    one else has: the change, its mark and the fence become visible at once or not
+    at all, and outlive the process.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, remember: int = 100):
+        self.commits, self.remember = Commits(spark, root), remember
+
+    def _folder(self, sink: str) -> str:
+        return f"{self.commits.root}/{hashlib.sha256(sink.encode()).hexdigest()[:16]}"
+
+    def _latest(self, sink: str) -> tuple[int, dict]:
+        fs, path = self.commits._fs, self.commits._path(f"{self._folder(sink)}/pointers")
+        found = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        if not found:
+            return 0, {"data": None, "applied": []}
+        return int(found[-1]), json.loads(self.commits._read(f"{self._folder(sink)}/pointers/{found[-1]}"))
 
-    def __init__(self, commits: Commits, remember: int = 100):
-        self.commits, self.remember = commits, remember
-        self.done: dict[str, set[int]] = {}
+    def read(self, sink: str) -> DataFrame | None:
+        """The state of a sink; None before the first change."""
+        data = self._latest(sink)[1]["data"]
+        return self.commits.spark.read.parquet(f"{self._folder(sink)}/{data}") if data else None
 
-    def apply(self, sink: str, batch_id: int, effect: Callable[[], None]) -> int:
-        done = self.done.setdefault(sink, set())
-        if done and batch_id <= max(done) - self.remember:
+    def apply(self, sink: str, batch_id: int, change: Callable[[DataFrame | None], DataFrame]) -> int:
+        version, info = self._latest(sink)
+        applied = info["applied"]
+        if applied and batch_id <= max(applied) - self.remember:
             return -1
-        mark = f"_ledger/{hashlib.sha256(sink.encode()).hexdigest()[:16]}-{batch_id:012d}"
-        if batch_id in done or self.commits.marked(mark):
-            done.add(batch_id)
+        if batch_id in applied:
             return 0
-        effect()
-        self.commits.mark(mark)
-        done.add(batch_id)
+        data = f"state-{version + 1:012d}-{uuid.uuid4().hex}"
+        change(self.read(sink)).write.parquet(f"{self._folder(sink)}/{data}")
+        applied = sorted([*applied, batch_id])
+        applied = [b for b in applied if b > applied[-1] - self.remember]
+        # fails if another writer has made this version: the caller's retry then looks again
+        self.commits._write(f"{self._folder(sink)}/pointers/{version + 1:012d}", json.dumps({"data": data, "applied": applied}).encode())
+        if info["data"]:
+            self.commits._fs.delete(self.commits._path(f"{self._folder(sink)}/{info['data']}"), True)
+            self.commits._fs.delete(self.commits._path(f"{self._folder(sink)}/pointers/{version:012d}"), True)
         return 1

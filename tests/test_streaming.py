@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rivulet.config import StreamConfig
 from rivulet.sources import avro, files
-from rivulet.streaming.engine import Commits, DurableDedupe, Engine, LateFeedback, Ledger, Sink, parquet_sink, with_retry
+from rivulet.streaming.engine import Commits, DecodedEngine, DurableDedupe, Engine, LateFeedback, Ledger, Sink, Source, parquet_sink, with_retry
+from rivulet.streaming.sequences import sequence_sink
 
 EV = "event_id string, request_id string, user_id string, event_type string, timestamp_ms bigint"
 
@@ -84,8 +86,65 @@ def test_engine_writes_each_sink_once(spark, tmp_path):
 
 
 def test_ledger(spark, tmp_path):
-    ledger, hits = Ledger(Commits(spark, str(tmp_path)), remember=2), []
-    assert [ledger.apply("s", b, lambda: hits.append(1)) for b in (1, 1, 2, 5, 2)] == [1, 0, 1, 1, -1] and len(hits) == 3
+    add = lambda n: lambda old: spark.createDataFrame([((old.first()["n"] if old is not None else 0) + n,)], "n int")
+    ledger = Ledger(spark, str(tmp_path), remember=2)
+    assert [ledger.apply("s", b, add(1)) for b in (1, 1, 2, 5, 2)] == [1, 0, 1, 1, -1] and ledger.read("s").first()["n"] == 3
+    # what is remembered outlives the process; a change that fails leaves nothing behind
+    again = Ledger(spark, str(tmp_path), remember=2)
+    assert [again.apply("s", b, add(1)) for b in (5, 3)] == [0, -1] and again.read("other") is None
+
+    def broken(old):
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        again.apply("s", 6, broken)
+    assert again.apply("s", 6, add(10)) == 1 and again.read("s").first()["n"] == 13
+
+
+def test_decoded_engine(spark, tmp_path):
+    c = Commits(spark, str(tmp_path / "out"))
+    src = tmp_path / "in"
+    spark.createDataFrame([("a", 1000), ("a", 1000), ("b", 2000), (None, 5)], "event_id string, timestamp_ms bigint").coalesce(1).write.json(str(src))
+    seen, fail = [], [True]
+
+    def decode(df):
+        return df.filter("event_id IS NOT NULL"), df.filter("event_id IS NULL").select(F.lit("no_id").alias("error_code"), "timestamp_ms")
+
+    def flaky(df, batch_id):
+        if fail and fail.pop():
+            raise RuntimeError("once")
+        seen.append(sorted(r["event_id"] for r in df.collect()))
+
+    reports = []
+    engine = DecodedEngine(c, decode, DurableDedupe(c, "1 month"), [lambda df, _: df.withColumn("x", F.lit(1))], [parquet_sink(c, "rows"), Sink("flaky", flaky)], report=lambda *r: reports.append(r))
+    source = Source("json", {"path": str(src)}, "event_id string, timestamp_ms bigint")
+    engine.run_configured(source, StreamConfig(trigger_seconds=0), str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert seen == [["a", "b"]] and reports == [(0, 3, {"no_id": 1})] and c.marked("_complete/000000000000")
+    batch = spark.read.schema("event_id string, timestamp_ms bigint").json(str(src))
+    engine.batch(batch, 0)  # a retry of the whole batch
+    assert seen == [["a", "b"]] and c.read("rows/batch=000000000000").count() == 2 and c.read("raw/valid/batch=000000000000").count() == 3 and c.read("raw/dead/batch=000000000000").count() == 1
+    engine.batch(batch, 1)
+    assert seen == [["a", "b"], []]
+    with pytest.raises(ValueError, match="watermark"):
+        engine.run_configured(source, StreamConfig(watermark="soon"), str(tmp_path / "other"))
+
+
+def test_sequence_sink(spark, tmp_path):
+    ledger, archive = Ledger(spark, str(tmp_path / "state")), Commits(spark, str(tmp_path / "archive"))
+    sink = sequence_sink("sequences", ledger, 3, archive)
+    rows = lambda *at: spark.createDataFrame([("u", "click", f"i{t}", t, "click", None) for t in at] + [("u,2", "click", "i", 1, "click", None)], "user_id string, kind string, item_id string, ts bigint, action string, rating double")
+    for batch_id, at in ((0, (1, 2)), (0, (1, 2)), (1, (3, 4))):
+        sink.write(rows(*at), batch_id)
+    assert [(r["item_id"], r["n"]) for r in ledger.read("sequences").collect()] == [("i2,i3,i4", 3)]
+    assert archive.read("sequences/batch=000000000001").count() == 1
+
+
+def test_large_files_are_digested_alike(spark, tmp_path, monkeypatch):
+    c = Commits(spark, str(tmp_path))
+    c.write("a", spark.range(100).withColumn("p", F.col("id") % 3), ["p"])
+    want = c.validate("a")
+    monkeypatch.setattr(Commits, "DIGEST_BYTES", 0)
+    assert c.validate("a") == want and len(want["files"]) >= 3
 
 
 V1 = {"type": "record", "name": "E", "fields": [{"name": "event_id", "type": "string"}, {"name": "user_id", "type": "string"}, {"name": "event_type", "type": "string"}, {"name": "timestamp_ms", "type": "long"}, {"name": "item_id", "type": ["null", "string"], "default": None}]}
@@ -125,12 +184,53 @@ def test_text_sources(spark, tmp_path):
     assert files.json_document({"b": float("nan"), "a": [1.0]}) == '{"a": [1.0], "b": null}'
 
 
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "i.csv").write_text("a,b\n1,x\n2,y\n")
+    assert dict(files.read_inferred(spark, str(tmp_path / "i.csv")).dtypes) == {"a": "int", "b": "string"}
+    with pytest.warns(UserWarning, match="catalog"):
+        assert files.read_or_empty(spark, lambda: spark.read.parquet(str(tmp_path / "none")), "a int", "catalog").count() == 0
+    (tmp_path / "s.jsonl").write_text('{"user_id": "u", "items": [{"item_id": "i", "label": 1.0}]}\n')
+    (tmp_path / "s.json").write_text('[{"user_id": "u", "items": [{"item_id": "i", "label": 1.0}]}, {"user_id": "v"}]')
+    (tmp_path / "c.json").write_text('{"user_id": {"0": "u", "10": "v", "9": "w"}, "request_ts": {"0": 5}}')
+    for name, users in (("s.jsonl", ["u"]), ("s.json", ["u", "v"]), ("c.json", ["u", "w", "v"])):
+        assert [r["user_id"] for r in files.read_slates(spark, str(tmp_path / name)).collect()] == users
+    (tmp_path / "r.json").write_text('{"requestId": "r", "timestamp": 5, "feedbackTimestamp": 9, "state": {"genres": ["b", "a", "b"]}}\n{"requestId": "q", "timestamp": 3}\nbad\n')
+    rows = files.read_replay(spark, str(tmp_path / "r.json"), 4).select(files.event_time().alias("t"), files.state_key(F.col("state.genres"), F.col("state.tags")).alias("k")).collect()
+    assert [tuple(r) for r in rows] == [(9, "g:a,b|t:")]
+    for day in ("20240101", "20240102", "20240105"):
+        files.write_new(spark.createDataFrame([(day,)], "d string"), str(tmp_path / f"events_{day}"))
+    with pytest.raises(Exception, match="exist"):
+        files.write_new(spark.range(1), str(tmp_path / "events_20240101"))
+    assert sorted(r["table_suffix"] for r in files.dated_tables(spark, str(tmp_path), "events_", "20240102", "20240105").collect()) == ["20240102", "20240105"]
+    with pytest.raises(FileNotFoundError):
+        files.dated_tables(spark, str(tmp_path), "events_", "20250101", "20250102")
+    assert files.csv_document([{"b": 1, "a": float("nan")}, {"b": [1], "c": "x,y"}]) == 'a,b,c\n,1,\n,[1],"x,y"\n'
+    topic = files.to_json_topic(spark.createDataFrame([("k", None)], "id string, x int"), "id", {"h": "v"}).first()
+    assert (topic["key"], topic["value"], bytes(topic["headers"][0]["value"])) == ("k", '{"id":"k","x":null}', b"v")
+
+
+def test_feedback_schedule_and_calibration(spark):
+    from rivulet.sources import simulate
+
+    now, later = simulate.split_slate([{"event_type": "impression", "timestamp_ms": 1000}, {"event_type": "click", "timestamp_ms": 4000, "n": 1}, {"event_type": "order", "timestamp_ms": 500, "n": 2}])
+    assert len(now) == 1 and [(d, e["n"]) for d, e in later] == [(3.0, 1), (0.0, 2)]
+    s = simulate.FeedbackSchedule(scale=2.0, clock=lambda: 10.0)
+    for d, e in (*later, (3.0, {"n": 3})):
+        s.schedule(d, e)
+    assert [e["n"] for e in s.due(10.0)] == [2] and s.next_due_in(12.0) == 4.0 and [e["n"] for e in s.due(16.0)] == [1, 3] and s.pending() == 0 and s.next_due_in() is None
+    with pytest.raises(ValueError):
+        simulate.FeedbackSchedule(scale=0)
+    share = {r["lift"]: r["preferred_share"] for r in simulate.calibrate(spark, [1.0, 6.0], slates=600).collect()}
+    assert abs(share[1.0] - 0.25) < 0.05 and share[6.0] > 0.5
+
+
 def test_keyed_state(spark, tmp_path):
     s = files.KeyedState(spark, str(tmp_path / "state"))
     delta = spark.createDataFrame([("a", 2), ("b", 1)], "k string, n bigint")
     assert s.read() is None and s.add_counts(delta, "k", "n", 1) and not s.add_counts(delta, "k", "n", 1) and s.add_counts(delta.filter("k = 'a'"), "k", "n", 2)
     assert {r["k"]: r["n"] for r in s.read().collect()} == {"a": 4, "b": 1}
     assert s.read().filter(F.col("k") == "a").count() == 1
+    assert [tuple(r) for r in s.lookup(spark.createDataFrame([("a",), ("z",)], "k string"), "k").collect()] == [("a", 4)]
 
 
 def test_archive_replay_and_redrive(spark, tmp_path):
