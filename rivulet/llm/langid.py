@@ -14,34 +14,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.llm.common import shuffle_partitions
+
 PROFILE = 400
-#: Rows of a language that its profile is learned from, about; chosen by a hash of the text.
+#: Rows of a language that its profile is learned from, at most; different texts, chosen by a hash of the text.
 SAMPLE = 12_000
-#: Languages a model may have; bounds what goes to the driver and to every task.
-MOST_LANGUAGES = 2_000
+#: Languages a model may have; bounds what goes to the driver and to every task (3 KB a language).
+MOST_LANGUAGES = 20_000
 #: Parts that count n-grams while learning.
 COUNT_PARTS = 8
-_OTHER = re.compile(r"[\W\d_]+")
-#: Code points handled at a time; bounds memory for long texts.
-_BLOCK = 1 << 20
+#: Letters (as str.isalpha has them) packed at a time; bounds memory for long texts.
+BLOCK = 1 << 20
 
 
-def _grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a text, each packed into a number, and their counts."""
-    seen: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(0, len(text or ""), _BLOCK):
-        # each block starts two code points early; what it then counts again is at most three n-grams
-        letters = _OTHER.sub(" ", text[max(0, i - 2) : i + _BLOCK].lower()).strip()
-        if letters:
-            a = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-            two = a[:-1] | a[1:] << np.uint64(21)
-            three = two[:-1] | a[2:] << np.uint64(42)
-            seen.append(np.unique(np.concatenate([a[a != 32], two, three[a[1:-1] != 32]]), return_counts=True))
-    if not seen:
+def _others() -> re.Pattern:
+    """Runs of what isn't a letter: also of signs that stand for numbers, which \\w lets pass."""
+    signs = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha()]
+    spans: list[list[int]] = []
+    for c in map(ord, signs):
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return re.compile(r"[\W_" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]+")
+
+
+_OTHER = _others()
+
+
+def _grams(text: str | None, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a text, each packed into a number, and their counts; whatever the block, the same."""
+    letters = _OTHER.sub(" ", (text or "").lower()).strip()
+    if not letters:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
+    letters = f" {letters} "
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(0, len(letters), block):
+        # the n-grams that end in this block: it starts up to two code points early
+        old = min(2, i)
+        a = np.frombuffer(letters[i - old : i + block].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        two = a[:-1] | a[1:] << np.uint64(21)
+        three = two[:-1] | a[2:] << np.uint64(42)
+        one = a[old:]
+        new = [one[one != 32], two[max(old - 1, 0) :], three[a[1:-1] != 32]]
+        seen.append(np.unique(np.concatenate(new), return_counts=True))
     if len(seen) == 1:
         return seen[0]
     grams, at = np.unique(np.concatenate([g for g, _ in seen]), return_inverse=True)
@@ -111,23 +130,28 @@ class Profiles:
         return self.langs[k], float(1 - apart[k] / (PROFILE * len(own)))
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Profiles:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> Profiles:
     """Profiles of the languages in labelled.
 
-    Rows without text or lang don't count. A language with more than `sample`
-    rows is learned from about that many, chosen by a hash of the text (equal
-    texts go together); all its rows are counted to set the share. No labelled
-    row: a model that knows no language.
+    Rows without text or lang don't count, and rows that repeat both count once.
+    A language is learned from `sample` of its texts at most: those with the least
+    hashes. No labelled row: a model that knows no language. More than
+    `most_languages` labels are refused: their profiles wouldn't fit a task.
     """
-    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not sizes:
         return Profiles({})
-    shares = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
-    dice = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    chosen = rows.filter(dice < F.element_at(shares, F.col("lang")))
+    # a share that gives more than enough, then exactly the first by hash; copies of a text are merged before they are shuffled
+    shares = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, 1.3 * sample / max(n, 1))))])
+    dice = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    drawn = rows.filter(dice < F.element_at(shares, F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h")
+    chosen = drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample)
+    # the window leaves a language in one task: deal its texts out again before they are counted
+    chosen = chosen.select("lang", "text").repartition(shuffle_partitions(labelled.sparkSession))
     counts = chosen.mapInArrow(_count, "lang string, gram bigint, n bigint")
     total = counts.repartition(COUNT_PARTS, "gram").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best: dict[str, list] = {}
@@ -139,8 +163,9 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
 def identify(docs: DataFrame, model: Profiles, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns keep of docs (all if None), predicted language and score.
 
-    Whole texts are read; empty tables give empty results; equal texts get equal
-    answers. A column of docs called like a new one is replaced.
+    Whole texts are read; null texts are und; empty tables give empty results;
+    equal texts and repeated rows get equal answers, null keys too. A column of
+    docs called like a new one is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("\x00text"))
