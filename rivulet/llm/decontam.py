@@ -8,6 +8,10 @@ half; bands that reach the bound are verified by an alignment that stays in the
 band. Texts are compared as letters and digits: A-Z lower-cased, runs of other
 ASCII characters as one blank.
 
+Items under LEAST bytes, too short for the lemma to say much, are found where
+they stand word for word: their first bytes are looked up among the document's,
+and what agrees is compared whole, from word bound to word bound.
+
 Documents are read where they lie; nothing is shuffled. The items are the
 stated query set: they are taken in blocks of BLOCK_BYTES.
 """
@@ -21,32 +25,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import private
+from rivulet.llm.common import cut, private
 
 Q = 8
 #: Edits allowed, as a share of an item's length.
 EDITS = 0.1
-#: Items shorter than this (compared as above) are no evidence and never match.
+#: Items shorter than this (compared as above) match word for word only.
 LEAST = 40
+#: Items of fewer words are no evidence if they are also shorter than LEAST: a single word leaks nothing.
+LEAST_WORDS = 2
 #: Bytes of items that are indexed and sent to the tasks at a time.
 BLOCK_BYTES = 4 << 20
-#: Bytes of documents looked at together; longer ones go in overlapping pieces.
-_PIECE = 1 << 20
+#: Compared bytes of documents looked at together; longer ones go in pieces that overlap by more than any match is long.
+PIECE = 1 << 20
 _MAP = np.full(256, 32, np.uint8)
 for _c in [*range(48, 58), *range(97, 123), *range(128, 256)]:
     _MAP[_c] = _c
 _MAP[65:91] = np.arange(97, 123)
 
 
-def normal(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The compared form of UTF-8 bytes, and where each byte of it stood."""
+def normal(data: np.ndarray, inside: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The compared form of UTF-8 bytes, and where each byte of it stood. inside: a letter or digit stands before them."""
     low = _MAP[data]
     keep = low != 32
-    keep[1:] |= low[:-1] != 32
-    at = np.flatnonzero(keep)
+    before = np.concatenate([[inside], keep[:-1]]) if len(keep) else keep
+    at = np.flatnonzero(keep | before)
     return low[at], at
 
 
+def pieces(data: np.ndarray, size: int, over: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool, bool]]:
+    """The compared form of a text in pieces of `size` bytes and more, each starting with the `over` bytes that the one before ended with.
+
+    The last two say whether the piece begins, and ends, where the text does.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    length, inside, first = 0, False, True
+    for i in range(0, len(data), size):
+        own, at = normal(data[i : i + size], inside)
+        inside = bool(_MAP[data[min(i + size, len(data)) - 1]] != 32)
+        held.append((own, at + i))
+        length += len(own)
+        if length >= size + over and i + size < len(data):
+            own, at = (np.concatenate([h[k] for h in held]) for k in range(2))
+            yield own, at, first, False
+            held, length, first = [(own[len(own) - over :], at[len(at) - over :])], over, False
+    if held:
+        own, at = (np.concatenate([h[k] for h in held]) for k in range(2))
+        yield own, at, first, True
+
+
 def grams(data: np.ndarray) -> np.ndarray:
     """Every 8 bytes in a row, as a number."""
     return np.lib.stride_tricks.as_strided(data, (max(0, len(data) - Q + 1), Q), (1, 1)).copy().view("<u8").reshape(-1) if len(data) >= Q else np.empty(0, "<u8")
@@ -58,6 +85,8 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, least: int = LEAST):
         self.texts: list[bytes] = []
         self.ids: list[list[int]] = []
+        self.short: list[bytes] = []
+        self.short_ids: list[list[int]] = []
         by: dict[bytes, set[int]] = {}
         for k, text in items:
             by.setdefault(normal(np.frombuffer(text.encode(), np.uint8))[0].tobytes().strip(), set()).add(k)
@@ -65,6 +94,15 @@ class Index:
             if len(text) >= max(least, Q):
                 self.texts.append(text)
                 self.ids.append(sorted(ids))
+            elif len(text.split()) >= LEAST_WORDS:
+                self.short.append(text)
+                self.short_ids.append(sorted(ids))
+        # short items by how many of their first bytes are looked up, and the number these make
+        heads: dict[int, list[tuple[int, int]]] = {}
+        for n, text in enumerate(self.short):
+            size = min(Q, len(text))
+            heads.setdefault(size, []).append((int.from_bytes(text[:size], "little"), n))
+        self.heads = {size: (np.array([h for h, _ in sorted(found)], np.uint64), np.array([n for _, n in sorted(found)], np.int64)) for size, found in heads.items()}
         self.length = np.array([len(t) for t in self.texts], np.int64)
         # no more edits than leave one q-gram to be found
         self.budget = np.minimum((self.length * edits).astype(np.int64), (self.length - Q) // Q)
@@ -81,6 +119,30 @@ class Index:
         self.seen[_slot(self.grams)] = True
         self.longest = int(self.length.max(initial=0))
 
+    @property
+    def over(self) -> int:
+        """More compared bytes than any match has, with what stands around it."""
+        return 2 * self.longest + 4 * int(self.budget.max(initial=0)) + 2 * Q + 2 * max(map(len, self.short), default=0)
+
+    def verbatim(self, data: np.ndarray, begins: bool = True, ends: bool = True) -> Iterator[tuple[int, int]]:
+        """(place, short item) wherever a short item stands, from word bound to word bound. begins, ends: data does where its text does."""
+        for size, (heads, which) in self.heads.items():
+            if len(data) < size:
+                continue
+            padded = np.concatenate([data, np.zeros(Q, np.uint8)])
+            g = grams(padded)[: len(data) - size + 1]
+            if size < Q:
+                g = g & np.uint64((1 << 8 * size) - 1)
+            # only what starts a word
+            start = np.flatnonzero(np.concatenate([[begins], data[:-1] == 32])[: len(g)])
+            lo, hi = np.searchsorted(heads, g[start]), np.searchsorted(heads, g[start], side="right")
+            for k in np.flatnonzero(hi > lo).tolist():
+                at = int(start[k])
+                for n in which[lo[k] : hi[k]].tolist():
+                    end = at + len(self.short[n])
+                    if end <= len(data) and data[at:end].tobytes() == self.short[n] and (data[end] == 32 if end < len(data) else ends):
+                        yield at, n
+
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position, item and position in the item of every shared q-gram."""
         g = grams(data)
@@ -156,25 +218,33 @@ def banded(item: bytes, data: np.ndarray, lo: int, hi: int, limit: int) -> tuple
     return int(cost[k]), lo + len(item) + k
 
 
-def matches(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(document, item, edits, shared q-grams, first byte, bytes), once per document and item: the best, then the first."""
+def matches(index: Index, texts: list[bytes], piece: int = PIECE) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(document, item, edits, shared q-grams, first byte, bytes), once per document and item: the best, then the first.
+
+    Short items come after the others: their number is that in index.short plus len(index.texts).
+    """
     best: dict[tuple[int, int], tuple] = {}
-    if not index.texts:
+    held: list[tuple[int, np.ndarray, np.ndarray, bool, bool]] = []
+    if not index.texts and not index.short:
         return
-    over = 2 * index.longest + 4 * int(index.budget.max()) + 2 * Q
-    pieces: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+
+    def add(key: tuple[int, int], edits: int, shared: int, start: int, end: int) -> None:
+        # a piece that cuts a match short counts fewer of its q-grams than the next, which has it whole
+        old = best.get(key)
+        if old is None or (edits, start, -shared) < (old[0], old[2], old[1]):
+            best[key] = (edits, -shared, start, end)
 
     def look() -> None:
-        if not pieces:
+        if not held:
             return
-        data = np.concatenate([np.append(p[2], 1) for p in pieces]).astype(np.uint8)
-        sizes = [len(p[2]) + 1 for p in pieces]
+        data = np.concatenate([np.append(p[1], 1) for p in held]).astype(np.uint8)
+        sizes = [len(p[1]) + 1 for p in held]
         first = np.cumsum([0, *sizes])
-        for k, item, lo, n in index.bands(data, np.repeat(np.arange(len(pieces)), sizes)):
-            doc, shift, own, at = pieces[k]
+        for k, item, lo, n in index.bands(data, np.repeat(np.arange(len(held)), sizes)) if index.texts else ():
+            doc, own, at = held[k][:3]
             lo -= int(first[k])
             key, budget, text = (doc, item), int(index.budget[item]), index.texts[item]
-            if (old := best.get(key)) and old[0] == 0 and old[2] <= shift + int(at[min(max(lo, 0), len(at) - 1)]):
+            if (old := best.get(key)) and old[0] == 0 and old[2] <= int(at[min(max(lo, 0), len(at) - 1)]):
                 continue
             wide = 2 * budget + 1
             a, b = max(0, lo - budget), min(len(own), lo + 2 * wide + len(text) + budget)
@@ -188,34 +258,48 @@ def matches(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, i
                 # the same alignment from its end backwards gives the start
                 back = banded(text[::-1], own[:end][::-1], -budget, budget, budget)
                 start = end - (back[1] if back else len(text))
-            new = (got, -n, shift + int(at[start]), shift + int(at[end - 1]) + 1)
-            if old is None or (new[0], new[2]) < (old[0], old[2]):
-                best[key] = new
-        pieces.clear()
-
-    held = 0
+            add(key, got, n, int(at[start]), int(at[end - 1]) + 1)
+        for doc, own, at, begins, ends in held if index.short else ():
+            for start, n in index.verbatim(own, begins, ends):
+                size = len(index.short[n])
+                add((doc, len(index.texts) + n), 0, max(0, size - Q + 1), int(at[start]), int(at[start + size - 1]) + 1)
+        held.clear()
+
+    size = 0
     for k, text in enumerate(texts):
-        raw = np.frombuffer(text, np.uint8)
-        for i in range(0, len(raw), _PIECE):
-            own, at = normal(raw[max(0, i - 4 * over) : i + _PIECE])
-            if len(own) >= Q:
-                pieces.append((k, max(0, i - 4 * over), own, at))
-                held += len(own)
-            if held >= _PIECE:
+        for own, at, begins, ends in pieces(np.frombuffer(text, np.uint8), piece, index.over):
+            if len(own):
+                held.append((k, own, at, begins, ends))
+                size += len(own)
+            if size >= piece:
                 look()
-                held = 0
+                size = 0
     look()
     for (doc, item), (edits, n, start, end) in sorted(best.items()):
         yield doc, item, edits, -n, start, end - start
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", edits: float = EDITS, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    edits: float = EDITS,
+    least: int = LEAST,
+    block_bytes: int = BLOCK_BYTES,
+    piece: int = PIECE,
+) -> DataFrame:
     """(key, item_id, edits, shared, start, length): each item found in each document, once, where it fits best.
 
     start and length are bytes of the document's UTF-8 text, shared the q-grams
-    counted. Items with equal compared texts are all reported. Null texts, items
-    shorter than `least` and documents without any give no rows; so do empty
-    tables. Null keys are kept as null.
+    counted. Items with equal compared texts are all reported. Items shorter than
+    `least` are found word for word; those of a single word then never match.
+    Null texts and documents without any item give no rows; so do empty tables.
+    Null keys are kept as null, repeated keys and rows each give their own; other
+    columns aren't read, so their names can't clash. Neither the length of a text
+    nor `piece` or `block_bytes` changes what is found.
     """
     spark = docs.sparkSession
     listed = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL").distinct()
@@ -229,21 +313,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             x = index.value
+            ids = [*x.ids, *x.short_ids]
             for batch in batches:
                 keys, texts = batch["key"].to_pylist(), [t.as_py() or b"" for t in batch["text"]]
-                rows = [(keys[d], i, e, n, s, w) for d, item, e, n, s, w in matches(x, texts) for i in x.ids[item]]
+                rows = [(keys[d], i, e, n, s, w) for d, item, e, n, s, w in matches(x, texts, piece) for i in ids[item]]
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "item_id", "edits", "shared", "start", "length"])
 
         got = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
+        if blocks > 1:
+            # one index at a time on the driver and the executors: its finds, few, are kept in the shared folder
+            got = cut(got)
+            index.destroy()
         out = got if out is None else out.unionByName(got)
     return out.withColumnRenamed("key", key)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """docs without those in which an item was found. Rows with a null key stay."""
+    """docs, all columns as they are, without those in which an item was found. Rows with a null key stay."""
     p = private(docs)
     gone = find_leaks(docs, items, key=key, **how).select(F.col(key).alias(f"{p}key")).distinct()
     return docs.join(gone, F.col(key) == F.col(f"{p}key"), "left_anti")
