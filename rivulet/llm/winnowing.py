@@ -1,14 +1,18 @@
 """Document fingerprints by winnowing.
 
-The grams are runs of K words (words longer than PIECE code points count as
-several). Their hashes roll over the text; of every WINDOW consecutive hashes
-the least is chosen, of equal ones the rightmost, and kept with its position.
-Two texts that share a run of K + WINDOW - 1 words so share a chosen hash, and
-nothing shorter than K words is ever matched.
-
-A chosen hash and its position are one 64-bit number: 31 bits of hash above 32
-bits that count positions down, so that the plain minimum is the rightmost of
-the least. Texts of up to 2^32 words keep their positions.
+The units of a text are its words, of which those over LONG code points count as
+single code points: unspaced scripts, encoded or minified text so have units that
+depend on what stands there and not on where it stands. The grams are runs of K
+units. Their hashes roll over the text as cyclic polynomials: a gram's hash is
+the exclusive or of its units' hashes, each turned by its distance from the
+gram's end, and that of 2n units comes from those of its two halves of n. Of
+every WINDOW consecutive hashes the least is chosen, of equal ones the rightmost,
+and kept with its position. Two texts that share a run of K + WINDOW - 1 units
+so share a chosen hash, and nothing shorter than K units is ever matched.
+
+To choose, the top 31 bits of a hash stand above 32 bits that count positions
+down, so that the plain minimum is the rightmost of the least; what is kept are
+all 64 bits. Texts of up to 2^32 units keep their positions.
 """
 
 from __future__ import annotations
@@ -18,22 +22,45 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import let, private, shuffle_partitions
 
-K, WINDOW, PIECE = 4, 8, 32
+K, WINDOW, LONG = 4, 8, 32
 _LOW = (1 << 32) - 1
 
 
-def _grams(text: Column, k: int) -> Column:
-    """Per gram, in order: its hash above its position counted down."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % PIECE), F.lit(0))
-    hashes = F.transform(pieces, lambda w: F.xxhash64(w))
+def units(text: Column, long: int = LONG) -> Column:
+    """The words of a text, longer ones as single code points; null and blanks: none. long = 0: every code point that isn't blank."""
+    blank = r"\x20\x09-\x0D"
+    word = rf"(?<![^{blank}])[^{blank}]{{1,{long}}}(?![^{blank}])|" if long else ""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{word}[^{blank}]"), F.lit(0))
 
-    def rolled(h: Column) -> Column:
-        last = F.greatest(F.size(h) - k, F.when(F.size(h) > 0, 0).otherwise(-1))
-        at = lambda i, j: F.get(h, i + j)  # noqa: E731  beyond the end: null, which xxhash64 skips
-        gram = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[at(i, j) for j in range(k)]), 33), 32).bitwiseOR(F.lit(_LOW) - i.cast("long"))
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), gram)).otherwise(F.array().cast("array<bigint>"))
 
-    return let(hashes, rolled)
+def _turned(h: Column, by: int) -> Column:
+    return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by))
+
+
+def _rolled(hashes: Column, k: int) -> Column:
+    """The hash of every k units in a row, from those of its two halves; there must be k at least."""
+    if k == 1:
+        return hashes
+    low = k // 2
+
+    def joined(left: Column, right: Column, by: int, skip: int) -> Column:
+        n = F.size(right) - skip
+        return F.zip_with(F.slice(left, 1, n), F.slice(right, skip + 1, n), lambda a, b: _turned(a, by).bitwiseXOR(b))
+
+    def whole(half: Column) -> Column:
+        if k == 2 * low:
+            return joined(half, half, low, low)
+        return joined(joined(hashes, half, low, 1), half, low, low + 1)
+
+    return let(_rolled(hashes, low), whole)
+
+
+def _grams(text: Column, k: int, long: int = LONG) -> Column:
+    """The hash of every gram, in order. Fewer than k units: one gram of all of them."""
+    hashes = F.transform(units(text, long), lambda w: F.xxhash64(w))
+    every = lambda h: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: _turned(a, 1).bitwiseXOR(x))
+    few = lambda h: F.when(F.size(h) >= k, _rolled(h, k)).when(F.size(h) > 0, F.array(every(h))).otherwise(h)
+    return let(hashes, few)
 
 
 def _window_minima(values: Column, window: int) -> Column:
@@ -56,27 +83,28 @@ def _wider(step: int):
     return minima
 
 
-def chosen(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """The packed choices of a text, each once, in order of position.
+def chosen(text: Column, k: int = K, window: int = WINDOW, long: int = LONG) -> Column:
+    """array<struct<hash, position>>: the choices of a text, each once, in order of position.
 
-    Null and texts without words: none. Fewer than k words: the one gram of all
+    Null and texts without words: none. Fewer than k units: the one gram of all
     of them; fewer than window grams: the least of them.
     """
-    return F.array_distinct(_window_minima(_grams(text, k), window))
 
+    def pick(grams: Column) -> Column:
+        packed = F.transform(grams, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 33), 32).bitwiseOR(F.lit(_LOW) - i.cast("long")))
+        place = lambda p: F.lit(_LOW) - p.bitwiseAND(F.lit(_LOW))
+        return F.transform(F.array_distinct(_window_minima(packed, window)), lambda p: F.struct(F.get(grams, place(p).cast("int")).alias("hash"), place(p).alias("position")))
 
-def unpack(packed: Column) -> Column:
-    """array<struct<hash, position>> of packed choices."""
-    return F.transform(packed, lambda p: F.struct(F.shiftrightunsigned(p, 32).alias("hash"), (F.lit(_LOW) - p.bitwiseAND(F.lit(_LOW))).alias("position")))
+    return let(_grams(text, k, long), pick)
 
 
-def hash_set(packed: Column) -> Column:
-    return F.array_distinct(F.transform(packed, lambda p: F.shiftrightunsigned(p, 32)))
+def hash_set(prints: Column) -> Column:
+    return F.array_distinct(F.transform(prints, lambda p: p["hash"]))
 
 
-def digest(packed: Column) -> Column:
+def digest(prints: Column) -> Column:
     """32 hex digits of a fingerprint."""
-    return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(packed)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), packed)), 16, "0")))
+    return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(prints)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), prints)), 16, "0")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -85,9 +113,9 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), common)
 
 
-def fingerprint(docs: DataFrame, text: str = "text", k: int = K, window: int = WINDOW, name: str = "fingerprint") -> DataFrame:
+def fingerprint(docs: DataFrame, text: str = "text", k: int = K, window: int = WINDOW, long: int = LONG, name: str = "fingerprint") -> DataFrame:
     """docs with array<struct<hash, position>>, the choices of each whole text. A column of that name is replaced."""
-    return docs.withColumn(name, unpack(chosen(F.col(text), k, window)))
+    return docs.withColumn(name, chosen(F.col(text), k, window, long))
 
 
 def with_next(docs: DataFrame, key: str, columns: list[str], buckets: int | None = None) -> tuple[DataFrame, Window, str]:
@@ -119,25 +147,28 @@ def with_next(docs: DataFrame, key: str, columns: list[str], buckets: int | None
     return rows.unionByName(ends), Window.partitionBy(f"{p}bucket").orderBy(f"{p}more", f"{p}k"), f"{p}more"
 
 
-def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they are.
 
     Edited: the last floor(n / 2) code points make room for the first as many,
     or all, of the next document by key (after the last: the first). Returns
-    key, n_chars, edited (the text), prints, edited_prints, next_prints (packed
-    choices) and near_edited, near_next. Null texts count as empty. Repeated
-    keys keep all their rows; which of them follows which is their order by text.
+    key, n_chars, edited (the text), prints, edited_prints, next_prints (choices)
+    and near_edited, near_next. Null texts count as empty. Repeated keys keep all
+    their rows; which of them follows which is their order by text, and so is it
+    for rows without a key, which come first. Rows that share a key, or have none,
+    stand in one task. Only the columns key and text are read; an empty table
+    gives an empty one.
     """
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, over, more = with_next(own, "key", ["key", "text"])
     over = over.orderBy(more, F.coalesce(F.col("key").cast("long"), F.lit(-(2**63))), "text")
-    rows = rows.withColumn("prints", chosen(F.col("text"), k, window))
+    rows = rows.withColumn("prints", chosen(F.col("text"), k, window, long))
     rows = rows.select("*", F.lead("text").over(over).alias("next"), F.lead("prints").over(over).alias("next_prints")).filter(~F.col(more))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half))
     rows = rows.select("key", n.cast("long").alias("n_chars"), edited.alias("edited"), "prints", "next_prints")
-    rows = rows.withColumn("edited_prints", chosen(F.col("edited"), k, window))
+    rows = rows.withColumn("edited_prints", chosen(F.col("edited"), k, window, long))
     sets = rows.select("*", hash_set(F.col("prints")).alias("a"), hash_set(F.col("edited_prints")).alias("b"), hash_set(F.col("next_prints")).alias("c"))
     return sets.select(
         F.col("key").alias(key), "n_chars", "edited", "prints", "edited_prints", "next_prints",
