@@ -1,16 +1,21 @@
 """Reversible line dedup: sharded cuckoo filters over exact reference counts.
 
 A line's key is the line without ASCII blanks at its ends and with A-Z
-lower-cased; shards are the key's hash modulo SHARDS. The exact table counts, for
-each key of LENGTH code points or more, the documents that hold it and names the
-largest. Keys that reach COPIES documents are repeated, and each shard has a
-cuckoo filter of its repeated keys. A document's lines are put to the filters;
-the few that pass are put to the exact table, so a false positive costs a lookup
-and no line.
+lower-cased; shards are the key's hash modulo their number, which follows the
+number of repeated keys. The exact table counts, for each key of LENGTH code
+points or more, the documents that hold it and names the largest. Keys that reach
+COPIES documents are repeated, and each shard has a cuckoo filter of its repeated
+keys. A document's lines are put to the filters; the few that pass are put to the
+exact table, so a false positive costs a lookup and no line. Filters of up to
+FILTER_BYTES in all are broadcast; beyond that they stay where their shards are,
+and the lines' keys are dealt out to them in one shuffle.
 
 New and deleted documents change the counts by addition. Keys that reach COPIES go into
 their shard's filter, keys that fall below leave it (a cuckoo filter can forget),
-so deleting what was inserted restores the earlier decisions.
+so deleting what was inserted restores the earlier decisions. Only the filters of
+shards with such keys are opened. Where a deleted document was the largest holder
+of a key that others still hold, those are read for the next; keys of theirs that
+aren't in question go no further than a filter.
 """
 
 from __future__ import annotations
@@ -21,14 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut
+from rivulet.llm.common import cut, let, private, shuffle_partitions
 
-LENGTH, COPIES, SHARDS = 20, 3, 64
-#: Bytes of filters sent to the tasks at a time; more shards take more passes.
+LENGTH, COPIES = 20, 3
+#: Shards at least, and keys of a shard at most, on average (about 250 KB of filter).
+SHARDS, SHARD_KEYS = 64, 100_000
+#: Bytes of filters that are broadcast, at most.
 FILTER_BYTES = 64 << 20
 _BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -56,13 +64,32 @@ class CuckooFilter:
 
     @classmethod
     def build(cls, hashes: np.ndarray) -> CuckooFilter:
+        """All at once: in each turn every number without a place tries one of its buckets, and of those that find it full one kicks."""
         buckets = 16
-        while buckets * cls.SLOTS * 0.9 < len(hashes):
+        while buckets * cls.SLOTS * 0.85 < len(hashes):
             buckets *= 2
         while True:
             out = cls(buckets)
-            if all(out.add(int(h)) for h in hashes.tolist()):
-                return out
+            prints = cls.prints(hashes)
+            at = hashes & np.uint64(buckets - 1)
+            for turn in range(cls.KICKS):
+                order = np.argsort(at, kind="stable")
+                prints, at = prints[order], at[order]
+                new = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
+                rank = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) if len(at) else np.zeros(0, np.int64)
+                full = (out.table != 0).sum(axis=1)[at]
+                fits = full + rank < cls.SLOTS
+                out.table[at[fits], (full + rank)[fits]] = prints[fits]
+                left, kicks = ~fits, (full + rank == cls.SLOTS) & (turn > 0)
+                if not left.any():
+                    return out
+                # the first that is too many in a bucket takes another's slot; the others, and who was there, try their second bucket
+                slot = turn % cls.SLOTS
+                gone = out.table[at[kicks], slot].copy()
+                out.table[at[kicks], slot] = prints[kicks]
+                prints[kicks] = gone
+                prints, at = prints[left], at[left]
+                at = cls.other(at, prints, np.uint64(buckets))
             buckets *= 2
 
     @staticmethod
@@ -72,7 +99,7 @@ class CuckooFilter:
     @staticmethod
     def other(bucket, prints, buckets):
         """The second bucket; from it, the same step leads back."""
-        return bucket ^ ((prints.astype(np.uint64) * np.uint64(0x5BD1E995)) & np.uint64(buckets - 1))
+        return bucket ^ ((prints.astype(np.uint64) * np.uint64(0x5BD1E995)) & (np.asarray(buckets, np.uint64) - np.uint64(1)))
 
     def _places(self, h: int) -> tuple[int, int, int]:
         x = np.array([h], np.uint64)
@@ -148,6 +175,10 @@ def _lines(text: bytes | None) -> list[bytes]:
     return (text or b"").split(b"\n")
 
 
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("own"), F.col(text).cast("binary").alias("text"))
+
+
 def _shard(hi: str, shards: int) -> Column:
     return F.pmod(F.col(hi), F.lit(shards)).cast("int")
 
@@ -179,39 +210,95 @@ def references(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     return rows.mapInArrow(run, "hi bigint, lo bigint, refs bigint, last bigint").groupBy("hi", "lo").agg(F.sum("refs").alias("refs"), F.max("last").alias("last"))
 
 
-def build_filters(repeated: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(shard, n, filter) of the keys (hi, lo) of repeated."""
+def build_filters(repeated: DataFrame, shards: int) -> DataFrame:
+    """(shard, filter) of the keys (hi, lo) of repeated."""
 
     def run(part) -> Iterator:
         import pandas as pd
 
-        hashes = part["lo"].to_numpy().view(np.uint64)
-        return pd.DataFrame({"shard": part["shard"].iloc[:1], "n": [len(part)], "filter": [CuckooFilter.build(hashes).dump()]})
+        return pd.DataFrame({"shard": part["shard"].iloc[:1], "filter": [CuckooFilter.build(part["lo"].to_numpy().view(np.uint64)).dump()]})
 
-    return repeated.select(_shard("hi", shards).alias("shard"), "lo").groupBy("shard").applyInPandas(run, "shard int, n bigint, filter binary")
+    return repeated.select(_shard("hi", shards).alias("shard"), "lo").groupBy("shard").applyInPandas(run, "shard int, filter binary")
 
 
-def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, now: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """filters after keys (hi, lo) came and went. A shard that has no room is built anew from now, all its keys."""
+def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, now: DataFrame, shards: int) -> DataFrame:
+    """filters after keys (hi, lo) came and went. Only shards with such keys are opened; one without room is built anew from its keys in now."""
 
     def run(key, old, changes):
         import pandas as pd
 
         f = CuckooFilter.load(old["filter"].iloc[0]) if len(old) else CuckooFilter()
-        n = int(old["n"].iloc[0]) if len(old) else 0
-        lo = changes["lo"].to_numpy().view(np.uint64)
-        what = changes["what"].to_numpy()
-        for h in lo[what == "out"].tolist():
-            n -= f.remove(int(h))
-        fits = all(f.add(int(h)) for h in lo[what == "in"].tolist())
-        if not fits:
-            f, n = CuckooFilter.build(lo[what == "now"]), 0
-        n = int((what == "now").sum())
-        return pd.DataFrame({"shard": [key[0]], "n": [n], "filter": [f.dump()]})
-
-    of = lambda df, what: df.select(_shard("hi", shards).alias("shard"), "lo", F.lit(what).alias("what"))
-    changes = of(removed, "out").unionByName(of(added, "in")).unionByName(of(now, "now"))
-    return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(run, "shard int, n bigint, filter binary")
+        lo, comes = changes["lo"].to_numpy().view(np.uint64), changes["comes"].to_numpy()
+        for h in lo[~comes].tolist():
+            f.remove(int(h))
+        full = not all(f.add(int(h)) for h in lo[comes].tolist())
+        return pd.DataFrame({"shard": [key[0]], "filter": [None if full else f.dump()]})
+
+    of = lambda df, comes: df.select(_shard("hi", shards).alias("shard"), "lo", F.lit(comes).alias("comes"))
+    changes = cut(of(removed, False).unionByName(of(added, True)))
+    touched = changes.select("shard").distinct()
+    opened = cut(filters.join(touched, "shard", "left_semi").groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(run, "shard int, filter binary"))
+    full = opened.filter("filter IS NULL").select("shard")
+    anew = build_filters(now.withColumn("shard", _shard("hi", shards)).join(full, "shard", "left_semi").select("hi", "lo"), shards)
+    return filters.join(touched, "shard", "left_anti").unionByName(opened.filter("filter IS NOT NULL")).unionByName(anew)
+
+
+def _keys_of(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the batch, line, the two halves of the key's hash) of every line with a key."""
+    found: list[tuple[int, int, bytes]] = []
+    for d, t in enumerate(batch["text"]):
+        found += [(d, i, h) for i, x in enumerate(_lines(t.as_py())) if (h := line_key(x, least))]
+    h = np.frombuffer(b"".join(f[2] for f in found), "<i8").reshape(-1, 2)
+    return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int32), h
+
+
+def put_to_filters(docs: DataFrame, filters: DataFrame, shards: int, least: int = LENGTH, most_bytes: int = FILTER_BYTES) -> DataFrame:
+    """(key, own, line, hi, lo) of the lines of docs (key, own, text as bytes) that pass the filter of their shard.
+
+    Filters of over most_bytes in all aren't broadcast: each is sent once to every
+    lane of its shard, ahead of the lines' keys that are dealt there.
+    """
+    spark = docs.sparkSession
+    schema = "key bigint, own bigint, line int, hi bigint, lo bigint"
+    names = ["key", "own", "line", "hi", "lo"]
+    if (filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= most_bytes:
+        sent = spark.sparkContext.broadcast(FilterSet({r["shard"]: bytes(r["filter"]) for r in filters.collect()}, shards))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, line, h = _keys_of(batch, least)
+                hit = sent.value.contains(h[:, 1].copy().view(np.uint64), np.mod(h[:, 0], shards))
+                yield pa.RecordBatch.from_arrays([*[batch[c].take(pa.array(row[hit])) for c in ("key", "own")], pa.array(line[hit]), pa.array(h[hit, 0]), pa.array(h[hit, 1])], names)
+
+        return docs.mapInArrow(run, schema)
+
+    lanes = max(1, -(-4 * shuffle_partitions(spark) // shards))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, line, h = _keys_of(batch, least)
+            lane = np.mod(h[:, 0], shards) * lanes + np.mod(row, lanes)
+            yield pa.RecordBatch.from_arrays([pa.array(lane), *[batch[c].take(pa.array(row)) for c in ("key", "own")], pa.array(line), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["lane", *names])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, f = None, None
+        for batch in batches:
+            at = batch["lane"].to_numpy()
+            for a, b in zip(*(lambda e: (e[:-1], e[1:]))([0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]), strict=True):
+                if b > a and at[a] != lane:
+                    # a lane's filter stands ahead of its keys
+                    data = batch["filter"][a].as_py()
+                    lane, f = at[a], None if data is None else FilterSet({0: data}, 1)
+                if f is not None and b > a:
+                    lo, there = batch["lo"].slice(a, b - a), pa.compute.is_valid(batch["line"].slice(a, b - a))
+                    hit = f.contains(lo.fill_null(0).to_numpy().view(np.uint64), np.zeros(b - a, np.int64)) & there.to_numpy(zero_copy_only=False)
+                    yield batch.slice(a, b - a).select(names).filter(pa.array(hit))
+
+    asked = docs.mapInArrow(keys, f"lane bigint, {schema}").withColumn("filter", F.lit(None).cast("binary"))
+    null = lambda kind: F.lit(None).cast(kind)
+    each = filters.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(lanes - 1)), lambda i: (F.col("shard") * lanes + i).cast("long"))).alias("lane"), null("bigint").alias("key"), null("bigint").alias("own"), null("int").alias("line"), null("bigint").alias("hi"), null("bigint").alias("lo"), "filter")
+    dealt = each.unionByName(asked).repartition(max(shuffle_partitions(spark), shards), "lane").sortWithinPartitions("lane", F.col("filter").isNull())
+    return dealt.mapInArrow(ask, schema)
 
 
 @dataclass
@@ -221,21 +308,25 @@ class LineIndex:
     counts: DataFrame
     repeated: DataFrame
     filters: DataFrame
-    copies: int = COPIES
-    least: int = LENGTH
-    shards: int = SHARDS
+    copies: int
+    least: int
+    shards: int
 
     @staticmethod
-    def build(docs: DataFrame, key: str = "doc_id", text: str = "text", copies: int = COPIES, least: int = LENGTH, shards: int = SHARDS) -> LineIndex:
+    def build(docs: DataFrame, key: str = "doc_id", text: str = "text", copies: int = COPIES, least: int = LENGTH, shards: int | None = None) -> LineIndex:
+        """The index of docs. shards: as many as the repeated keys ask for, if not given."""
         counts = references(docs, key, text, least)
         repeated = cut(counts.filter(F.col("refs") >= copies))
+        shards = shards or max(SHARDS, -(-repeated.count() // SHARD_KEYS))
         return LineIndex(counts, repeated, cut(build_filters(repeated, shards)), copies, least, shards)
 
     def changed(self, inserted: DataFrame | None = None, deleted: DataFrame | None = None, held: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> LineIndex:
         """The index after whole documents came and went.
 
-        held: the documents that stay; only asked where a deleted document was
-        the largest holder of a key, to find the next.
+        held: the documents that stay; only read if a deleted document was the
+        largest holder of a key that is still held, to find the next. The table of
+        counts is taken over by addition; filters that no key enters or leaves
+        stay as they are.
         """
         counts = self.counts
         if inserted is not None:
@@ -243,66 +334,53 @@ class LineIndex:
         if deleted is not None:
             if held is None:
                 raise ValueError("deletion needs the documents that stay")
-            gone = references(deleted, key, text, self.least).select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.col("refs").alias("r"), F.col("last").alias("g"))
-            left = counts.join(gone, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left")
-            left = cut(left.select("hi", "lo", (F.col("refs") - F.coalesce("r", F.lit(0))).alias("refs"), "last", F.col("g").eqNullSafe(F.col("last")).alias("lost")).filter("refs > 0"))
-            next_ = references(held, key, text, self.least).join(left.filter("lost").select("hi", "lo"), ["hi", "lo"], "left_semi")
-            next_ = next_.select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.col("last").alias("next"))
-            counts = left.join(next_, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left").select("hi", "lo", "refs", F.when(F.col("lost"), F.col("next")).otherwise(F.col("last")).alias("last"))
+            gone = references(deleted, key, text, self.least).select("hi", "lo", F.col("refs").alias("r"), F.col("last").alias("g"))
+            left = counts.join(gone, ["hi", "lo"], "left")
+            left = cut(left.select("hi", "lo", (F.col("refs") - F.coalesce("r", F.lit(0))).alias("refs"), "last", (F.col("r").isNotNull() & F.col("g").eqNullSafe(F.col("last"))).alias("lost")).filter("refs > 0"))
+            lost = cut(left.filter("lost").select("hi", "lo"))
+            if not lost.isEmpty():
+                shards = max(SHARDS, -(-lost.count() // SHARD_KEYS))
+                hits = put_to_filters(_rows(held, key, text), cut(build_filters(lost, shards)), shards, self.least)
+                next_ = hits.join(lost, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.max("key").alias("next"))
+                left = left.join(next_, ["hi", "lo"], "left").withColumn("last", F.when(F.col("lost"), F.col("next")).otherwise(F.col("last")))
+            counts = left.select("hi", "lo", "refs", "last")
         counts = cut(counts)
         repeated = counts.filter(F.col("refs") >= self.copies)
         added = repeated.join(self.repeated, ["hi", "lo"], "left_anti")
         removed = self.repeated.join(repeated, ["hi", "lo"], "left_anti")
         return LineIndex(counts, repeated, cut(update_filters(self.filters, added, removed, repeated, self.shards)), self.copies, self.least, self.shards)
 
-    def candidates(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(key, lines, hi, lo): keys of a document's lines that pass the filters, with the numbers of the lines."""
-        spark, shards, least = docs.sparkSession, self.shards, self.least
-        sizes = sorted((r["shard"], r["b"]) for r in self.filters.select("shard", F.length("filter").alias("b")).collect())
-        passes: list[list[int]] = [[]]
-        room = FILTER_BYTES
-        for shard, b in sizes:
-            if b > room and passes[-1]:
-                passes.append([])
-                room = FILTER_BYTES
-            passes[-1].append(shard)
-            room -= b
-        rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-        out = None
-        for own in passes:
-            dumps = {r["shard"]: bytes(r["filter"]) for r in self.filters.filter(F.col("shard").isin(own)).collect()} if own else {}
-            sent = spark.sparkContext.broadcast(FilterSet(dumps, shards))
-
-            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                filters = sent.value
-                for batch in batches:
-                    found: list[tuple[int, int, bytes]] = []
-                    for d, t in enumerate(batch["text"]):
-                        found += [(d, i, h) for i, x in enumerate(_lines(t.as_py())) if (h := line_key(x, least))]
-                    h = np.frombuffer(b"".join(f[2] for f in found), "<i8").reshape(-1, 2)
-                    hit = filters.contains(h[:, 1].copy().view(np.uint64), np.mod(h[:, 0], shards))
-                    doc = batch["key"].take(pa.array([f[0] for f, ok in zip(found, hit.tolist(), strict=True) if ok], pa.int64()))
-                    line = [f[1] for f, ok in zip(found, hit.tolist(), strict=True) if ok]
-                    yield pa.RecordBatch.from_arrays([doc, pa.array(line, pa.int32()), pa.array(h[hit, 0]), pa.array(h[hit, 1])], ["key", "line", "hi", "lo"])
-
-            got = rows.mapInArrow(run, "key bigint, line int, hi bigint, lo bigint")
-            out = got if out is None else out.unionByName(got)
-        return out
-
-    def dedup(self, docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "kept") -> DataFrame:
+    def candidates(self, docs: DataFrame, key: str = "doc_id", text: str = "text", most_bytes: int = FILTER_BYTES) -> DataFrame:
+        """(key, own, line, hi, lo): the lines of documents whose keys pass the filters; own is the hash of the text."""
+        return put_to_filters(_rows(docs, key, text), self.filters, self.shards, self.least, most_bytes)
+
+    def dedup(self, docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "kept", most_bytes: int = FILTER_BYTES) -> DataFrame:
         """docs with n_lines, n_dropped and the text that is left in column `name`.
 
         A repeated key loses all its lines but those of its largest holder.
         Null and empty texts are one empty line, so kept is never null. Rows
-        that share a key lose the lines that any of them loses; rows with a
-        null key lose none, but count as holders.
+        that share a key are holders each, and lose their own lines alike; rows
+        with a null key lose none, but count as holders. Columns of docs called like a
+        new one are replaced, others kept whatever their names; an empty table
+        gives an empty one.
         """
-        exact = self.repeated.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "last")
-        hits = self.candidates(docs, key, text).join(exact, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).filter(F.col("key") != F.col("last"))
-        drops = hits.groupBy("key").agg(F.collect_set("line").alias("_drops")).withColumnRenamed("key", "_key")
-        rows = docs.drop("n_lines", "n_dropped", *([name] if name not in (key, text) else [])).join(drops, F.col(key).cast("long") == F.col("_key"), "left").drop("_key")
-        lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-        drop = F.coalesce(F.col("_drops"), F.array().cast("array<int>"))
-        kept = F.when(F.size(drop) == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n"))
-        n = F.size(lines)
-        return rows.withColumns({"n_lines": n.cast("long"), "n_dropped": F.size(drop).cast("long"), name: kept}).drop("_drops")
+        p = private(docs)
+        exact = self.repeated.select("hi", "lo", "last")
+        hits = self.candidates(docs, key, text, most_bytes).join(exact, ["hi", "lo"]).filter(F.col("key") != F.col("last"))
+        drops = hits.groupBy(F.col("key").alias(f"{p}key"), F.col("own").alias(f"{p}own")).agg(F.collect_set("line").alias(f"{p}drops"))
+        new = ["n_lines", "n_dropped", name]
+        rows = docs.select("*", F.col(text).alias(f"{p}text")).join(drops, (F.col(key).cast("long") == F.col(f"{p}key")) & (F.xxhash64(text) == F.col(f"{p}own")), "left")
+        whole = F.coalesce(F.col(f"{p}text"), F.lit(""))
+        drop = F.coalesce(F.col(f"{p}drops"), F.array().cast("array<int>"))
+
+        def cut_lines(lines: Column) -> Column:
+            # with its number in front a line is one of a kind: the difference of two arrays goes by hash, once over each
+            tell = lambda i, x: F.concat(F.lpad(i.cast("string"), 10, "0"), x)
+            gone = F.transform(drop, lambda i: tell(i, F.get(lines, i)))
+            left = F.array_except(F.transform(lines, lambda x, i: tell(i, x)), F.filter(gone, lambda x: x.isNotNull()))
+            kept = F.when(F.size(drop) == 0, whole).otherwise(F.array_join(F.transform(left, lambda x: x.substr(F.lit(11), F.length(x))), "\n"))
+            return F.struct(F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+
+        rows = rows.withColumn(f"{p}cut", let(F.split(whole, "\n", -1), cut_lines))
+        kept = [c for c in docs.columns if c.lower() not in [n.lower() for n in new] or c in (key, text) and c != name]
+        return rows.select(*[F.col(c) for c in kept], F.col(f"{p}cut.n_lines").alias("n_lines"), F.size(drop).cast("long").alias("n_dropped"), F.col(f"{p}cut.kept").alias(name))
