@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a model is learned from, at most; chosen by a hash of the text.
+from rivulet.llm.common import private
+
+#: Labelled texts that a model is learned from, at most; different ones, chosen by a hash of the text.
 SAMPLE = 8_000
 FOLDS, WORDS_KEPT, LEAST_TEXTS = 3, 2_000, 3
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -115,33 +117,47 @@ def fit_chain(rows: list[np.ndarray], fold: np.ndarray, labels: np.ndarray, cate
 def learn(labelled: DataFrame, categories: Sequence[str], text: str = "text", sample: int = SAMPLE) -> Chain:
     """A chain from rows with a text and 0/1 columns named categories, in that order.
 
-    From more than `sample` rows about that many are chosen by a hash of the
-    text, so equal texts share their fold and their fate. Null labels are
-    unknown, null texts empty. Without rows every probability is 1/2.
+    Rows that agree in text and labels count once, so that copies neither weigh
+    more nor fill the sample; it has `sample` rows at most, those whose texts have
+    the least hashes, whatever the table's size. Equal texts share their fold.
+    Null labels are unknown, null texts empty. Without rows every probability is
+    1/2. Only the columns named are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [words(t.as_py()).view(np.int32) for t in batch["text"]]
             fold = [zlib.crc32(t.as_py() or b"") >> 3 for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(fold, pa.int64()), *[batch[c] for c in categories]], ["words", "fold", *categories])
-
-    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in categories])
-    n = rows.count()
-    dice = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    chosen = rows.filter(dice < F.lit(min(1.0, sample / max(n, 1)))).mapInArrow(run, "words array<int>, fold bigint, " + ", ".join(f"`{c}` int" for c in categories))
-    got = chosen.toArrow().sort_by([("fold", "ascending")])
+            yield pa.RecordBatch.from_arrays([batch["h"], pa.array(found, pa.list_(pa.int32())), pa.array(fold, pa.int64()), *[batch[c] for c in marks]], ["h", "words", "fold", *marks])
+
+    marks = [f"c{i}" for i in range(len(categories))]
+    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(m) for c, m in zip(categories, marks, strict=True)])
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    n = rows.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    # a share that gives more than enough; copies are merged before they are shuffled; then exactly the first by hash
+    dice = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    drawn = rows.filter(dice < F.lit(min(1.0, 1.3 * sample / max(n, 1)))).groupBy("h", *marks).agg(F.first("text").alias("text"))
+    order = (F.shiftrightunsigned("h", 11), "h", *marks)
+    got = drawn.mapInArrow(run, "h bigint, words array<int>, fold bigint, " + ", ".join(f"{c} int" for c in marks)).orderBy(*order).limit(sample).toArrow()
+    got = got.sort_by([("fold", "ascending"), ("h", "ascending"), *[(m, "ascending") for m in marks]])
     found = [np.asarray(x.values.to_numpy() if x.values is not None else [], np.int32).view(np.uint32) for x in got["words"]]
-    labels = np.column_stack([got[c].to_numpy() for c in categories]) if got.num_rows else np.zeros((0, len(categories)))
+    labels = np.column_stack([got[c].to_numpy() for c in marks]) if got.num_rows else np.zeros((0, len(categories)))
     return fit_chain(found, got["fold"].to_numpy() % FOLDS, labels, categories)
 
 
-def predict(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text", prefix: str = "p_") -> DataFrame:
-    """The columns keep of docs and a probability a category. Whole texts are read; null counts as empty."""
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("\x00text"))
+def predict(docs: DataFrame, chain: Chain, keep: list[str] | None = None, text: str = "text", prefix: str = "p_") -> DataFrame:
+    """The columns keep of docs (all if None) and a probability a category.
+
+    Whole texts are read; null counts as empty. Every row gives a row: repeated
+    and null keys too, equal texts equal probabilities; an empty table gives an
+    empty one. A column of docs called like a new one is replaced.
+    """
+    new = [prefix + c for c in chain.categories]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [n.lower() for n in new]]
+    rows = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias(private(docs) + "text"))
     schema = rows.select(*keep).schema
-    for c in chain.categories:
-        schema = schema.add(prefix + c, "double")
+    for c in new:
+        schema = schema.add(c, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
