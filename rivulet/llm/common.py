@@ -14,12 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (unit tests in one JVM) a temporary
-    folder takes its place.
+    A session in one JVM (unit tests) that names none gets a temporary folder; on
+    a cluster that is an error, since executors couldn't read it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rivulet-checkpoint-"))
     return named or sc.getCheckpointDir()
 

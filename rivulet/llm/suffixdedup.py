@@ -17,8 +17,11 @@ suffix of the corpus:
    SPAN bytes are equal windows; all but the first are repeats.
 3. The repeats' bytes are cut from their documents.
 
-An anchor with over HEAVY different blocks is dealt out again by the hashes of
-its windows.
+Anchors that stand in many differing surroundings are spread in both steps. In
+the first, those that are frequent in a small part of the documents, drawn by
+hash, are dealt out by block: this only says where rows go, never what is
+found. In the second, an anchor with over HEAVY different blocks is dealt out by
+the hashes of its windows.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import cut, private, shuffle_partitions
 
 SPAN, GRAM, SHALLOW = 100, 32, 56
-HEAVY = 20_000
+HEAVY = 1_000
+#: One document in so many is looked at for frequent anchors, and the blocks there from which an anchor is frequent (and how many at most).
+LOOK, FREQUENT, MOST_FREQUENT = 128, 200, 20_000
 #: Window starts of a text handled at a time; under 2^24.
 _BLOCK = 1 << 21
 #: Blocks whose suffixes are sorted at a time.
@@ -190,17 +195,39 @@ def _repeats(doc: np.ndarray, start: np.ndarray, count: np.ndarray, data: list[b
     return block[order[later]], within[order[later]], order[new]
 
 
+def _frequent(whole: DataFrame, span: int, look: int = LOOK, least: int = FREQUENT) -> np.ndarray:
+    """Anchors with `least` or more different blocks in one of `look` documents (key, text); the most frequent first, at most MOST_FREQUENT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[tuple[int, int]] = set()
+            for t in batch["text"]:
+                raw = t.as_py()
+                for anchor, first, count, off in blocks(raw, span):
+                    ends = (first + count + span - 1).tolist()
+                    seen.update((a, xxhash.xxh3_64_intdigest(raw[x:y], o) >> 1) for a, x, y, o in zip(anchor.view(np.int64).tolist(), first.tolist(), ends, off.tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in seen], pa.int64()), pa.array([s[1] for s in seen], pa.int64())], ["anchor", "block"])
+
+    some = whole.filter(F.pmod(F.xxhash64("key"), F.lit(look)) == 0).select("text").mapInArrow(run, "anchor bigint, block bigint")
+    found = some.distinct().groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "anchor").limit(MOST_FREQUENT)
+    return np.sort(np.array([r["anchor"] for r in found.collect()], np.int64))
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, heavy: int = HEAVY) -> DataFrame:
     """(key, start, stop): stretches of bytes to remove, not merged; keys must not be null."""
     spark = docs.sparkSession
     if span < GRAM + 8:
         raise ValueError(f"span must be {GRAM + 8} or more")
     whole = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text")).filter(F.col("key").isNotNull() & (F.octet_length("text") >= span))
-    shape = "kind int, anchor bigint, block bigint, key bigint, at bigint, more int"
+    shape = "kind int, lane bigint, anchor bigint, block bigint, key bigint, at bigint, more int"
+    names = ["kind", "lane", "anchor", "block", "key", "at", "more"]
+    hot = spark.sparkContext.broadcast(_frequent(whole, span))
 
     def batch_of(kind: int, anchor, block, doc, at, more) -> pa.RecordBatch:
         n = len(doc)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in (anchor, block, doc, at)], pa.array(np.ascontiguousarray(more, np.int32))], ["kind", "anchor", "block", "key", "at", "more"])
+        # a frequent anchor is dealt out by block
+        lane = np.where(np.isin(anchor, hot.value), anchor ^ block, anchor) if len(hot.value) else anchor
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in (lane, anchor, block, doc, at)], pa.array(np.ascontiguousarray(more, np.int32))], names)
 
     def spans_of(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Stretches, merged within each document, as rows that go by their document."""
@@ -259,8 +286,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
             group = np.cumsum(new_a)
             blocks_in = np.bincount(group, new_b, group[-1] + 1)
             first = np.flatnonzero(new_b)
-            # group 0 goes on from the batch before: each new block in it is one more than one
-            wanted = first[(blocks_in[group[first]] > 1) | (group[first] == 0)]
+            # group 0 goes on from the batch before: each new block in it is one more than one; other blocks of a frequent anchor are elsewhere
+            wanted = first[(blocks_in[group[first]] > 1) | (group[first] == 0) | np.isin(anchor[first], hot.value)]
             if open_ is not None and blocks_in[0] > 0:
                 yield batch_of(0, *[np.array([x], np.int64) for x in open_])
                 open_ = None
@@ -272,7 +299,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 open_ = (anchor[k], block[k], doc[k], at[k], more[k])
             last = (anchor[-1], block[-1], doc[-1], at[-1])
 
-    dealt = whole.mapInArrow(anchors, shape).repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("kind", "anchor", "block", "key", "at")
+    dealt = whole.mapInArrow(anchors, shape).repartition(shuffle_partitions(spark), "lane").sortWithinPartitions("kind", "anchor", "block", "key", "at")
     found = cut(dealt.mapInArrow(differing, shape))
     asked = found.filter("kind = 0").select("anchor", "key", "at", "more").distinct()
     many = cut(asked.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select("anchor", F.lit(True).alias("heavy")))
