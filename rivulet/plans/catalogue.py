@@ -555,7 +555,16 @@ _sql(
 _sql("outer_joins_all", "customer orders", "SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'")
 _sql("union_all_distinct", "customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION ALL SELECT c_nationkey FROM customer")
 _sql("intersect_except", "customer supplier", "SELECT 'both' AS side, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers', k FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
-_sql("acquisition_activity", "customer supplier orders", "SELECT platform, k, o_orderstatus, count(*) AS n FROM (SELECT 'a' AS platform, c_custkey AS k FROM customer UNION ALL SELECT 'b', s_suppkey FROM supplier) u JOIN orders ON o_custkey = k GROUP BY platform, k, o_orderstatus")
+_sql(
+    "acquisition_activity", "customer supplier orders",
+    "SELECT platform, k, o_orderstatus, count(*) AS n FROM (SELECT 'a' AS platform, c_custkey AS k FROM customer UNION ALL SELECT 'b', s_suppkey FROM supplier) u "
+    "JOIN (SELECT * FROM orders WHERE o_orderdate BETWEEN DATE '1995-01-01' AND DATE '1997-12-31') o ON o_custkey = k GROUP BY platform, k, o_orderstatus",
+)
+_sql("cartesian", "nation region", "SELECT n_name, r_name FROM nation CROSS JOIN region")
+_sql(
+    "sample_by_hash", "customer", "SELECT c_custkey FROM customer WHERE CAST(conv(substr(md5(CAST(c_custkey AS STRING)), 1, 4), 16, 10) AS INT) < 16384",
+    "SELECT c_custkey FROM customer WHERE CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 4) AS INTEGER) < 16384",
+)
 
 
 _DEVICES = ["F", "O", "P"]
@@ -919,4 +928,4 @@ def loo_recall(spark, d):
     return recall.leave_one_out(clicks, docs, vectors).select("method", "k", _r("recall").alias("recall"), _r("hit_rate").alias("hit_rate"), "users", "instances")
 
 
-from rivulet.plans import report_queries  # noqa: E402, F401  (adds its queries to QUERIES)
+from rivulet.plans import io_queries, report_queries  # noqa: E402, F401  (they add their queries to QUERIES)

@@ -71,7 +71,7 @@ class Commits:
 
     def _files(self, folder: str) -> list[dict]:
         sizes, todo = {}, [folder]
-        root = folder.split("://")[-1].rstrip("/")
+        root = self._path(folder).toUri().getPath().rstrip("/")
         relative = lambda path: path[path.index(root) + len(root) + 1 :]
         while todo:
             for s in self._fs.listStatus(self._path(todo.pop())):
