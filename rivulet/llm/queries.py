@@ -59,7 +59,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labelled = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("text", (1 - F.col("quality")).alias("low_quality"), "toxic")
     chain = toxicity.learn(labelled, ("low_quality", "toxic"))
-    return toxicity.predict(docs, chain, ["doc_id"]).withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
+    return toxicity.predict(docs, chain, ["doc_id"]).withColumn("toxic", (F.col("p_toxic") >= chain.cutoffs[1]).cast("int"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
