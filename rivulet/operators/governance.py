@@ -192,3 +192,66 @@ def spread(exposures: DataFrame, catalog_size: int | None = None) -> DataFrame:
         F.col("n").alias("items_served"), F.when(known & (F.col("n") <= size), F.col("n") / size).alias("catalog_coverage"), (F.col("g") / (F.col("m").cast("double") * F.col("total"))).alias("exposure_gini"),
         F.when(F.col("m") >= 10, _share(F.col("t"), F.col("total"))).alias("top_decile_exposure_share"), "median_items_per_user", "user_repeat_rate", F.when(known, F.col("uniform")).alias("user_repeat_rate_uniform"),
     )
+
+
+#: Signals of satisfaction: a column of samples, the name of its mean and of the share of samples that have it.
+SIGNALS = (
+    ("clicked", "ctr", "ctr_coverage"), ("ordered", "order_rate", "order_coverage"), ("reward", "mean_reward", "reward_coverage"), ("rating", "mean_rating", "rating_coverage"),
+    ("dwell_millis", "mean_dwell_millis", "dwell_coverage"), ("completion_rate", "mean_completion_rate", "completion_coverage"),
+)
+
+
+def satisfaction(samples: DataFrame) -> DataFrame:
+    """One row: the mean of each signal and how many samples have it, negative feedback (null without any), users and items."""
+    rows = with_columns(samples, {c: "double" for c, _, _ in SIGNALS} | {"negative_feedback_reason": "string", "user_id": "string", "item_id": "string"})
+    n = F.count("*")
+    negative = F.count("negative_feedback_reason")
+    got = [x for c, mean, share in SIGNALS for x in (F.avg(F.col(c).cast("double")).alias(mean), _share(F.count(c), n).alias(share))]
+    rate = _share(negative, n)
+    out = rows.agg(*got, F.when(negative > 0, rate).alias("negative_feedback_rate"), rate.alias("negative_feedback_coverage"), F.count("rating").alias("rated_samples"))
+    # different users and items, from one row each
+    users, items = (rows.filter(F.col(c).isNotNull()).select(c).distinct().agg(F.count("*").alias(f"{c[:4]}s")) for c in ("user_id", "item_id"))
+    return out.crossJoin(users).crossJoin(items)  # one row each
+
+
+def slate_diversity(items: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """Per slate, of items (slate_id, item_id, genres, popularity): different genres, their normalised entropy, the mean distance
+    (1 - Jaccard) of its items' genres, the share of items less popular than cutoff, and how many have genres or a popularity.
+
+    Pairs are made within a slate only. Without genres, or popularities, the figures are null.
+    """
+    rows = items.select("slate_id", F.array_distinct("genres").alias("g"), F.coalesce("genres", F.array().cast("array<string>")).alias("all"), "popularity")
+    per = rows.groupBy("slate_id").agg(
+        F.count("*").alias("n"), F.flatten(F.collect_list("all")).alias("flat"), F.collect_list(F.when(F.size("g") > 0, F.col("g"))).alias("sets"),
+        F.count("popularity").alias("p"), F.count_if(F.col("popularity") < F.lit(cutoff)).alias("tail"),
+    )
+    kinds = F.array_distinct("flat")
+    shares = F.transform(kinds, lambda k: F.size(F.filter("flat", lambda x: x == k)) / F.size("flat"))
+    entropy = -F.aggregate(shares, F.lit(0.0), lambda a, x: a + x * F.log(x)) / F.log(F.size(kinds))
+    apart = lambda a, b: 1 - F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    later = lambda i: F.slice("sets", i + 2, F.size("sets"))
+    distances = F.flatten(F.transform("sets", lambda a, i: F.transform(later(i), lambda b: apart(a, b))))
+    some = F.size("flat") > 0
+    return per.select(
+        "slate_id", F.when(some, F.size(kinds)).alias("unique_genres"), F.when(some, F.when(F.size(kinds) > 1, entropy).otherwise(0.0)).alias("genre_entropy"),
+        F.when(F.size("sets") > 1, F.aggregate(distances, F.lit(0.0), lambda a, x: a + x) / F.size(distances)).alias("genre_distance"),
+        F.when(F.lit(cutoff is not None), _share(F.col("tail"), F.col("p"))).alias("long_tail_share"),
+        _share(F.size("sets"), F.col("n")).alias("genre_coverage"), _share(F.col("p"), F.col("n")).alias("popularity_coverage"),
+    )
+
+
+def histogram(df: DataFrame, column: str) -> DataFrame:
+    """(bin_start, count) of ten bins of values between 0 and 1, empty ones too; 1 is in the last."""
+    spot = F.least(F.floor(F.round(F.col(column) * 10, 9)), F.lit(9)).cast("int")
+    found = df.filter(F.col(column).isNotNull()).groupBy(spot.alias("b")).agg(F.count("*").alias("n"))
+    bins = df.sparkSession.range(10).select(F.col("id").cast("int").alias("b"))
+    return bins.join(F.broadcast(found), "b", "left").select((F.col("b") / 10).alias("bin_start"), F.coalesce("n", F.lit(0)).alias("count"))
+
+
+def genre_exposure(items: DataFrame) -> DataFrame:
+    """(genre, exposure_share, served_share): a genre's part of all that was shown, and of the different items shown."""
+    each = items.select("item_id", F.explode("genres").alias("genre")).groupBy("item_id", "genre").agg(F.count("*").alias("n"))
+    first = items.groupBy("item_id").agg(F.count("*").alias("shown"))
+    per = each.join(first, "item_id").groupBy("genre").agg(F.sum("n").alias("n"), F.sum(F.col("n") / F.col("shown")).alias("d"))
+    w = Window.partitionBy()  # one row a genre
+    return per.select("genre", (F.col("n") / F.sum("n").over(w)).alias("exposure_share"), (F.col("d") / F.sum("d").over(w)).alias("served_share"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.operators.samples import with_columns
+
 
 def als_vectors(ratings: DataFrame, rank: int = 16, iterations: int = 10, reg: float = 0.1, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(user vectors, item vectors) by alternating least squares; ids are strings."""
@@ -49,6 +51,30 @@ def ctr_model(train: DataFrame, features: list[str], buckets: int = 1 << 18):
     return Pipeline(stages=[hasher, LogisticRegression(labelCol="clicked", featuresCol="features", maxIter=30, regParam=0.01)]).fit(train)
 
 
+def ctr_rows(samples: DataFrame) -> DataFrame:
+    """samples with the columns that the full model reads: categories from feature maps (NA without), the position, genres and tags."""
+    rows = with_columns(samples, {"user_features": "map<string,string>", "item_features": "map<string,string>", "context_features": "map<string,string>", "device": "string", "position": "int", "genres": "array<string>", "tags": "array<string>"})
+    user, item, context = (F.col(f"{c}_features") for c in ("user", "item", "context"))
+    none = F.array().cast("array<string>")
+    return rows.withColumns({
+        "uf_tier": F.coalesce(user["tier"], F.lit("NA")), "if_bucket": F.coalesce(item["bucket"], F.lit("NA")), "cf_device": F.coalesce("device", context["device"], F.lit("NA")),
+        "cf_country": F.coalesce(user["country"], context["country"], F.lit("NA")), "position_d": F.coalesce(F.col("position").cast("double"), F.lit(0.0)),
+        "genres": F.coalesce("genres", none), "tags": F.coalesce("tags", none),
+    })
+
+
+def full_ctr_model(train: DataFrame, buckets: int = 1 << 18, term_buckets: int = 1 << 10):
+    """Logistic regression for clicked on hashed categories and on the hashed counts of genres and tags (rows of ctr_rows)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import FeatureHasher, HashingTF, VectorAssembler
+
+    hashed = FeatureHasher(inputCols=["uf_tier", "if_bucket", "cf_device", "cf_country", "item_id", "position_d"], outputCol="cat_features", numFeatures=buckets)
+    terms = [HashingTF(inputCol=c, outputCol=f"{c}_features", numFeatures=term_buckets) for c in ("genres", "tags")]
+    together = VectorAssembler(inputCols=["cat_features", "genres_features", "tags_features"], outputCol="features")
+    return Pipeline(stages=[hashed, *terms, together, LogisticRegression(labelCol="clicked", featuresCol="features", maxIter=30, regParam=0.01)]).fit(train)
+
+
 def evaluate_ctr(model, holdout: DataFrame, label: str = "clicked") -> dict:
     """Rows, area under the ROC and precision-recall curves, and log loss (probabilities kept off 0 and 1 by 1e-15) of a fitted model; None where undefined."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator

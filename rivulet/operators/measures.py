@@ -56,6 +56,16 @@ def logloss(df: DataFrame, score: str, positive: Column, by: list[str] | None =
     return rows.groupBy(*by).agg(F.avg(-F.when(positive, F.log(p)).otherwise(F.log(1 - p))).alias("logloss"))
 
 
+def signals(samples: DataFrame, scores: dict[str, Column], positive: Column) -> DataFrame:
+    """(signal, n, positives, coverage, auc, logloss) of several scores of the same samples; a null score isn't covered."""
+    rows = samples.select(positive.alias("hit"), F.explode(F.create_map(*[x for k, c in scores.items() for x in (F.lit(k), c.cast("double"))])).alias("signal", "score"))
+    n = rows.groupBy("signal").agg(F.count("*").alias("all"), F.count("score").alias("n"), F.count_if(F.col("hit") & F.col("score").isNotNull()).alias("positives"))
+    good = rows.filter(F.col("score").isNotNull())
+    area = auc(good, "score", F.col("hit"), ["signal"]).select("signal", "auc")
+    loss = logloss(good, "score", F.col("hit"), ["signal"])
+    return n.join(area, "signal", "left").join(loss, "signal", "left").select("signal", "n", "positives", ratio(F.col("n"), F.col("all")).alias("coverage"), "auc", "logloss")
+
+
 def ndcg(slates: DataFrame, k: int) -> DataFrame:
     """(slate_id, ndcg, rr) of slates whose items all have a label; ndcg is null without ideal gain.
 

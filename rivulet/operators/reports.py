@@ -116,6 +116,32 @@ def demographic_metrics(samples: DataFrame, known: DataFrame, by: str) -> DataFr
     return out.withColumn("avg_rating", F.when(F.col("n") > 0, F.round(F.col("total") / F.col("n"), 3))).drop("total", "n")
 
 
+#: Queries up to so many characters are short.
+SHORT = 10
+
+
+def with_query(samples: DataFrame) -> DataFrame:
+    """samples with query (the genres in a row, unknown without any), its length and whether it is short."""
+    combined = F.concat_ws(" ", "genres")
+    rows = samples.withColumn("query", F.when(combined == "", "unknown").otherwise(combined))
+    size = F.length("query")
+    return rows.withColumns({"query_len": size, "query_length": F.when(size <= SHORT, f"short (<={SHORT})").otherwise(f"long (>{SHORT})")})
+
+
+def query_engagement(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Engagement of with_query() rows by some columns: impressions, users, sessions, different queries, clicks, orders and rates.
+
+    Rows are first brought together by user, session and query, so that counting
+    different ones copies no sample.
+    """
+    per = rows.groupBy(*by, "user_id", "session_id", *[c for c in ("query",) if c not in by]).agg(F.count("*").alias("n"), F.sum("clicked").alias("c"), F.sum("ordered").alias("o"), F.sum("label").alias("r"))
+    out = per.groupBy(*by).agg(
+        F.sum("n").alias("impressions"), F.countDistinct("user_id").alias("users"), F.countDistinct("session_id").alias("sessions"), F.countDistinct("query").alias("distinct_queries"),
+        F.sum("c").alias("clicks"), F.sum("o").alias("orders"), F.sum("r").alias("r"),
+    )
+    return out.withColumns({"ctr": _rate("clicks", "impressions", 4), "cvr": _rate("orders", "impressions", 4), "avg_rating": _rate("r", "impressions", 4)}).drop("r")
+
+
 #: Relevance states by label, from 0.
 STATES = ("impression_only", "clicked", "ordered")
 

@@ -148,10 +148,24 @@ def ranking_samples(samples: DataFrame, users: DataFrame, items: DataFrame) -> D
     return out.withColumns({c: F.coalesce(F.col(c).cast("array<double>"), none) for c in ("user_vector", "item_vector")})
 
 
-def relevance_samples(samples: DataFrame) -> DataFrame:
-    """A query key of user and session, or user and request where the session is blank."""
+def relevance_samples(samples: DataFrame, films: DataFrame | None = None) -> DataFrame:
+    """A query key of user and session, or user and request where the session is blank, with what films (item_id, title, genres, release_year) say.
+
+    Items without film data stay: no title, no genres.
+    """
     blank = F.coalesce(F.length(F.trim("session_id")) == 0, F.lit(True))
-    return samples.select(F.concat_ws(":", "user_id", F.when(blank, F.col("request_id")).otherwise(F.col("session_id"))).alias("query"), "item_id", "label", "position")
+    rows = samples.select(F.concat_ws(":", "user_id", F.when(blank, F.col("request_id")).otherwise(F.col("session_id"))).alias("query"), "item_id", "label", "position")
+    if films is None:
+        return rows
+    out = rows.join(films.select("item_id", "title", "genres", "release_year"), "item_id", "left")
+    return out.withColumn("genres", F.coalesce("genres", F.array().cast("array<string>")))
+
+
+def with_ingest_lag(slates: DataFrame, sent: str = "kafka_timestamp") -> DataFrame:
+    """Slates that name slate, request and user, with the milliseconds from the request to the message; null where one is missing."""
+    lag = F.unix_millis(F.col(sent)) - F.col("request_ts") * 1000
+    named = F.col("slate_id").isNotNull() & F.col("request_id").isNotNull() & F.col("user_id").isNotNull()
+    return slates.withColumn("kafka_ingest_lag_ms", lag).drop(sent).filter(named)
 
 
 def metric_events(slates: DataFrame, large: int = 20) -> DataFrame:

@@ -374,3 +374,99 @@ def candidate_lists(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     best = measures.top_k_cosine(rows.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "user_id"), rows.withColumnRenamed("vec_id", "item_id"), 10)
     return files.candidate_lists(best, "rec", 3600).select("key", F.array_join("items", ",").alias("items"))
+
+
+# --- queries, quality
+
+_QUERY = f"""{_FILMS}, qy AS (SELECT *, coalesce(nullif(array_to_string(genres, ' '), ''), 'unknown') AS query FROM fi)"""
+_RATES = """count(*) AS impressions, count(DISTINCT user_id) AS users, count(DISTINCT session_id) AS sessions, count(DISTINCT query) AS distinct_queries, CAST(sum(clicked) AS BIGINT) AS clicks, CAST(sum(ordered) AS BIGINT) AS orders,
+    round(CAST(sum(clicked) AS DOUBLE) / count(*), 4) AS ctr, round(CAST(sum(ordered) AS DOUBLE) / count(*), 4) AS cvr, round(sum(label) / count(*), 4) AS avg_rating"""
+
+
+@query(f"WITH {_QUERY} SELECT query, CAST(length(query) AS INTEGER) AS query_len, {_RATES} FROM qy GROUP BY 1, 2")
+def common_queries(spark, d):
+    return reports.query_engagement(reports.with_query(_films(spark, d)), ["query", "query_len"])
+
+
+@query(f"WITH {_QUERY} SELECT CASE WHEN length(query) <= 10 THEN 'short (<=10)' ELSE 'long (>10)' END AS query_length, {_RATES} FROM qy GROUP BY 1")
+def query_lengths(spark, d):
+    return reports.query_engagement(reports.with_query(_films(spark, d)), ["query_length"])
+
+
+@query(
+    f"""WITH {SAMPLES} SELECT avg(CAST(clicked AS DOUBLE)) AS ctr, 1.0::DOUBLE AS ctr_coverage, avg(CAST(ordered AS DOUBLE)) AS order_rate, 1.0::DOUBLE AS order_coverage, round(avg(label), 9) AS mean_reward, 1.0::DOUBLE AS reward_coverage,
+    round(avg(rating), 6) AS mean_rating, CAST(count(rating) AS DOUBLE) / count(*) AS rating_coverage, round(avg(dwell_millis), 6) AS mean_dwell_millis, CAST(count(dwell_millis) AS DOUBLE) / count(*) AS dwell_coverage,
+    round(avg(completion_rate), 9) AS mean_completion_rate, CAST(count(completion_rate) AS DOUBLE) / count(*) AS completion_coverage, CASE WHEN count(negative_feedback_reason) > 0 THEN CAST(count(negative_feedback_reason) AS DOUBLE) / count(*) END AS negative_feedback_rate,
+    CAST(count(negative_feedback_reason) AS DOUBLE) / count(*) AS negative_feedback_coverage, count(rating) AS rated_samples, count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items FROM sm"""
+)
+def satisfaction_signals(spark, d):
+    out = governance.satisfaction(_samples(spark, d).withColumn("reward", F.col("label")))
+    return out.withColumns({"mean_reward": _r("mean_reward", 9), "mean_rating": _r("mean_rating"), "mean_dwell_millis": _r("mean_dwell_millis"), "mean_completion_rate": _r("mean_completion_rate", 9)})
+
+
+def _diverse(spark, d):
+    rows = _films(spark, d)
+    return rows.select(F.col("request_id").alias("slate_id"), "item_id", "genres", F.when(F.col("k") % 3 > 0, (F.col("k") % 100).cast("double")).alias("popularity"))
+
+
+_DIVERSE = f"""{_FILMS}, di AS (SELECT request_id AS slate_id, item_id, genres, list_sort(list_distinct(genres)) AS g, CASE WHEN k % 3 > 0 THEN k % 100 END AS popularity, row_number() OVER () AS i FROM fi),
+  dn AS (SELECT slate_id, genre, count(*) AS n FROM (SELECT slate_id, unnest(genres) AS genre FROM di) GROUP BY 1, 2), dp AS (SELECT slate_id, n / sum(n) OVER (PARTITION BY slate_id) AS p FROM dn),
+  de AS (SELECT slate_id, CAST(count(*) AS INTEGER) AS unique_genres, CASE WHEN count(*) > 1 THEN -sum(p * ln(p)) / ln(count(*)) ELSE 0 END AS genre_entropy FROM dp GROUP BY 1),
+  dd AS (SELECT a.slate_id, avg(1 - CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / len(list_distinct(list_concat(a.g, b.g)))) AS genre_distance FROM di a JOIN di b ON a.slate_id = b.slate_id AND a.i < b.i AND len(a.g) > 0 AND len(b.g) > 0 GROUP BY 1),
+  ds AS (SELECT slate_id, count(*) AS n, count(*) FILTER (WHERE len(g) > 0) AS s, count(popularity) AS p, count(*) FILTER (WHERE popularity < 50) AS tail FROM di GROUP BY 1),
+  dv AS (SELECT ds.slate_id, unique_genres, genre_entropy, genre_distance, CASE WHEN p > 0 THEN CAST(tail AS DOUBLE) / p END AS long_tail_share, CAST(s AS DOUBLE) / n AS genre_coverage, CAST(p AS DOUBLE) / n AS popularity_coverage
+    FROM ds LEFT JOIN de USING (slate_id) LEFT JOIN dd USING (slate_id))"""
+
+
+@query(f"WITH {_DIVERSE} SELECT slate_id, unique_genres, round(genre_entropy, 6) + 0.0 AS genre_entropy, round(genre_distance, 6) + 0.0 AS genre_distance, long_tail_share, genre_coverage, popularity_coverage FROM dv")
+def slate_diversity(spark, d):
+    out = governance.slate_diversity(_diverse(spark, d), 50.0)
+    return out.withColumns({"genre_entropy": _r("genre_entropy") + F.lit(0.0), "genre_distance": _r("genre_distance") + F.lit(0.0)})
+
+
+@query(f"WITH {_DIVERSE} SELECT b / 10::DOUBLE AS bin_start, count(dv.slate_id) AS count FROM range(10) r(b) LEFT JOIN (SELECT * FROM dv WHERE genre_distance IS NOT NULL) dv ON least(floor(round(genre_distance * 10, 9)), 9) = b GROUP BY 1")
+def diversity_histogram(spark, d):
+    return governance.histogram(governance.slate_diversity(_diverse(spark, d)), "genre_distance")
+
+
+@query(
+    f"""WITH {_FILMS}, e AS (SELECT unnest(genres) AS genre FROM fi), u AS (SELECT DISTINCT item_id, genres FROM fi), s AS (SELECT unnest(genres) AS genre FROM u)
+    SELECT genre, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM e), 9) AS exposure_share, round(any_value(n) / (SELECT CAST(count(*) AS DOUBLE) FROM s), 9) AS served_share FROM e JOIN (SELECT genre, count(*) AS n FROM s GROUP BY 1) USING (genre) GROUP BY 1"""
+)
+def genre_exposure(spark, d):
+    return governance.genre_exposure(_diverse(spark, d)).withColumns({"exposure_share": _r("exposure_share", 9), "served_share": _r("served_share", 9)})
+
+
+@query(
+    f"""WITH {STAR}, u AS (SELECT clicked, 'position' AS signal, CAST(-position AS DOUBLE) AS s FROM st UNION ALL SELECT clicked, 'quantity', CASE WHEN tie % 5 > 0 THEN score END FROM st UNION ALL SELECT clicked, 'nothing', NULL FROM st),
+    a AS (SELECT signal, count(*) AS a, count(s) AS n, count(*) FILTER (WHERE clicked = 1 AND s IS NOT NULL) AS positives FROM u GROUP BY 1), g AS (SELECT * FROM u WHERE s IS NOT NULL),
+    r AS (SELECT signal, clicked, rank() OVER (PARTITION BY signal ORDER BY s) + (count(*) OVER (PARTITION BY signal, s) - 1) / 2.0 AS rk FROM g),
+    c AS (SELECT signal, (sum(rk) FILTER (WHERE clicked = 1) - sum(clicked) * (sum(clicked) + 1) / 2.0) / (sum(clicked) * (count(*) - sum(clicked))) AS auc FROM r GROUP BY 1),
+    m AS (SELECT signal, avg(s) AS m, stddev_pop(s) AS d FROM g GROUP BY 1), l AS (SELECT signal, avg(-CASE WHEN clicked = 1 THEN ln(p) ELSE ln(1 - p) END) AS logloss FROM (SELECT signal, clicked, 1 / (1 + exp(-(s - m) / d)) AS p FROM g JOIN m USING (signal)) GROUP BY 1)
+    SELECT signal, n, positives, CAST(n AS DOUBLE) / a AS coverage, round(auc, 9) AS auc, round(logloss, 6) AS logloss FROM a LEFT JOIN c USING (signal) LEFT JOIN l USING (signal)"""
+)
+def ranking_signals(spark, d):
+    rows = star(spark, d, "clicked position score tie")
+    scores = {"position": -F.col("position"), "quantity": F.when(F.col("tie") % 5 > 0, F.col("score")), "nothing": F.lit(None)}
+    return measures.signals(rows, scores, F.col("clicked") == 1).withColumns({"auc": _r("auc", 9), "logloss": _r("logloss")})
+
+
+@query(f"WITH {SAMPLES} SELECT user_id || ':' || session_id AS query, item_id, label, p_type AS title, coalesce(array_to_string(string_split(lower(p_name), ' '), '|'), '') AS genres FROM sm LEFT JOIN part ON 'item_' || (p_partkey + 3) = item_id")
+def relevance_with_films(spark, d):
+    films = table(spark, d, "part").select(F.concat(F.lit("item_"), F.col("p_partkey") + 3).alias("item_id"), F.col("p_type").alias("title"), F.split(F.lower("p_name"), " ").alias("genres"), (F.col("p_size") + 1980).alias("release_year"))
+    return samples.relevance_samples(_samples(spark, d), films).select("query", "item_id", "label", "title", F.array_join("genres", "|").alias("genres"))
+
+
+@query(f"WITH {SAMPLES} SELECT concat_ws(':', request_id, user_id) AS slate_id, max(impression_ms) + 1500 - min(impression_ts) * 1000 AS lag FROM sm WHERE user_id <> '3' GROUP BY request_id, user_id")
+def ingest_lag(spark, d):
+    slates = samples.build_slates(_samples(spark, d))
+    last = _samples(spark, d).groupBy("request_id", "user_id").agg(F.max("impression_ts").alias("t"))
+    ms = events(spark, d).filter("event_type = 'impression'").groupBy("request_id", "user_id").agg(F.max("timestamp_ms").alias("ms"))
+    sent = slates.join(last, ["request_id", "user_id"]).join(ms, ["request_id", "user_id"]).withColumn("kafka_timestamp", F.timestamp_millis(F.col("ms") + 1500)).withColumn("user_id", F.nullif("user_id", F.lit("3")))
+    return samples.with_ingest_lag(sent).select("slate_id", F.col("kafka_ingest_lag_ms").alias("lag"))
+
+
+@query(f"WITH {SAMPLES}, g AS (SELECT CASE WHEN user_id = '3' THEN 'null_user_id' WHEN item_id = 'item_3' THEN 'null_item_id' ELSE 'kept' END AS reason FROM sm) SELECT r.reason, count(g.reason) AS n FROM (VALUES ('kept'), ('null_request_id'), ('null_user_id'), ('null_item_id')) r(reason) LEFT JOIN g USING (reason) GROUP BY 1")
+def samples_gate(spark, d):
+    rows = _samples(spark, d).withColumns({"user_id": F.nullif("user_id", F.lit("3")), "item_id": F.nullif("item_id", F.lit("item_3"))})
+    return samples.samples_gate(rows).counts()

@@ -200,3 +200,12 @@ def test_ctr_evaluation_and_drops(spark, tmp_path):
     assert monitor.report_drops("g", gate, lines.append) == {"kept": 20, "no_click": 20, "never": 0} and lines == ["drops gate=g kept=20 no_click=20 never=0"]
     stream = spark.readStream.format("rate").load()
     assert monitor.report_drops("s", Gate(stream, [("x", F.lit(True))]), warn=lines.append) == {} and len(lines) == 2
+
+
+def test_full_ctr_model_reads_maps_and_terms(spark):
+    rows = [(i % 2, {"tier": "gold" if i % 2 else "base"}, None, f"i{i % 5}", i % 3, ["drama"] if i % 2 else ["war"], None) for i in range(120)]
+    df = spark.createDataFrame(rows, "clicked int, user_features map<string,string>, device string, item_id string, position int, genres array<string>, tags array<string>")
+    ready = learning.ctr_rows(df)
+    assert ready.first()["cf_device"] == "NA" and ready.first()["tags"] == []
+    got = learning.evaluate_ctr(learning.full_ctr_model(ready, 1 << 10, 1 << 6), ready)
+    assert got["rows"] == 120 and got["auc"] > 0.99
