@@ -277,9 +277,7 @@ class Source:
     def read(self, spark: SparkSession, config: StreamConfig) -> DataFrame:
         bound = {"kafka": {"maxOffsetsPerTrigger": str(config.max_offsets), "failOnDataLoss": str(config.fail_on_data_loss).lower()}}
         reader = spark.readStream.format(self.format).options(**{**bound.get(self.format, {}), **self.options})
-        if self.schema:
-            return reader.schema(self.schema).load(self.options.get("path"))
-        return reader.load()
+        return (reader.schema(self.schema) if self.schema else reader).load()
 
 
 class DecodedEngine(Engine):
