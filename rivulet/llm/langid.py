@@ -14,11 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import shuffle_partitions
-
 PROFILE = 400
 #: Rows of a language that its profile is learned from, at most; different texts, chosen by a hash of the text.
 SAMPLE = 12_000
@@ -30,24 +28,23 @@ COUNT_PARTS = 8
 BLOCK = 1 << 20
 
 
-def _others() -> re.Pattern:
-    """Runs of what isn't a letter: also of signs that stand for numbers, which \\w lets pass."""
-    signs = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha()]
-    spans: list[list[int]] = []
-    for c in map(ord, signs):
-        if spans and spans[-1][1] == c - 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    return re.compile(r"[\W_" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]+")
+_OTHER = re.compile(r"[\W\d_]+")
+#: Signs that stand for numbers: the pattern lets them pass, but they aren't letters.
+_SIGNS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+_BLANKS = dict.fromkeys(map(ord, _SIGNS), " ")
 
 
-_OTHER = _others()
+def _letters(text: str | None) -> str:
+    """The letters of a text, lower-cased, with one blank for every run of what isn't a letter; none around them."""
+    found = _OTHER.sub(" ", (text or "").lower())
+    if not found.isascii() and not _SIGNS.isdisjoint(found):
+        found = " ".join(found.translate(_BLANKS).split())
+    return found.strip()
 
 
 def _grams(text: str | None, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a text, each packed into a number, and their counts; whatever the block, the same."""
-    letters = _OTHER.sub(" ", (text or "").lower()).strip()
+    letters = _letters(text)
     if not letters:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     letters = f" {letters} "
@@ -144,14 +141,16 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
         raise ValueError(f"more than {most_languages} languages")
     if not sizes:
         return Profiles({})
-    # a share that gives more than enough, then exactly the first by hash; copies of a text are merged before they are shuffled
-    shares = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, 1.3 * sample / max(n, 1))))])
-    dice = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    drawn = rows.filter(dice < F.element_at(shares, F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h")
-    chosen = drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample)
-    # the window leaves a language in one task: deal its texts out again before they are counted
-    chosen = chosen.select("lang", "text").repartition(shuffle_partitions(labelled.sparkSession))
+    by_lang = lambda values: F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(v))])[F.col("lang")]
+    # hashes only: of a share that gives more than enough, the one that is the last to be taken
+    place = F.shiftrightunsigned("h", 1)  # under 2^63
+    drawn = rows.filter(place < by_lang({k: min(int(1.3 * sample / max(n, 1) * 2**53) << 10, 2**63 - 1) for k, n in sizes.items()}))
+    least = drawn.select("lang", place.alias("p")).groupBy("lang").agg(F.sort_array(F.collect_set("p")).alias("p"))
+    last = {r["lang"]: r["p"] for r in least.select("lang", F.get("p", F.least(F.size("p"), F.lit(sample)) - 1).alias("p")).collect()}
+    if not last:
+        return Profiles({})
+    # the texts of those, copies merged before they are shuffled, are dealt out by hash and counted where they come to lie
+    chosen = rows.filter(place <= by_lang(last)).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
     counts = chosen.mapInArrow(_count, "lang string, gram bigint, n bigint")
     total = counts.repartition(COUNT_PARTS, "gram").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best: dict[str, list] = {}
