@@ -369,8 +369,8 @@ class LineIndex:
         hits = self.candidates(docs, key, text, most_bytes).join(exact, ["hi", "lo"]).filter(F.col("key") != F.col("last"))
         drops = hits.groupBy(F.col("key").alias(f"{p}key"), F.col("own").alias(f"{p}own")).agg(F.collect_set("line").alias(f"{p}drops"))
         new = ["n_lines", "n_dropped", name]
-        rows = docs.select("*", F.col(text).alias(f"{p}text")).join(drops, (F.col(key).cast("long") == F.col(f"{p}key")) & (F.xxhash64(text) == F.col(f"{p}own")), "left")
-        whole = F.coalesce(F.col(f"{p}text"), F.lit(""))
+        rows = docs.join(drops, (F.col(key).cast("long") == F.col(f"{p}key")) & (F.xxhash64(text) == F.col(f"{p}own")), "left")
+        whole = F.coalesce(F.col(text), F.lit(""))
         drop = F.coalesce(F.col(f"{p}drops"), F.array().cast("array<int>"))
 
         def cut_lines(lines: Column) -> Column:
