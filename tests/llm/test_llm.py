@@ -147,8 +147,8 @@ def jaccard_components(rows, words=5, least=0.8):
     return {k: find(k) for k in sets}
 
 
-@pytest.mark.parametrize("bucket", [4096, 12])
-def test_near_copies(spark, corpus, bucket):
+@pytest.mark.parametrize("bucket,block", [(4096, 4096), (12, 7)])
+def test_near_copies(spark, corpus, bucket, block):
     r = random.Random(17)
     rows = [(k, t) for k, t, *_ in corpus]
     for c in range(8):
@@ -162,9 +162,9 @@ def test_near_copies(spark, corpus, bucket):
         rows.append((100 + c * 40 + 35, " ".join(base[:75] + [r.choice(WORDS) + r.choice(WORDS) for _ in range(75)])))
     rows += [(600, "few words"), (601, "Few\nWORDS"), (602, "few words more"), (603, rows[0][1].upper())]
     table = docs(spark, [(k, t, "en", "s") for k, t in rows])
-    got = {x["doc_id"]: x["component"] for x in nearcopies.near_copies(table, bucket=bucket).collect()}
+    got = {x["doc_id"]: x["component"] for x in nearcopies.near_copies(table, bucket=bucket, block=block).collect()}
     assert got == jaccard_components(rows)
-    kept = {x["doc_id"] for x in nearcopies.drop_near_copies(table, bucket=bucket).collect()}
+    kept = {x["doc_id"] for x in nearcopies.drop_near_copies(table, bucket=bucket, block=block).collect()}
     assert kept == {k for k, c in got.items() if k == c}
     odd = docs(spark, [(None, "a b c d e", None, None), (None, None, None, None), (7, "a b c d e", None, None), (7, "a b c d e", None, None)])
     assert nearcopies.drop_near_copies(odd).count() == 4 and nearcopies.near_copies(odd.limit(0)).count() == 0
@@ -174,16 +174,16 @@ def test_near_copies(spark, corpus, bucket):
 def test_near_copies_at_the_similarity():
     """Of random pairs just at 0.8 and at 0.85, how many meet in a bucket within the limit."""
     r = np.random.default_rng(4)
-    limit = nearcopies.bit_limit(0.8)
+    lay = nearcopies.layout(1)
     for least, new in ((0.95, 111), (0.98, 81)):
         found = 0
         for _ in range(150):
             both = r.integers(0, 1 << 63, 1000, np.uint64)
             sides = [np.unique(np.concatenate([both[new:], r.integers(0, 1 << 63, new, np.uint64)])) for _ in range(2)]
             prints = np.array([nearcopies.wide_print(x)[:-1] for x in sides], np.int64)
-            number, one, two = (x.reshape(-1) for x in nearcopies.ring_keys(prints))
+            number, one, two = (x.reshape(-1) for x in nearcopies.ring_keys(prints, lay))
             order = np.argsort(number, kind="stable")
-            found += any(True for _ in nearcopies.bucket_edges(number[order], one[order], two[order], limit))
+            found += any(True for _ in nearcopies.bucket_edges(number[order], one[order], two[order], lay))
         assert found >= least * 150
 
 
@@ -193,25 +193,68 @@ def test_buckets_are_spanned():
     two = np.repeat(r.integers(0, 1 << 63, 6, np.uint64), 200) ^ np.uint64(1) << r.integers(0, 60, 1200).astype(np.uint64)
     for number in (np.zeros(1200, np.int64), np.repeat(np.arange(3), 400), np.sort(r.integers(0, 300, 1200))):
         pairs = {(a, b) for a in range(1200) for b in range(a + 1, 1200) if number[a] == number[b] and a // 200 == b // 200}
-        found = list(nearcopies.bucket_edges(number, one, two, 32))
+        found = list(nearcopies.bucket_edges(number, one, two, nearcopies.Layout(16, 5, 32)))
         assert len(found) < 1200 and all((min(e), max(e)) in pairs for e in found)
         # a forest with as many edges as members less groups spans every group
         assert len(found) == 1200 - len({(number[a], a // 200) for a in range(1200)})
 
 
-def plain_winnow(text, k=winnowing.K, w=winnowing.WINDOW):
-    pieces = re.findall(r"[^\x20\x09-\x0D]{1,%d}" % winnowing.PIECE, text or "")
-    return pieces, max(0, len(pieces) - k + 1) if len(pieces) >= k else int(bool(pieces))
+def plain_units(text, long=winnowing.LONG):
+    out = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        out += [w] if len(w) <= long else list(w)
+    return out
+
 
+def plain_prints(text, k=winnowing.K, window=winnowing.WINDOW, long=winnowing.LONG):
+    """(hash, position) of winnowing, from the bytes of the text on: no gram's hash is taken from another's."""
+    import xxhash
 
-def test_winnowing_choices(spark, corpus):
-    rows = docs(spark, corpus).select("doc_id", "text", winnowing._grams(F.col("text"), 4).alias("g"), winnowing.chosen(F.col("text")).alias("c")).collect()
+    h = [xxhash.xxh64_intdigest(u.encode(), 42) for u in plain_units(text, long)]
+    turn = lambda x, by: (x << by | x >> (64 - by)) & ((1 << 64) - 1) if by % 64 else x
+    grams = []
+    for i in range(max(0, len(h) - k + 1) or int(bool(h))):
+        g = 0
+        for j, x in enumerate(reversed(h[i : i + k])):
+            g ^= turn(x, j)
+        grams.append(g)
+    found = []
+    for i in range(max(1, len(grams) - window + 1) if grams else 0):
+        at = min(range(i, min(i + window, len(grams))), key=lambda j: (grams[j] >> 33, -j))
+        if (at not in [p for _, p in found]):
+            found.append((at, at))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [(signed(grams[p]), p) for _, p in found]
+
+
+@pytest.mark.parametrize("k,window,long", [(4, 8, 32), (3, 5, 4), (7, 1, 32), (5, 6, 0)])
+def test_winnowing_equals_plain(spark, corpus, k, window, long):
+    extra = [(80, "漢字仮名交じり文" * 9, None, None), (81, "a b c", None, None), (82, "x" * 70 + " y z " + "q" * 33, None, None)]
+    rows = docs(spark, corpus + extra).select("text", winnowing.chosen(F.col("text"), k, window, long).alias("c")).collect()
     for r in rows:
-        assert len(r["g"]) == plain_winnow(r["text"])[1]
-        hashes = [(x >> 32, -((1 << 32) - 1 - (x & 0xFFFFFFFF))) for x in r["g"]]
-        n = len(hashes)
-        want = sorted({min(hashes[i : i + 8]) for i in range(max(1, n - 7))} if n else set(), key=lambda x: -x[1])
-        assert [(x >> 32, -((1 << 32) - 1 - (x & 0xFFFFFFFF))) for x in r["c"]] == want
+        text = r["text"] if long else " ".join(c for w in plain_units(r["text"], 10**9) for c in w)
+        assert [(x["hash"], x["position"]) for x in r["c"]] == plain_prints(text, k, window, long or 1)
+
+
+def test_winnowing_of_unspaced_text(spark):
+    """One code point more in front leaves nearly all of an unspaced text's fingerprint as it was."""
+    r = random.Random(12)
+    han = "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(4000))
+    both = docs(spark, [(1, han, None, None), (2, "一" + han, None, None)]).select("doc_id", winnowing.hash_set(winnowing.chosen(F.col("text"))).alias("h"))
+    a, b = (set(x["h"]) for x in both.orderBy("doc_id").collect())
+    assert len(a & b) >= 0.98 * len(a | b)
+
+
+def test_likeness_equals_plain(spark, corpus):
+    got = {r["doc_id"]: r for r in winnowing.fingerprint_edits(docs(spark, corpus)).collect()}
+    order = sorted(corpus)
+    share = lambda x, y: len(x & y) / len(x | y) if x or y else 1.0
+    sets = lambda t: {h for h, _ in plain_prints(t)}
+    for i, (k, t, *_) in enumerate(order):
+        t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
+        h = len(t) // 2
+        edited = t[: len(t) - h] + nxt[:h]
+        assert got[k]["near_edited"] == share(sets(t), sets(edited)) and got[k]["near_next"] == share(sets(t), sets(nxt))
 
 
 def test_edits_wrap_around_and_empty(spark, corpus):
@@ -309,6 +352,8 @@ def test_lines_and_reversal(spark):
     assert kept(after, base + more) == plain_lines(base + more)
     back = after.changed(deleted=df(more), held=df(base))
     assert kept(back, base) == plain_lines(base)
+    assert kept(first.changed(deleted=df(base[:1]), held=df(base[1:])), base[1:]) == plain_lines(base[1:])
+    assert kept(linededup.LineIndex.build(df(base), shards=4), base) == {r["doc_id"]: r["kept"] for r in first.dedup(df(base), most_bytes=0).collect()}
     empty = linededup.LineIndex.build(df(base).limit(0))
     assert empty.dedup(df(base).limit(0)).count() == 0 and kept(empty, base)[1] == base[0][1]
 
@@ -438,7 +483,8 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r["doc_id"] for r in got) == sorted(k for k, n in plan.items() for _ in range(n))
 
 
-def test_near_copies_of_one_base(spark):
+@pytest.mark.parametrize("block", [4096, 200])
+def test_near_copies_of_one_base(spark, block):
     """A star: 1,000 copies near the base and, each edited on its own, not near each other."""
     r = random.Random(21)
     base = [f"w{r.randint(0, 10**6)}" for _ in range(404)]
@@ -448,23 +494,85 @@ def test_near_copies_of_one_base(spark):
         for at in r.sample(range(9, 395, 7), 6):
             own[at] = f"e{r.randint(0, 10**9)}"
         rows.append((i, " ".join(own)))
-    got = {x["doc_id"]: x["component"] for x in nearcopies.near_copies(docs(spark, [(k, t, "en", "s") for k, t in rows])).collect()}
+    got = {x["doc_id"]: x["component"] for x in nearcopies.near_copies(docs(spark, [(k, t, "en", "s") for k, t in rows]), block=block).collect()}
     assert sum(c == 0 for c in got.values()) >= 999
 
 
-def test_next_pairs():
-    r = np.random.default_rng(11)
-    for n, buckets in ((700, 1), (900, 60)):
-        number = np.sort(r.integers(0, buckets, n))
-        one, two = (r.integers(0, 1 << 63, 1, np.uint64) ^ np.uint64(1) << r.integers(0, 48, n).astype(np.uint64) for _ in range(2))
-        root = r.integers(0, 5, n)
-        want = {(a, b) for a in range(n) for b in range(a + 1, n) if number[a] == number[b] and root[a] != root[b]}
-        links = np.zeros(n, np.int64)
-        a, b, _, over = nearcopies.next_pairs(number, one, two, root, links, 32, n)
-        assert len(a) == len(want) and {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == want and not len(over)
-        a, b, _, over = nearcopies.next_pairs(number, one, two, root, links, 32, 3)
-        count = np.bincount(a, minlength=n)
-        assert count.max() == 3 and set(over.tolist()) <= set(np.flatnonzero(count == 3).tolist()) and len(over)
+def test_stars_keep_what_edges_connect():
+    r = np.random.default_rng(7)
+    for _ in range(20):
+        ids = r.permutation(40) * 5
+        edges = [tuple(x) for x in r.integers(0, 40, (25, 2)).tolist()]
+        node, root = nearcopies.stars(iter(edges), ids)
+        want = {int(i): int(i) for i in ids}
+
+        def find(x, want=want):
+            while want[x] != x:
+                x = want[x]
+            return x
+
+        for a, b in edges:
+            x, y = find(int(ids[a])), find(int(ids[b]))
+            want[max(x, y)] = min(x, y)
+        assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {i: find(i) for i in want if find(i) != i}
+
+
+def test_layout_follows_the_fingerprints():
+    small, large = nearcopies.layout(10**6), nearcopies.layout(10**10)
+    assert (small.segment, small.keys) == (16, 112) and large.segment == 25 and large.chain == 125
+    r = np.random.default_rng(2)
+    prints = r.integers(-(1 << 63), 1 << 63, (50, 4), np.int64)
+    number, one, _ = nearcopies.ring_keys(prints, large)
+    assert number.shape == (50, large.keys) and (number & np.uint64((1 << 25) - 1) == one >> np.uint64(39)).all()
+    assert (nearcopies._apart(one[0] ^ one[0], one[0] ^ one[0], large) == 0).all()
+
+
+def test_components_are_joined():
+    """Random groups of sets, some of them linked only through one member: as if all pairs had been compared."""
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        sets = []
+        for _ in range(4):
+            base = r.choice(10**6, 60, replace=False)
+            for _ in range(12):
+                own = base.copy()
+                own[r.choice(60, r.integers(0, 9), replace=False)] = r.integers(10**6, 10**7)
+                sets.append(np.unique(own))
+        n = len(sets)
+        prints = np.array([nearcopies.wide_print(x.astype("<u8") * np.uint64(0x9E3779B97F4A7C15))[:-1] for x in sets], np.int64).view(np.uint64)
+        ids = r.permutation(n) * 3
+        members = nearcopies.Members(ids, prints, sets, 0.8)
+        members.join()
+        root = dict(zip(ids.tolist(), members.roots().tolist(), strict=True))
+        want = {int(i): int(i) for i in ids}
+
+        def find(x, want=want):
+            while want[x] != x:
+                x = want[x]
+            return x
+
+        for a in range(n):
+            for b in range(a):
+                shared = len(np.intersect1d(sets[a], sets[b]))
+                if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+                    x, y = find(int(ids[a])), find(int(ids[b]))
+                    want[max(x, y)] = min(x, y)
+        assert root == {i: find(i) for i in want}
+
+
+@pytest.mark.parametrize("block", [4096, 60])
+def test_near_copies_on_a_template(spark, block):
+    """300 pages that share most of their words: links hide among many pairs that are just not alike."""
+    r = random.Random(31)
+    page = [f"w{r.randint(0, 10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(300):
+        own = list(page)
+        own[200:236] = [f"x{r.randint(0, 10**9)}" for _ in range(36)] if i % 10 else [f"same{i // 50}w{j}" for j in range(36)]
+        own[r.randrange(400)] = f"y{r.randint(0, 10**9)}"
+        rows.append((i, " ".join(own)))
+    got = {x["doc_id"]: x["component"] for x in nearcopies.near_copies(docs(spark, [(k, t, "en", "s") for k, t in rows]), block=block).collect()}
+    assert got == jaccard_components(rows)
 
 
 def test_mix_with_null_and_repeated_keys(spark):
