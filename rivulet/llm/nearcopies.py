@@ -307,6 +307,22 @@ def _big_buckets(reps: DataFrame, lay: Layout, bucket: int) -> DataFrame:
     return counted.filter(most > bucket).select("slot", F.ceil(most / bucket).cast("int").alias("blocks"))
 
 
+def _to_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b), sorted by (b, a): each b joined to its least a, and its other a to that one; what they connect stays connected."""
+    last, least = None, None
+    for batch in batches:
+        a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
+        if not len(a):
+            continue
+        new = np.concatenate([[last is None or b[0] != last], b[1:] != b[:-1]])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+        low = np.where(head >= 0, a[np.maximum(head, 0)], 0 if least is None else least)
+        last, least = b[-1], low[-1]
+        node = np.where(new, b, a)
+        keep = node != low
+        yield pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(node[keep])], ["a", "b"])
+
+
 def candidates(reps: DataFrame, lay: Layout, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect ids whose fingerprints keep the budgets: in each bucket to the smallest id that is reached there. reps: (id, p0, p1, ...)."""
 
@@ -332,7 +348,10 @@ def candidates(reps: DataFrame, lay: Layout, bucket: int = BUCKET) -> DataFrame:
         rows = keyed.withColumn("blocks", F.lit(None).cast("int"))
     else:
         rows = keyed.withColumn("slot", F.col("bucket") % F.lit(_SLOTS)).join(many, "slot", "left").drop("slot")
-    return _paired(rows).mapInArrow(edges, "a bigint, b bigint").filter("a != b").distinct()
+    found = _paired(rows).mapInArrow(edges, "a bigint, b bigint").filter("a != b")
+    # members of the same buckets have many least ids in common: joined to their own least one, few different edges are left
+    near = found.repartition(shuffle_partitions(reps.sparkSession), "b").sortWithinPartitions("b", "a")
+    return near.mapInArrow(_to_least, "a bigint, b bigint").distinct()
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:

@@ -341,3 +341,23 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert sorted(x["doc_id"] for x in got) == sorted(k for k, n in plan.items() for _ in range(n)) and {50, 51, 52, 53, 54, 55}.isdisjoint(plan)
     owner = sharding.fill_table(pipeline.SHARDS)
     assert all(x["shard"] == owner[x["slot"]] and x["shard_name"] == pipeline.SHARDS[x["shard"]] for x in got)
+
+
+def test_edges_to_the_least_connect_the_same():
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    for _ in range(20):
+        edges = sorted({(int(b), int(a)) for a, b in r.integers(0, 30, (60, 2)) if a < b})
+        at = r.integers(1, len(edges))
+        batches = [pa.RecordBatch.from_arrays([pa.array([a for _, a in x], pa.int64()), pa.array([b for b, _ in x], pa.int64())], ["a", "b"]) for x in (edges[:at], edges[at:])]
+        got = [(a, b) for x in nearcopies._to_least(iter(batches)) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)]
+
+        def roots(pairs):
+            up = list(range(30))
+            for _ in range(30):
+                for a, b in pairs:
+                    up[a] = up[b] = min(up[a], up[b])
+            return up
+
+        assert roots(got) == roots([(a, b) for b, a in edges]) and all(a < b for a, b in got)
