@@ -168,7 +168,11 @@ def json_document(value) -> str:
 
 def replay_ratings(entries: DataFrame) -> DataFrame:
     """Ratings of replayed rewards: five times the reward, 5 at most, to one decimal."""
-    return entries.select(F.col("user").alias("userId"), F.col("action").alias("movieId"), F.round(F.least(F.col("reward") * 5, F.lit(5.0)), 1).alias("rating"), F.floor(F.col("timestamp") / 1000).alias("timestamp"))
+    # tenths are rounded to a whole number: 0.69 * 5 is 3.4499999999999997, which round(x, 1) takes for less than 3.45
+    rating = F.round(F.least(F.col("reward") * 5, F.lit(5.0)) * 10) / 10
+    # whole numbers are divided: a double has too few digits for those over 2^53
+    entries = entries.withColumns({"rating": rating, "t": F.floor("timestamp").cast("long")})
+    return entries.select(F.col("user").alias("userId"), F.col("action").alias("movieId"), "rating", F.expr("(t - pmod(t, 1000)) div 1000").alias("timestamp"))
 
 
 class KeyedState:

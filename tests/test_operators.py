@@ -211,3 +211,15 @@ def test_tabular_q(spark):
     steps = spark.createDataFrame([("a", "go", 0.0, "b", False), ("b", "go", 1.0, None, True)], "state string, action string, reward double, next_state string, terminal boolean")
     q = {r["state"]: r["q"] for r in learning.tabular_q(steps, sweeps=60).collect()}
     assert abs(q["b"] - 1) < 1e-6 and abs(q["a"] - 0.9) < 1e-6
+
+
+def test_replayed_rewards_round_by_tenths(spark):
+    from rivulet.sources import files
+
+    rewards = [0.69, -0.69, 0.09, 0.93, 0.688, 0.0, 7.0]
+    rows = spark.createDataFrame([(str(i), "a", r, 1007) for i, r in enumerate(rewards)], "user string, action string, reward double, timestamp bigint")
+    got = {int(r["userId"]): (r["rating"], r["timestamp"]) for r in files.replay_ratings(rows).collect()}
+    assert [got[i] for i in range(len(rewards))] == [(x, 1) for x in (3.5, -3.5, 0.5, 4.7, 3.4, 0.0, 5.0)]
+    times = [9_007_199_254_740_999_007, -1, -1000]
+    rows = spark.createDataFrame([("u", "a", 0.0, t) for t in times], "user string, action string, reward double, timestamp bigint")
+    assert sorted(r["timestamp"] for r in files.replay_ratings(rows).collect()) == sorted(t // 1000 for t in times)
