@@ -223,3 +223,27 @@ def test_replayed_rewards_round_by_tenths(spark):
     times = [9_007_199_254_740_999_007, -1, -1000]
     rows = spark.createDataFrame([("u", "a", 0.0, t) for t in times], "user string, action string, reward double, timestamp bigint")
     assert sorted(r["timestamp"] for r in files.replay_ratings(rows).collect()) == sorted(t // 1000 for t in times)
+
+
+def test_personas_at_their_thresholds(spark):
+    from rivulet.operators import profiles
+
+    cfg = profiles.ProfileConfig(reference=1000)
+    kinds = "evidence_count bigint, impressions bigint, clicks bigint, orders bigint, engagement_rate double, conversion_rate double, genre_diversity double, preference_concentration double, recent_release_affinity double, " + f"genre_preferences {profiles.PREFERENCE}"
+    up, down = 1e-15, -1e-15
+    rows = [(9, 9, 5, 2, 0.4 + x, 0.1 + x, 0.6 + x, 0.5 - x, 0.6 + x, [("a", 0.6 + x, 7)]) for x in (up, 0.0, down, -1e-9)]
+    rows += [(9, 9, 0, 0, 0.1 + x, 0.02 + x, 0.1, 0.7 - x, None, []) for x in (up, 0.0, down)]
+    got = [sorted((p["type"], round(abs(p["confidence"]), 6)) for p in r["p"]) for r in spark.createDataFrame(rows, kinds).select(profiles.personas(cfg).alias("p")).collect()]
+    fit = [(t, 0.0) for t in ("genre_enthusiast", "genre_explorer", "high_intent_engager", "recent_release_seeker")]
+    assert got == [fit] * 3 + [[]] + [[("casual_browser", 0.0), ("focused_viewer", 0.0)]] * 3
+
+
+def test_genres_that_halve_all_weight_make_an_explorer(spark):
+    from rivulet.operators import profiles
+
+    # every event has genre a, so that its share is a half, whatever the order of the sums
+    cfg = profiles.ProfileConfig(reference=2_000_000)
+    rows = [(f"s{u}-{i}", f"u{u}", f"i{i}", 2_000_000 - (7_919 * (u + 1) * (i + 3)) % 600_000, True, ["a", "bcdefg"[i % 6]]) for u in range(40) for i in range(13)]
+    df = spark.createDataFrame(rows, "sample_id string, user_id string, item_id string, impression_ts bigint, clicked boolean, genres array<string>")
+    got = profiles.build_profiles(df, cfg).select("user_id", F.transform("personas", lambda p: p["type"]).alias("t")).collect()
+    assert len(got) == 40 and all("genre_explorer" in r["t"] for r in got)
