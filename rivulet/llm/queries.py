@@ -57,8 +57,9 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("text", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    chain = toxicity.learn(labelled, ("low_quality", "toxic"))
+    hashed = docs.withColumn("text_hash", toxicity.text_hash(F.col("text")))
+    labelled = hashed.join(table(spark, sf_dir, "labels"), "doc_id").select("text", "text_hash", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.learn(labelled, ("low_quality", "toxic"), hashed="text_hash")
     return toxicity.predict(docs, chain, ["doc_id"]).withColumn("toxic", (F.col("p_toxic") >= chain.cutoffs[1]).cast("int"))
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import private
@@ -133,7 +133,12 @@ def fit_chain(rows: list[np.ndarray], fold: np.ndarray, labels: np.ndarray, cate
     return Chain(tuple(categories), models, tuple(cutoffs))
 
 
-def learn(labelled: DataFrame, categories: Sequence[str], text: str = "text", sample: int = SAMPLE) -> Chain:
+def text_hash(text: Column) -> Column:
+    """What samples are drawn by; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def learn(labelled: DataFrame, categories: Sequence[str], text: str = "text", sample: int = SAMPLE, hashed: str | None = None) -> Chain:
     """A chain from rows with a text and 0/1 columns named categories, in that order.
 
     Rows that agree in text and labels count once, so that copies neither weigh
@@ -141,6 +146,10 @@ def learn(labelled: DataFrame, categories: Sequence[str], text: str = "text", sa
     the least hashes, whatever the table's size. Equal texts share their fold.
     Null labels are unknown, null texts empty. Without rows every probability is
     1/2. Only the columns named are read.
+
+    hashed: a column with each text's text_hash. Where labelled is a join, give the
+    texts' side that column before it: then only keys and hashes, and the texts
+    drawn, go through the join.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +159,7 @@ def learn(labelled: DataFrame, categories: Sequence[str], text: str = "text", sa
             yield pa.RecordBatch.from_arrays([batch["h"], pa.array(found, pa.list_(pa.int32())), pa.array(fold, pa.int64()), *[batch[c] for c in marks]], ["h", "words", "fold", *marks])
 
     marks = [f"c{i}" for i in range(len(categories))]
-    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(m) for c, m in zip(categories, marks, strict=True)])
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(m) for c, m in zip(categories, marks, strict=True)], (F.col(hashed) if hashed else text_hash(F.col(text))).alias("h"))
     n = rows.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
     # a share that gives more than enough; copies are merged before they are shuffled; then exactly the first by hash
     dice = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))

@@ -361,3 +361,23 @@ def test_edges_to_the_least_connect_the_same():
             return up
 
         assert roots(got) == roots([(a, b) for b, a in edges]) and all(a < b for a, b in got)
+
+
+def test_texts_that_are_not_drawn_stay_where_they_are(spark, tmp_path, monkeypatch):
+    from rivulet.llm import queries
+
+    r = random.Random(3)
+    texts = [(i, " ".join(f"{r.getrandbits(64):x}" for _ in range(200))) for i in range(1500)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(1500)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    real = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda *a, **kw: real(*a, sample=20, **kw))
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert queries.op9_toxicity(spark, str(tmp_path)).count() == 1500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    size = sum(len(t) for _, t in texts)
+    assert 0 < written() - before < size / 4
