@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.operators.measures import bm25, top_k_cosine
+from rivulet.operators.measures import bm25_each, top_k_cosine
 from rivulet.streaming.cutting import cut
 
 #: Rank constant of the fusion of two lists.
@@ -25,7 +25,7 @@ def _scored_sets(docs: DataFrame, left_out: DataFrame, top: int) -> DataFrame:
     """
     sets = cut(left_out.groupBy("query").agg(F.first("terms").alias("terms"), (F.max("m") + top).alias("cutoff")))
     most = sets.agg(F.max("cutoff")).first()[0] or top
-    scores = bm25(docs, sets.select("query", F.explode("terms").alias("term"))).select("query", "doc", F.round("score", 9).alias("score"))
+    scores = bm25_each(docs, sets.select("query", F.explode("terms").alias("term"))).select("query", "doc", F.round("score", 9).alias("score"))
     # one row with at most `most` ids
     ids = docs.select("doc").orderBy("doc").limit(most).agg(F.sort_array(F.collect_list("doc")).alias("ids"))
     pads = sets.crossJoin(F.broadcast(ids)).select("query", F.explode(F.slice("ids", 1, F.col("cutoff").cast("int"))).alias("doc"), F.lit(0.0).alias("score"))

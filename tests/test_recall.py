@@ -75,3 +75,26 @@ def test_leave_one_out(spark):
 def test_nobody_to_leave_out(spark):
     got = result(spark, [("u", "i")], {"i": ["a"]}, {"i": [1.0]}, (5,))
     assert got == {(m, 5): (0.0, 0.0, 0, 0) for m in ("bm25", "embedding", "hybrid")}
+
+
+def test_scores_of_copies_are_not_shuffled(spark, monkeypatch):
+    from rivulet.operators import measures
+
+    rng = random.Random(5)
+    names = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))] for _ in range(8)]
+    docs = {i: names[i % 8] for i in range(8000)} | {8000: [], 8001: ["z"]}
+    df = spark.createDataFrame(list(docs.items()), "doc bigint, terms array<string>").repartition(4)
+    asked = [(q, t) for q in range(0, 8000, 100) for t in sorted(set(docs[q]))] + [(8001, None), (8001, "z"), (8002, "no")]
+    queries = spark.createDataFrame(asked, "query bigint, term string")
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    held = {t: sum(t in d for d in docs.values()) for t in "abcdefghz"}
+    part = lambda t, d: math.log(1 + (n - held[t] + 0.5) / (held[t] + 0.5)) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / mean))
+    want = {(q, i): sum(part(t, d) for t in set(docs[q]) if t in d) for q in [*range(0, 8000, 100), 8001] for i, d in docs.items() if set(d) & set(docs[q])}
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    measures.bm25(df, queries).write.format("noop").mode("overwrite").save()
+    assert written() - before < 1_000_000
+    for pairs in (10**6, 0):
+        monkeypatch.setattr(measures, "_FEW_PAIRS", pairs, raising=False)
+        got = [(r["query"], r["doc"], r["score"]) for r in measures.bm25(df, queries).collect()]
+        assert len(got) == len(want) and all(math.isclose(s, want[q, i], abs_tol=1e-9) for q, i, s in got)
