@@ -98,3 +98,25 @@ def test_scores_of_copies_are_not_shuffled(spark, monkeypatch):
         monkeypatch.setattr(measures, "_FEW_PAIRS", pairs, raising=False)
         got = [(r["query"], r["doc"], r["score"]) for r in measures.bm25(df, queries).collect()]
         assert len(got) == len(want) and all(math.isclose(s, want[q, i], abs_tol=1e-9) for q, i, s in got)
+
+
+def test_lists_are_made_where_the_items_are(spark, monkeypatch):
+    from rivulet.operators import recall
+
+    rng = random.Random(6)
+    docs = {f"i{n:02d}": [rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 8))] for n in range(40)}
+    vectors = {d: [rng.gauss(0, 1) for _ in range(3)] for d in docs if rng.random() < 0.8}
+    clicks = [(f"u{u}", f"i{n:02d}") for u in range(20) for n in rng.sample(range(44), 12)]
+    clicks += [(f"twin{u}", i) for u, i in clicks if u < "u2"]
+    want = plain(clicks, docs, vectors, (2, 5))
+    # nobody's clicks, and documents without terms
+    clicks, docs = clicks + [(None, "i01"), (None, "i02")], {d: ts or None for d, ts in docs.items()}
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    for held, scores in ((10**6, 1 << 20), (10**6, 100), (0, 1)):
+        monkeypatch.setattr(recall, "_HELD", held, raising=False)
+        monkeypatch.setattr(recall, "_SCORES", scores, raising=False)
+        before = written()
+        got = result(spark, clicks, docs, vectors, (2, 5))
+        assert got.keys() == want.keys() and (not held or written() - before < 40_000), written() - before
+        for key in got:
+            assert got[key][2:] == want[key][2:] and math.isclose(got[key][0], want[key][0], abs_tol=1e-9) and math.isclose(got[key][1], want[key][1], abs_tol=1e-9), key
