@@ -59,6 +59,10 @@ _SMALL = 512
 _FAR = 255
 #: Slots of the table in which a task counts the members of buckets (a prime).
 _SLOTS = 8_388_593
+#: Bits of a filter for each id in it, and in all (16 MB).
+_ID_BITS, _FILTER_BITS = 64, 1 << 27
+#: Ids that are sent to where the documents are; to more, the documents go.
+_FEW_IDS = 2_000_000
 _PRINT = [f"p{k}" for k in range(LONGS)]
 
 
@@ -354,15 +358,34 @@ def candidates(reps: DataFrame, lay: Layout, bucket: int = BUCKET) -> DataFrame:
     return near.mapInArrow(_to_least, "a bigint, b bigint").distinct()
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """docs (key, text) with their shingles, 32 bits each."""
+def _id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for every hash of an id, and their number: a power of 2. ids: (id)."""
+    bits = min(_FILTER_BITS, 1 << max(16, ceil(log2(_ID_BITS * max(ids.count(), 1)))))
+    slot = ids.select(_slot("id", bits).alias("slot"))
+    words = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out, bits
+
+
+def _slot(key: str, bits: int):
+    return F.xxhash64(key).bitwiseAND(F.lit(bits - 1).cast("long"))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """docs (key, text) with their shingles, 32 bits each, made where the texts are: of all whose key is among ids, and a few others."""
+    table, bits = _id_filter(ids)
+    table = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(shingles(t.as_py(), words).astype(np.uint32)).view(np.int32) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(own, pa.list_(pa.int32()))], ["key", "own"])
+            slot = batch["slot"].to_numpy()
+            at = np.flatnonzero(table.value[slot >> 6] >> (slot & 63) & 1).tolist()
+            text = batch["text"]
+            own = [np.unique(shingles(text[k].as_py(), words).astype(np.uint32)).view(np.int32) for k in at]
+            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(at, pa.int64())), pa.array(own, pa.list_(pa.int32()))], ["key", "own"])
 
-    return docs.mapInArrow(run, "key bigint, own array<int>")
+    return docs.select("key", "text", _slot("key", bits).alias("slot")).mapInArrow(run, "key bigint, own array<int>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -508,7 +531,7 @@ def _components(reps: DataFrame, rows: DataFrame, checked: DataFrame, words: int
     """(node, root) of all ends of checked edges that aren't a root themselves."""
     clusters = connected_components(checked)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).withColumnsRenamed({"node": "id", "root": "cluster"})
-    sets = _sets(rows.join(clusters.select(F.col("id").alias("key")), "key", "left_semi"), words).withColumnsRenamed({"key": "id", "own": "shingles"})
+    sets = _sets(rows, clusters.select("id"), words).withColumnsRenamed({"key": "id", "own": "shingles"})
     # a key that repeats with different texts has a row for each: all of them are members
     members = cut(reps.join(clusters, "id").join(sets, "id"))
     size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -556,7 +579,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows that are near a row with a smaller key. Rows with a null key stay."""
+    """docs without the rows that are near a row with a smaller key. Rows with a null key stay. Up to _FEW_IDS keys that go are broadcast."""
     p = private(docs)
-    gone = near_copies(docs, key=key, **how).filter(F.col(key) != F.col("component")).select(F.col(key).alias(f"{p}key")).distinct()
+    gone = cut(near_copies(docs, key=key, **how).filter(F.col(key) != F.col("component")).select(F.col(key).alias(f"{p}key")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= _FEW_IDS else gone
     return docs.join(gone, F.col(key) == F.col(f"{p}key"), "left_anti")

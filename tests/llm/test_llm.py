@@ -603,3 +603,23 @@ def test_pipeline_rejects_other_languages(spark):
     kept = {x["doc_id"] for x in p.language(spark, known.unionByName(extra), sf).collect()}
     assert not kept & {-1, -2, -3}
     assert {x["doc_id"] for x in known.filter("text rlike '[a-zA-Z]'").collect()} <= kept
+
+
+def test_texts_of_near_copies_are_not_shuffled(spark, monkeypatch):
+    r = random.Random(41)
+    rows = []
+    for i in range(80):
+        own = [f"{r.getrandbits(32):x}" for _ in range(5000)]
+        rows.append((2 * i, " ".join(own)))
+        if not i % 20:
+            rows.append((2 * i + 1, " ".join(own[:4990] + ["other"] * 10)))
+    table = docs(spark, [(k, t, "en", "s") for k, t in rows]).repartition(4).localCheckpoint()
+    want = {k for k, _ in rows if not k % 2}
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    assert {x["doc_id"] for x in nearcopies.drop_near_copies(table).collect()} == want
+    assert written() - before < 1_500_000, written() - before
+    # every text passes such a filter, and the documents go to the keys
+    monkeypatch.setattr(nearcopies, "_FILTER_BITS", 64, raising=False)
+    monkeypatch.setattr(nearcopies, "_FEW_IDS", 0, raising=False)
+    assert {x["doc_id"] for x in nearcopies.drop_near_copies(table).collect()} == want
